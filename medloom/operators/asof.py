@@ -289,3 +289,16 @@ def near_any_date(
         | F.coalesce(F.col("_earliest_after") - day <= within_days, F.lit(False))
     )
     return joined.filter(hit).select(*events.columns)
+
+
+def match_segment_start(
+    left, right, left_key, right_key, left_start, right_start, payload, tie, within_days=4,
+    rows_per_task=ROWS_PER_TASK,
+) -> DataFrame:
+    """The segment whose start is nearest to the given segment's start, if strictly within the tolerance.
+
+    Where the segments end plays no part.
+    """
+    return nearest_pair(
+        left, right, left_key, right_key, left_start, right_start, payload, tie, within_days, rows_per_task
+    )

@@ -54,15 +54,19 @@ def run_by_size(
     op: Callable[[Rows], DataFrame],
     rows_per_task: int = ROWS_PER_TASK,
     spread: Column | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Apply ``op`` to the small keys as they are and to the large keys in chunks, and put both together.
 
     One pass over the key columns counts the rows (partial counts before the shuffle) and brings back two
     numbers. ``spread`` tells rows of equal order apart, so that a burst of them can be cut too; it must not
-    matter to ``op`` how they are ordered. Rows with a null key belong to no series and are left out.
+    matter to ``op`` how they are ordered. ``longest`` is a bound on the rows per key if one is known; the count
+    is saved when it is low enough. Rows with a null key belong to no series and are left out.
     """
     for key in keys:
         df = df.filter(F.col(key).isNotNull())
+    if longest is not None and longest <= rows_per_task:
+        return op(Rows(df, keys, order, False, longest))
     sizes = key_sizes(df, keys)
     probe = sizes.agg(
         F.max("_rows").alias("longest"),
@@ -93,14 +97,16 @@ def scan(
     last_before: dict[str, Column] | None = None,
     next_after: dict[str, Column] | None = None,
     running: dict[str, Column] | None = None,
+    whole: dict[str, tuple[Callable[[Column], Column], Column]] | None = None,
 ) -> Rows:
     """Add columns that look back or ahead in a key.
 
     ``last``: the newest non-null value up to this row; ``last_before``: before this row;
-    ``next_after``: the next non-null value after this row; ``running``: sum up to this row.
+    ``next_after``: the next non-null value after this row; ``running``: sum up to this row;
+    ``whole``: a min, max or sum over all rows of the key.
     """
     last, last_before = last or {}, last_before or {}
-    next_after, running = next_after or {}, running or {}
+    next_after, running, whole = next_after or {}, running or {}, whole or {}
     ahead = rows.window().rowsBetween(Window.unboundedPreceding, 0)
     before = rows.window().rowsBetween(Window.unboundedPreceding, -1)
     # A frame that ends at the partition's end is quadratic, the same frame in reverse order is not.
@@ -109,6 +115,8 @@ def scan(
     added |= {name: F.last(col, ignorenulls=True).over(before) for name, col in last_before.items()}
     added |= {name: F.last(col, ignorenulls=True).over(after) for name, col in next_after.items()}
     added |= {name: F.sum(col).over(ahead) for name, col in running.items()}
+    everything = Window.partitionBy(*rows.parts)
+    added |= {name: fn(col).over(everything) for name, (fn, col) in whole.items()}
     out = rows.df.select("*", *[col.alias(name) for name, col in added.items()])
     if not rows.chunked:
         return rows.with_df(out)
@@ -121,6 +129,8 @@ def scan(
         totals.append(F.min_by(col, F.when(col.isNotNull(), position)).alias(name))
     for name, col in running.items():
         totals.append(F.sum(col).alias(name))
+    for name, (fn, col) in whole.items():
+        totals.append(fn(col).alias(name))
     summary = rows.df.groupBy(*rows.parts).agg(*totals)
     by_chunk = Window.partitionBy(*rows.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     from_end = Window.partitionBy(*rows.keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
@@ -129,13 +139,15 @@ def scan(
         *[F.last(n, ignorenulls=True).over(by_chunk).alias(f"_c_{n}") for n in {**last, **last_before}],
         *[F.last(n, ignorenulls=True).over(from_end).alias(f"_c_{n}") for n in next_after],
         *[F.sum(n).over(by_chunk).alias(f"_c_{n}") for n in running],
+        *[fn(F.col(n)).over(Window.partitionBy(*rows.keys)).alias(f"_c_{n}") for n, (fn, _) in whole.items()],
     )
     out = out.join(carried, rows.parts, "left")
     fixed = []
     for name in added:
         if name in running:
             fixed.append((F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))).alias(name))
+        elif name in whole:
+            fixed.append(F.col(f"_c_{name}").alias(name))
         else:
             fixed.append(F.coalesce(F.col(name), F.col(f"_c_{name}")).alias(name))
-    kept = [c for c in rows.df.columns]
-    return rows.with_df(out.select(*kept, *fixed).checkpoint())
+    return rows.with_df(out.select(*rows.df.columns, *fixed).checkpoint())
