@@ -8,23 +8,24 @@ from driverqueries.common import events, r6, table
 from medloom.functions.time import epoch_days
 from medloom.operators import asof, tables
 
-# Small enough that every user of the driver's tables counts as a large key and is cut into chunks.
-FEW_ROWS = 20
+# The split-key forms join on the user's number modulo 3, so three keys hold all rows, and cut them into chunks.
+FEW_ROWS = 500
 
 
 def _lefts(spark, sf_dir, event_type):
-    return events(spark, sf_dir, event_type).select("event_id", "user_id", "ts")
+    return events(spark, sf_dir, event_type).select("event_id", "user_id", (F.col("user_id") % 3).alias("site"), "ts")
 
 
 def _rights(spark, sf_dir, event_type):
     return events(spark, sf_dir, event_type).select(
-        F.col("event_id").alias("other_id"), "user_id", "ts", F.col("value").alias("other_value")
+        F.col("event_id").alias("other_id"), "user_id", (F.col("user_id") % 3).alias("site"), "ts",
+        F.col("value").alias("other_value"),
     )
 
 
-def _within(spark, sf_dir, first, second, before, after, **more):
+def _within(spark, sf_dir, first, second, before, after, key="user_id", **more):
     return asof.find_within(
-        _lefts(spark, sf_dir, first), _rights(spark, sf_dir, second), "user_id", "user_id", "ts", "ts",
+        _lefts(spark, sf_dir, first), _rights(spark, sf_dir, second), key, key, "ts", "ts",
         ["other_id", "other_value"], "other_id", before, after, ("_l", "_r"), **more,
     )
 
@@ -35,7 +36,7 @@ def asof_within_nearest(spark, sf_dir, **more):
 
 
 def asof_within_nearest_split_keys(spark, sf_dir):
-    return asof_within_nearest(spark, sf_dir, rows_per_task=FEW_ROWS)
+    return asof_within_nearest(spark, sf_dir, key="site", rows_per_task=FEW_ROWS)
 
 
 def asof_within_event_anchor(spark, sf_dir):
@@ -66,10 +67,13 @@ def asof_within_anti(spark, sf_dir):
 LABELS = ["view", "click", "error", "signup", "purchase"]
 
 
-def nearest_per_label(spark, sf_dir, **more):
-    right = events(spark, sf_dir).select("user_id", "ts", "event_type", "value", F.col("event_id").alias("other_id"))
+def nearest_per_label(spark, sf_dir, key="user_id", **more):
+    right = events(spark, sf_dir).select(
+        "user_id", (F.col("user_id") % 3).alias("site"), "ts", "event_type", "value",
+        F.col("event_id").alias("other_id"),
+    )
     out = asof.nearest_of_labels(
-        _lefts(spark, sf_dir, "purchase"), right, "user_id", "user_id", "ts", "ts", "event_type", "value",
+        _lefts(spark, sf_dir, "purchase"), right, key, key, "ts", "ts", "event_type", "value",
         LABELS, "other_id", calling_label="purchase", **more,
     )
     cols = [r6(F.col(f"{n}_{c}")).alias(f"{n}_{c}") for n in LABELS[:4] for c in ("value", "epoch", "dt")]
@@ -77,7 +81,7 @@ def nearest_per_label(spark, sf_dir, **more):
 
 
 def nearest_per_label_split_keys(spark, sf_dir):
-    return nearest_per_label(spark, sf_dir, rows_per_task=FEW_ROWS)
+    return nearest_per_label(spark, sf_dir, key="site", rows_per_task=FEW_ROWS)
 
 
 def nearest_one_label(spark, sf_dir):
@@ -155,6 +159,7 @@ _LABEL_SQL = (
     + " WHERE a.event_type = 'purchase'"
 )
 
+_BY_SITE = ("a.user_id = b.user_id", "a.user_id % 3 = b.user_id % 3")
 _NEAREST_SQL = _range_sql("error", "click", 7, 14, _BACK_FIRST.format(m=_MID))
 
 QUERIES = {
@@ -175,7 +180,7 @@ QUERIES = {
 
 ORACLES = {
     "asof_within_nearest": _NEAREST_SQL,
-    "asof_within_nearest_split_keys": _NEAREST_SQL,
+    "asof_within_nearest_split_keys": _NEAREST_SQL.replace(*_BY_SITE),
     "asof_within_event_anchor": _range_sql("error", "click", 7, 14, _BACK_FIRST.format(m=0)),
     "asof_within_backward": _range_sql(
         "error", "click", 7, 14, "gap_us DESC, other_id DESC", f"AND epoch_us(b.ts) - epoch_us(a.ts) <= {_MID}"
@@ -192,7 +197,7 @@ ORACLES = {
           SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id
           AND b.ts BETWEEN a.ts - INTERVAL 1 DAY AND a.ts + INTERVAL 2 DAY)""",
     "nearest_per_label": _LABEL_SQL,
-    "nearest_per_label_split_keys": _LABEL_SQL,
+    "nearest_per_label_split_keys": _LABEL_SQL.replace(*_BY_SITE),
     "nearest_one_label": """
         WITH r AS (
           SELECT a.event_id, b.value, epoch_us(b.ts) / 86400000000.0 AS e,

@@ -10,7 +10,10 @@ from medloom.operators import asof, series, stats
 from medloom.plans import trajectories as plan
 
 KEYS = ["user_id", "event_type"]
-FEW_ROWS = 8
+
+# The split-key forms take the event type alone as key, so five keys hold all rows, and cut them into chunks.
+HOT = ["event_type"]
+FEW_ROWS = 1000
 
 # Screens that let short segments of the driver's tables pass.
 MIN_POINTS = 2
@@ -24,18 +27,22 @@ def _points(spark, sf_dir, step=None):
     return events(spark, sf_dir).select(*KEYS, "event_id", epoch_days(F.col("ts")).alias("t"), x.alias("x"))
 
 
-def series_positions(spark, sf_dir, **more):
-    out = series.series(_points(spark, sf_dir), KEYS, "t", "x", "event_id", **more)
-    return out.select(*KEYS, "seq", r6(F.col("t")).alias("t"), "x")
+def _series(spark, sf_dir, keys=KEYS, **more):
+    return series.series(_points(spark, sf_dir), keys, "t", "x", "event_id", **more)
+
+
+def series_positions(spark, sf_dir):
+    return _series(spark, sf_dir).select(*KEYS, "seq", r6(F.col("t")).alias("t"), "x")
 
 
 def series_positions_split_keys(spark, sf_dir):
-    return series_positions(spark, sf_dir, rows_per_task=FEW_ROWS)
+    out = _series(spark, sf_dir, HOT, rows_per_task=FEW_ROWS)
+    return out.select(*HOT, "seq", r6(F.col("t")).alias("t"), "x")
 
 
-def _find(spark, sf_dir, step=25, prominence=30.0, edge=True, **more):
+def _find(spark, sf_dir, step=25, prominence=30.0, edge=True, keys=KEYS, **more):
     return series.find_peaks(
-        _points(spark, sf_dir, step), KEYS, prominence, edge=edge, tie="event_id", **more
+        _points(spark, sf_dir, step), keys, prominence, edge=edge, tie="event_id", **more
     )
 
 
@@ -44,8 +51,8 @@ def peaks(spark, sf_dir):
 
 
 def peaks_split_keys(spark, sf_dir):
-    found = _find(spark, sf_dir, rows_per_task=FEW_ROWS)
-    return found.peaks.select(*KEYS, "peak_seq", "peak_x", "prominence")
+    found = _find(spark, sf_dir, keys=HOT, rows_per_task=FEW_ROWS)
+    return found.peaks.select(*HOT, "peak_seq", "peak_x", "prominence", "ll", "ul")
 
 
 def peaks_inner(spark, sf_dir):
@@ -108,24 +115,24 @@ def run_meta(spark, sf_dir):
 
 
 def running_mean(spark, sf_dir):
-    pts = series.series(_points(spark, sf_dir), KEYS, "t", "x", "event_id")
+    pts = _series(spark, sf_dir)
     return series.moving_mean(pts, KEYS, 3).select(*KEYS, "seq", r6(F.col("mean"), 5).alias("mean"))
 
 
 def running_mean_split_keys(spark, sf_dir):
-    pts = series.series(_points(spark, sf_dir), KEYS, "t", "x", "event_id")
-    out = series.moving_mean(pts, KEYS, 3, rows_per_task=FEW_ROWS)
-    return out.select(*KEYS, "seq", r6(F.col("mean"), 5).alias("mean"))
+    pts = _series(spark, sf_dir, HOT)
+    out = series.moving_mean(pts, HOT, 3, rows_per_task=FEW_ROWS)
+    return out.select(*HOT, "seq", r6(F.col("mean"), 5).alias("mean"))
 
 
 def excess_decay(spark, sf_dir):
-    pts = series.series(_points(spark, sf_dir), KEYS, "t", "x", "event_id")
+    pts = _series(spark, sf_dir)
     out = series.excess_over_decay(pts, KEYS, 0.44, 18)
     return out.select(*KEYS, "seq", *[r6(F.col(c), 5).alias(c) for c in ("delta", "delta_low", "delta_high")])
 
 
 def two_point_c(spark, sf_dir):
-    pts = series.series(_points(spark, sf_dir), KEYS, "t", "x", "event_id")
+    pts = _series(spark, sf_dir)
     out = series.two_point_source(pts, KEYS, 0.44)
     return out.select(*KEYS, "seq", r6(F.col("C"), 5).alias("source_c"))
 
@@ -134,13 +141,13 @@ RATES = [round(0.05 * 1.25**k, 6) for k in range(24)]
 
 
 def three_point_fit(spark, sf_dir):
-    pts = series.series(_points(spark, sf_dir), KEYS, "t", "x", "event_id")
+    pts = _series(spark, sf_dir)
     out = series.three_point_fit(pts, KEYS, RATES)
     return out.select(*KEYS, "seq", r6(F.col("C"), 3).alias("source_c"), "d", r6(F.col("sse"), 3).alias("sse"))
 
 
 def _residuals(spark, sf_dir):
-    return series.series(_points(spark, sf_dir), KEYS, "t", "x", "event_id").withColumn(
+    return _series(spark, sf_dir).withColumn(
         "residual", F.col("x") - 245.0
     )
 
@@ -162,8 +169,8 @@ def auc_rect_trapz(spark, sf_dir):
 
 
 def auc_rect_trapz_split_keys(spark, sf_dir):
-    out = stats.area_under_curve(_points(spark, sf_dir), KEYS, 3, tie="event_id", rows_per_task=FEW_ROWS)
-    return out.select(*KEYS, r6(F.col("area"), 4).alias("area"))
+    out = stats.area_under_curve(_points(spark, sf_dir), HOT, 3, tie="event_id", rows_per_task=FEW_ROWS)
+    return out.select(*HOT, r6(F.col("area"), 4).alias("area"))
 
 
 def segment_start_match(spark, sf_dir):
@@ -186,6 +193,13 @@ pts AS (
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS seq FROM events)
 """
 _STEP = _PTS.format(x="floor(value / 25) * 25.0")
+_HOT_PTS = """
+pts AS (
+  SELECT 0 AS user_id, event_type, event_id, epoch_us(ts) / 86400000000.0 AS t, {x} AS x,
+    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS seq FROM events)
+"""
+_HOT_STEP = _HOT_PTS.format(x="floor(value / 25) * 25.0")
+_HOT_RAW = _HOT_PTS.format(x="value")
 _RAW = _PTS.format(x="value")
 
 
@@ -280,7 +294,7 @@ _SCREEN = """
       WHERE n > {least} AND x0 > {height})"""
 
 _TRAJ_SQL = (
-    f"WITH {_RAW}, {_peaks_sql('mn', f'x >= {MIN_HEIGHT}', PROMINENCE)}, {_STRICT}, "
+    f"WITH {_RAW}, {_peaks_sql('mn', f't.x >= {MIN_HEIGHT}', PROMINENCE)}, {_STRICT}, "
     + _SEGPTS.format(least=MIN_POINTS) + ", " + _SCREEN.format(least=MIN_POINTS, height=MIN_HEIGHT)
 )
 _HALF = """
@@ -292,22 +306,35 @@ _HALF = """
 _HALF_BASE = (
     f"WITH {_RAW}, {_peaks_sql('mn', 'true', PROMINENCE)}, {_TROUGH}, " + _SEGPTS.format(least=2) + f", {_HALF}"
 )
-_PAIRS = f"""WITH {_RAW}, pr AS (
+
+
+def _pairs_sql(pts: str) -> str:
+    return f"""WITH {pts}, pr AS (
     SELECT a.user_id, a.event_type, a.seq, a.t, a.x, b.t AS t2, b.x AS x2 FROM pts a JOIN pts b
     ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.seq = a.seq + 1)"""
 
 
+_PAIRS = _pairs_sql(_RAW)
+
+
 def _excess(d: float) -> str:
     return f"round(x2 - (18 + (x - 18) * exp(-{d} * (t2 - t))), 5) + 0.0"
 
 
-_POSITIONS = f"WITH {_RAW} SELECT user_id, event_type, seq, round(t, 6) + 0.0 AS t, x FROM pts"
-_PEAKS = f"""WITH {_STEP}, {_peaks_sql('mn')}
-    SELECT user_id, event_type, seq AS peak_seq, x AS peak_x, prominence FROM peaks"""
-_MEANS = f"""WITH {_RAW} SELECT a.user_id, a.event_type, a.seq, round(avg(b.x), 5) + 0.0 AS mean
+def _without_user(sql: str) -> str:
+    return f"SELECT * EXCLUDE (user_id) FROM ({sql})"
+
+
+def _positions_sql(pts: str) -> str:
+    return f"WITH {pts} SELECT user_id, event_type, seq, round(t, 6) + 0.0 AS t, x FROM pts"
+
+
+def _means_sql(pts: str) -> str:
+    return f"""WITH {pts} SELECT a.user_id, a.event_type, a.seq, round(avg(b.x), 5) + 0.0 AS mean
     FROM pts a JOIN pts b ON b.user_id = a.user_id AND b.event_type = a.event_type
     AND b.seq BETWEEN a.seq - 2 AND a.seq GROUP BY ALL HAVING count(*) = 3"""
-_AUC = f"""{_PAIRS} SELECT p.user_id, p.event_type, round(coalesce(sum(
+def _auc_sql(pts: str) -> str:
+    return f"""{_pairs_sql(pts)} SELECT p.user_id, p.event_type, round(coalesce(sum(
     CASE WHEN t2 - pr.t > 3 THEN (t2 - pr.t) * pr.x ELSE (t2 - pr.t) * (pr.x + x2) / 2 END), 0.0), 4) + 0.0 AS area
     FROM pts p LEFT JOIN pr ON pr.user_id = p.user_id AND pr.event_type = p.event_type AND pr.seq = p.seq
     GROUP BY ALL"""
@@ -338,11 +365,14 @@ QUERIES = {
 }
 
 ORACLES = {
-    "series": _POSITIONS,
-    "series_split_keys": _POSITIONS,
-    "peaks": _PEAKS,
-    "peaks_split_keys": _PEAKS,
-    "peaks_inner": f"""WITH {_STEP}, {_peaks_sql('NULL', 'x >= 100')}
+    "series": _positions_sql(_RAW),
+    "series_split_keys": _without_user(_positions_sql(_HOT_RAW)),
+    "peaks": f"""WITH {_STEP}, {_peaks_sql('mn')}
+        SELECT user_id, event_type, seq AS peak_seq, x AS peak_x, prominence FROM peaks""",
+    "peaks_split_keys": f"""WITH {_HOT_STEP}, {_peaks_sql('mn')}, {_STRICT}
+        SELECT p.event_type, p.seq AS peak_seq, p.x AS peak_x, p.prominence, s.ll, s.ul
+        FROM peaks p JOIN segs s ON s.event_type = p.event_type AND s.ll = p.seq""",
+    "peaks_inner": f"""WITH {_STEP}, {_peaks_sql('NULL', 't.x >= 100')}
         SELECT user_id, event_type, seq AS peak_seq, x AS peak_x, prominence FROM peaks""",
     "segments": f"""WITH {_STEP}, {_peaks_sql('mn')}, {_STRICT}
         SELECT user_id, event_type, ll AS peak_seq, ll, ul FROM segs WHERE ul - ll >= 2""",
@@ -374,8 +404,8 @@ ORACLES = {
           (SELECT count(*) FROM segs WHERE ul - ll >= {MIN_POINTS}) AS num_peaks,
           (SELECT count(*) FROM traj WHERE pos = 0) AS num_traj_meeting_criteria,
           CAST({MIN_POINTS} AS INT) AS min_peak2trough, CAST({MIN_HEIGHT} AS DOUBLE) AS min_peak_height""",
-    "running_mean": _MEANS,
-    "running_mean_split_keys": _MEANS,
+    "running_mean": _means_sql(_RAW),
+    "running_mean_split_keys": _without_user(_means_sql(_HOT_RAW)),
     "excess_decay": f"""{_PAIRS} SELECT user_id, event_type, seq, {_excess(0.44)} AS delta,
         {_excess(0.35)} AS delta_low, {_excess(0.8)} AS delta_high FROM pr""",
     "two_point_c": f"""{_PAIRS} SELECT user_id, event_type, seq, round(greatest(
@@ -413,8 +443,8 @@ ORACLES = {
           FROM c LEFT JOIN ch ON ch.user_id = c.user_id AND ch.event_type = c.event_type)
         SELECT user_id, event_type, n_runs, round((n_runs - mu + 0.5) / sqrt(CASE WHEN n > 1 AND (mu - 1) * (mu - 2) > 0
           THEN (mu - 1) * (mu - 2) / (n - 1) END), 6) + 0.0 AS z FROM f""",
-    "auc_rect_trapz": _AUC,
-    "auc_rect_trapz_split_keys": _AUC,
+    "auc_rect_trapz": _auc_sql(_RAW),
+    "auc_rect_trapz_split_keys": _without_user(_auc_sql(_HOT_RAW)),
     "segment_start_match": f"""WITH {_STEP}, {_peaks_sql('mn')},
         c AS (
           SELECT a.user_id, a.seq AS peak_seq, b.seq AS other_seq, b.t - a.t AS d,
