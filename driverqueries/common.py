@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents; one small file is one task, so it is spread over the cores if they outnumber its splits."""
+    df = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     return df.filter(F.col("event_type").isin(*types)) if types else df
@@ -22,6 +29,7 @@ def r6(column: Column, digits: int = 6) -> Column:
 
 # The driver's texts are invented words. These replacements, one after the other, turn the frequent ones into
 # report vocabulary, so that the report operators meet what they look for on whole tables of whole texts.
+# Accented letters become "e", as the two engines differ in what they call a word boundary next to them.
 REPORT_WORDS = [
     ("The ", "Final Diagnosis:\nLIVER, core biopsy: "),
     ("And ", "Note: "),
@@ -64,14 +72,26 @@ REPORT_WORDS = [
 SITE_CODES = ["MGH", "BWH", "NWH", "FH", "NSM", "OTHER", "MGH"]
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as reports: report_id, site and text in report vocabulary."""
-    text = F.col("text")
+def _in_report_words(text: Column) -> Column:
+    text = F.regexp_replace(text, "[^\\x00-\\x7F]", "e")
     for word, term in REPORT_WORDS:
         text = F.replace(text, F.lit(word), F.lit(term))
+    return text
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as reports: report_id, site and text in report vocabulary."""
     site = F.get(F.array(*[F.lit(s) for s in SITE_CODES]), (F.col("doc_id") % len(SITE_CODES)).cast("int"))
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("report_id"), site.alias("MRN_Type"), text.alias("Report_Text")
+    return texts(spark, sf_dir).select(
+        F.col("doc_id").alias("report_id"), site.alias("MRN_Type"), _in_report_words(F.col("text")).alias("Report_Text")
+    )
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as reports, keyed by conversation and turn."""
+    key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return table(spark, sf_dir, "conversations").select(
+        key.alias("report_id"), _in_report_words(F.col("text")).alias("Report_Text")
     )
 
 
@@ -85,8 +105,16 @@ def nested_replace_sql(column: str, rules) -> str:
     return column
 
 
+def _text_sql(column: str) -> str:
+    return nested_replace_sql(f"regexp_replace({column}, '[^\\x00-\\x7F]', 'e', 'g')", REPORT_WORDS)
+
+
 REPORTS_SQL = (
     "reports AS MATERIALIZED (SELECT doc_id AS report_id, CASE doc_id % 7 "
     + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SITE_CODES))
-    + f" END AS site, {nested_replace_sql('text', REPORT_WORDS)} AS txt FROM documents)"
+    + f" END AS site, {_text_sql('text')} AS txt FROM documents)"
+)
+DIALOGUES_SQL = (
+    "reports AS MATERIALIZED (SELECT conv_id || '_' || turn AS report_id, "
+    + f"{_text_sql('text')} AS txt FROM conversations)"
 )

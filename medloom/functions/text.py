@@ -58,6 +58,11 @@ def rewrite(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, rule: F.replace(c, F.lit(rule[0]), F.lit(rule[1])), rules, text)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def proximity_pattern(first: str, second: str, between: int) -> str:
     """``first``, a gap, at most ``between`` words, then ``second``."""
     return rf"{first}\W+(?:\w+\W+){{0,{between}}}?{second}"

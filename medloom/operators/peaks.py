@@ -14,27 +14,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 128
+BLOCK = 64
 
 # A select that reuses a column's name for its new value would feed that value to the lambdas beside it.
 _NEW = {"_new_base": "_base", "_new_at": "_at", "_new_level": "_level"}
 
 
-def _search(nodes: Column, start: Column, height: Column, side: str) -> tuple[Column, Column]:
-    """(nearest node with a greater height, least valley up to it) on one side of ``start``."""
+def _higher(nodes: Column, start: Column, height: Column, side: str) -> Column:
+    """Nearest node on one side of ``start`` with a greater height, or null."""
     if side == "left":
-        def beyond(e):
-            return e["i"] < start
+        return F.try_element_at(F.filter(nodes, lambda e: (e["i"] < start) & (e["h"] > height)), F.lit(-1))["i"]
+    return F.get(F.filter(nodes, lambda e: (e["i"] > start) & (e["h"] > height)), F.lit(0))["i"]
 
-        higher = F.try_element_at(F.filter(nodes, lambda e: beyond(e) & (e["h"] > height)), F.lit(-1))["i"]
-        passed = F.filter(nodes, lambda e: beyond(e) & F.coalesce(e["i"] >= higher, F.lit(True)))
-    else:
-        def beyond(e):
-            return e["i"] > start
 
-        higher = F.get(F.filter(nodes, lambda e: beyond(e) & (e["h"] > height)), F.lit(0))["i"]
-        passed = F.filter(nodes, lambda e: beyond(e) & F.coalesce(e["i"] < higher, F.lit(True)))
-    return higher, F.array_min(F.transform(passed, lambda e: e["v"]))
+def _least(nodes: Column, first: Column, last: Column) -> Column:
+    """Least valley of the nodes from ``first`` to ``last``; a null bound is open."""
+    def inside(e: Column) -> Column:
+        return F.coalesce(e["i"] >= first, F.lit(True)) & F.coalesce(e["i"] <= last, F.lit(True))
+
+    return F.array_min(F.transform(F.filter(nodes, inside), lambda e: e["v"]))
 
 
 def _packed(nodes: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -65,18 +63,15 @@ def _far_base(open_peaks: DataFrame, trees: list[DataFrame], keys: list[str], si
         joined = pending.withColumn("_node", F.floor(F.col("_at") / block).cast("bigint")).join(
             trees[level].withColumnRenamed("_parent", "_node"), [*keys, "_node"], "left"
         )
-        higher, least = _search(F.col("_nodes"), F.col("_at"), F.col("_h"), side)
+        # Found once per row, before the lambdas that use it.
+        joined = joined.withColumn("_higher", _higher(F.col("_nodes"), F.col("_at"), F.col("_h"), side))
+        higher = F.col("_higher")
         hit = climbing & higher.isNotNull()
         # The valleys of the node that holds the higher peak count only in part: added on the way down.
         if side == "left":
-            clear = F.array_min(
-                F.transform(
-                    F.filter("_nodes", lambda e: (e["i"] < F.col("_at")) & (e["i"] > F.coalesce(higher, F.lit(-1)))),
-                    lambda e: e["v"],
-                )
-            )
+            clear = _least(F.col("_nodes"), higher + 1, F.col("_at") - 1)
         else:
-            clear = least
+            clear = _least(F.col("_nodes"), F.col("_at") + 1, higher - 1)
         pending = joined.select(
             *keys, "_peak", "_h",
             F.when(climbing, F.least("_base", clear)).otherwise(F.col("_base")).alias("_new_base"),
@@ -89,17 +84,13 @@ def _far_base(open_peaks: DataFrame, trees: list[DataFrame], keys: list[str], si
             trees[level - 1].select(*keys, F.col("_parent").alias("_at"), "_nodes"), [*keys, "_at"], "left"
         )
         edge = F.lit(2**62 if side == "left" else -1)
-        higher, least = _search(F.col("_nodes"), edge, F.col("_h"), side)
-        if side == "left":
-            partial = F.array_min(
-                F.transform(F.filter("_nodes", lambda e: e["i"] > higher), lambda e: e["v"])
-            )
-            if level == 1:
-                partial = F.least(partial, F.array_min(
-                    F.transform(F.filter("_nodes", lambda e: e["i"] == higher), lambda e: e["v"])
-                ))
+        joined = joined.withColumn("_higher", _higher(F.col("_nodes"), edge, F.col("_h"), side))
+        higher = F.col("_higher")
+        if side == "right":
+            partial = _least(F.col("_nodes"), F.lit(None).cast("bigint"), higher - 1)
         else:
-            partial = least
+            # A leaf's valley lies after its peak, so on the left the higher peak's own valley counts.
+            partial = _least(F.col("_nodes"), higher if level == 1 else higher + 1, F.lit(None).cast("bigint"))
         pending = joined.select(
             *keys, "_peak", "_h",
             F.when(down, F.least("_base", partial)).otherwise(F.col("_base")).alias("_new_base"),
@@ -120,17 +111,26 @@ def prominences(stretches: DataFrame, keys: list[str], most: int, block: int = B
     while block ** len(trees) <= most:
         trees.append(_packed(_parents(trees[-1], keys), keys, block))
 
-    def bases(e: Column) -> Column:
-        left, left_least = _search(F.col("_nodes"), e["i"], e["h"], "left")
-        right, right_least = _search(F.col("_nodes"), e["i"], e["h"], "right")
-        return F.struct(
-            e["i"].alias("i"), e["h"].alias("h"),
-            left.isNull().alias("left_open"), left_least.alias("left_base"),
-            right.isNull().alias("right_open"), F.least(e["v"], right_least).alias("right_base"),
-        )
-
-    peaks = F.filter("_nodes", lambda e: e["h"].isNotNull())
-    near = trees[0].select(*keys, F.explode(F.transform(peaks, bases)).alias("_p")).select(*keys, "_p.*")
+    nodes = F.col("_nodes")
+    nearest = F.transform(
+        F.filter(nodes, lambda e: e["h"].isNotNull()),
+        lambda e: F.struct(
+            e["i"].alias("i"), e["h"].alias("h"), e["v"].alias("v"),
+            _higher(nodes, e["i"], e["h"], "left").alias("left"),
+            _higher(nodes, e["i"], e["h"], "right").alias("right"),
+        ),
+    )
+    bases = F.transform(
+        nearest,
+        lambda p: F.struct(
+            p["i"].alias("i"), p["h"].alias("h"),
+            p["left"].isNull().alias("left_open"),
+            _least(nodes, p["left"], p["i"] - 1).alias("left_base"),
+            p["right"].isNull().alias("right_open"),
+            _least(nodes, p["i"], p["right"] - 1).alias("right_base"),
+        ),
+    )
+    near = trees[0].select(*keys, F.explode(bases).alias("_p")).select(*keys, "_p.*")
     if len(trees) > 1:
         for side in ("left", "right"):
             far = _far_base(near.filter(F.col(f"{side}_open")), trees, keys, side, block)
