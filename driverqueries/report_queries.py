@@ -287,7 +287,7 @@ ORACLES = {
           SELECT report_id, 2147483647, 0, 0, 'colitis mayo-' || score, true FROM sc),
         f AS (SELECT report_id, {_tri_sql(colon)}, coalesce(string_agg(text, '|' ORDER BY sent_no, segment_no, ent_no)
             FILTER (affirmed AND {_stated_sql(colon)}), '') AS dl FROM am GROUP BY report_id)
-        SELECT r.report_id, f.* EXCLUDE (report_id, dl), least(score, 3.0) AS mayo_score, coalesce(dl, '') AS disease_list
+        SELECT r.report_id, f.* EXCLUDE (report_id, dl), CASE WHEN score > 3 THEN 3.0 ELSE score END AS mayo_score, coalesce(dl, '') AS disease_list
         FROM reports r LEFT JOIN f ON f.report_id = r.report_id AND r.site <> 'OTHER'
         LEFT JOIN sc ON sc.report_id = r.report_id AND r.site <> 'OTHER'""",
     "score_max": _sentences_sql(colon) + _SCORES + " SELECT report_id, score FROM sc",

@@ -61,7 +61,7 @@ def colon_findings(mention_rows: DataFrame, score_rows: DataFrame, key: str) ->
     rows = mention_rows.drop("stage", "stage_scale").unionByName(from_score, allowMissingColumns=True)
     return rows.groupBy(key).agg(
         *[col.alias(name) for name, col in finding_columns(colon).items()],
-        F.least(F.max("score"), F.lit(float(colon.SCORE_CAP))).alias("mayo_score"),
+        F.max(F.least("score", F.when(F.col("score").isNotNull(), F.lit(float(colon.SCORE_CAP))))).alias("mayo_score"),
         ordered_list(F.col("affirmed") & _states_finding(colon)).alias("disease_list"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +47,9 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="medloom-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table that is read several times to the shared checkpoint folder and go on from there."""
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
