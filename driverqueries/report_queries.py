@@ -20,7 +20,7 @@ def normalised_sentences(spark, sf_dir):
 
 
 def _spans(df, rules, is_colon):
-    rows = op.sentences(df, "report_id", "Report_Text", rules).drop("report")
+    rows = op.sentences(df, "report_id", "Report_Text", rules)
     return op.flip_leading(op.spans(rows, rules, is_colon))
 
 

@@ -83,14 +83,22 @@ def tag_normal(sentence: Column, rules) -> Column:
 
 
 def sentences(df: DataFrame, key: str, text: str, rules) -> DataFrame:
-    """(key, report, sent_no, sentence): normalised sentences; ``report`` is the prepared text they come from."""
+    """(key, sent_no, sentence, report-level facts): normalised sentences.
+
+    Facts of the whole report are computed before the split, so that no sentence carries the report along.
+    The outer explode is on purpose: a plain one makes the optimizer test the array's size first and compute
+    the whole chain of rewrites a second time for it.
+    """
     prepared = df.select(key, prepare_report(F.col(text), rules).alias("report"))
-    split = prepared.withColumn(
-        "_all", F.transform(F.split("report", r"\."), lambda s: normalise_sentence(s, rules))
+    facts = {name: F.col("report").rlike(near(*pairs)) for name, pairs in getattr(rules, "REPORT_PROXIMITY", {}).items()}
+    split = prepared.select(
+        key,
+        F.transform(F.split("report", r"\."), lambda s: normalise_sentence(s, rules)).alias("_all"),
+        *[col.alias(name) for name, col in facts.items()],
     )
     if hasattr(rules, "CARRIED"):
         split = split.withColumn("_all", carry_forward(F.col("_all"), rules))
-    out = split.select(key, "report", F.posexplode("_all").alias("sent_no", "sentence"))
+    out = split.select(key, F.posexplode_outer("_all").alias("sent_no", "sentence"), *facts)
     if hasattr(rules, "NORMAL"):
         out = out.withColumn("sentence", tag_normal(F.col("sentence"), rules))
     return out
@@ -100,8 +108,7 @@ def features(rules) -> dict[str, Column]:
     """Named facts of a sentence that the context rules ask for."""
     sentence = F.col("sentence")
     out = {name: sentence.rlike(near(*pairs)) for name, pairs in rules.PROXIMITY.items()}
-    for name, pairs in getattr(rules, "REPORT_PROXIMITY", {}).items():
-        out[name] = F.col("report").rlike(near(*pairs))
+    out |= {name: F.col(name) for name in getattr(rules, "REPORT_PROXIMITY", {})}
     count = occurrences(sentence, "inflammation")
     taken = (sentence.contains("biops") | sentence.contains(" bx ")) & sentence.contains("taken")
     out |= {
@@ -161,10 +168,10 @@ def spans(df: DataFrame, rules, colon: bool = False) -> DataFrame:
     """
     triggers = trigger_patterns(colon)
     cut = F.split(F.regexp_replace("sentence", f"({triggers['termination']})", BREAK + "$1"), BREAK)
-    rows = df.select(*df.columns, F.posexplode(cut).alias("segment_no", "_segment"))
+    rows = df.select(*df.columns, F.posexplode_outer(cut).alias("segment_no", "_segment"))
     marked = F.regexp_replace("_segment", f"({mention_pattern(rules)})", OPEN + "$1" + CLOSE)
-    rows = rows.select(*df.columns, "segment_no", F.split(marked, OPEN).alias("_parts")).filter(F.size("_parts") > 1)
-    rows = rows.select("*", F.posexplode("_parts").alias("ent_no", "_part")).filter(F.col("ent_no") > 0)
+    rows = rows.select(*df.columns, "segment_no", F.split(marked, OPEN).alias("_parts"))
+    rows = rows.select("*", F.posexplode_outer("_parts").alias("ent_no", "_part")).filter(F.col("ent_no") > 0)
     rest = F.slice("_parts", F.col("ent_no") + 2, F.size("_parts"))
     before = F.replace(F.array_join(F.slice("_parts", F.lit(1), F.col("ent_no")), ""), F.lit(CLOSE), F.lit(""))
     after = F.concat(
@@ -231,7 +238,7 @@ def mentions(
     found = rows.filter(F.col("sentence").rlike(mention_pattern(rules))) if extractor is None else rows
     if hasattr(rules, "STAGE_REWRITES"):
         found = parse_stages(found, rules)
-    found = found.withColumns(features(rules))
+    found = found.withColumns({n: c for n, c in features(rules).items() if n not in found.columns})
     found = spans(found, rules, colon) if extractor is None else extractor(found)
     # One row in, one row out: the explode keeps later filters from being written in terms of the whole chain.
     found = flip_leading(found).select(
@@ -266,5 +273,9 @@ def sentence_score(sentence: Column, rules) -> Column:
 
 def scores(df: DataFrame, key: str, text: str, rules) -> DataFrame:
     """(key, score): greatest score of each report that has one, not capped."""
-    rows = sentences(df, key, text, rules).select(key, sentence_score(F.col("sentence"), rules).alias("_score"))
+    named = F.filter(
+        F.split(prepare_report(F.col(text), rules), r"\."), lambda s: s.contains(rules.SCORE_WORDS[0])
+    )
+    lines = df.select(key, F.explode_outer(F.transform(named, lambda s: normalise_sentence(s, rules))).alias("_line"))
+    rows = lines.select(key, sentence_score(F.col("_line"), rules).alias("_score"))
     return rows.filter(F.col("_score").isNotNull()).groupBy(key).agg(F.max("_score").alias("score"))
