@@ -181,23 +181,24 @@ def _solve_two(rows: DataFrame, keep: list[str]) -> DataFrame:
     cases += [(v, F.try_divide(b[1] - g("g01") * v, g("g11"))) for v in bound[0]]
     cases += [(F.try_divide(b[0] - g("g01") * v, g("g00")), v) for v in bound[1]]
     cases += [(v, w) for v in bound[0] for w in bound[1]]
+    staged = rows.select(
+        "*", *[c.alias(f"p{k}") for k, (c, _) in enumerate(cases)], *[c.alias(f"q{k}") for k, (_, c) in enumerate(cases)]
+    )
 
     def inside(value: Column, i: int) -> Column:
         slack = 1e-9 * F.greatest(F.abs(value), F.lit(1.0))
         return (value >= g(f"lo{i}") - slack) & (value <= g(f"hi{i}") + slack) & (F.abs(value) < _INF)
 
-    tried = rows.withColumn("_cases", F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in cases]))
-    feasible = F.filter("_cases", lambda c: inside(c["p"], 0) & inside(c["q"], 1))
-
-    def error(c: Column) -> Column:
-        p, q = c["p"], c["q"]
+    tried = []
+    for k in range(len(cases)):
+        p, q = F.col(f"p{k}"), F.col(f"q{k}")
         square = p * p * g("g00") + 2 * p * q * g("g01") + q * q * g("g11")
-        return F.greatest(g("xx") - 2 * (p * b[0] + q * b[1]) + square, F.lit(0.0))
-
-    best = F.array_min(F.transform(feasible, lambda c: F.struct(error(c).alias("sse"), c["p"].alias("c0"), c["q"].alias("c1"))))
-    return tried.withColumn("_best", best).filter(F.col("_best").isNotNull()).select(*keep, "_best.c0", "_best.c1", "_best.sse")
+        error = F.greatest(g("xx") - 2 * (p * b[0] + q * b[1]) + square, F.lit(0.0))
+        tried.append(F.when(inside(p, 0) & inside(q, 1), F.struct(error.alias("sse"), p.alias("c0"), q.alias("c1"))))
+    return staged.select(*keep, F.least(*tried).alias("_fit")).select(*keep, "_fit.c0", "_fit.c1", "_fit.sse")
 
 
+STRETCH = 4096
 _START = ["traj_id", "x0", "x_last", "t_last"]
 
 
@@ -212,11 +213,17 @@ def starts(points: DataFrame) -> DataFrame:
     )
 
 
-def _try_grid(points: DataFrame, candidates: DataFrame, model: Model) -> DataFrame:
-    """Best candidate per trajectory; ``candidates`` has the start columns and an array of rate structs."""
+def _try_grid(points: DataFrame, start: DataFrame, axes: dict[str, list[Column]], model: Model) -> DataFrame:
+    """Best grid point per trajectory; the axes are expressions of the columns of ``start``.
+
+    The points are few bytes but much work once every grid point is tried on them, so they are spread by count
+    and not by size: by trajectory, a long one in stretches, whose sums are combined afterwards.
+    """
     rates = {r: F.col(f"r_{r}") for r in model.rates}
-    rows = points.select("traj_id", "t", "x").join(candidates, "traj_id")
-    rows = rows.withColumn("_r", F.explode("_grid")).select(
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.select("traj_id", "pos", "t", "x").join(start, "traj_id")
+    rows = rows.repartition(parts, "traj_id", F.floor(F.col("pos") / STRETCH))
+    rows = rows.withColumn("_r", F.explode(_grid_array(axes))).select(
         *_START, "t", "x", *[F.col(f"_r.{r}").alias(f"r_{r}") for r in model.rates]
     ).filter(model.valid(rates))
     basis = model.basis(F.col("t"), rates)
@@ -238,8 +245,8 @@ def _try_grid(points: DataFrame, candidates: DataFrame, model: Model) -> DataFra
         schema = ", ".join([f"{c} {types[c]}" for c in keep] + [f"c{i} double" for i in range(size)] + ["sse double"])
         solved = grams.mapInPandas(_solve(size), schema)
     row = F.struct("sse", *[f"r_{r}" for r in model.rates], *_START[1:], *[f"c{i}" for i in range(size)])
-    best = solved.groupBy("traj_id").agg(F.min(row).alias("_b")).select("traj_id", "_b.*")
-    return best
+    best = solved.groupBy("traj_id").agg(F.min(F.when(F.col("sse").isNotNull(), row)).alias("_b"))
+    return best.filter(F.col("_b").isNotNull()).select("traj_id", "_b.*")
 
 
 def _grid_array(axes: dict[str, list[Column]]) -> Column:
@@ -264,7 +271,7 @@ def fit(points: DataFrame, model: Model, zooms: int = 3, offset: float = 0.0) ->
         r: [F.lit(v) * F.col("t_last") if r in model.relative else F.lit(v) for v in model.grid[r]]
         for r in model.rates
     }
-    best = _try_grid(shifted, first.select(*_START, _grid_array(axes).alias("_grid")), model)
+    best = _try_grid(shifted, first.select(*_START), axes, model)
     ratio = {
         r: (model.grid[r][1] - model.grid[r][0]) if r in model.relative else model.grid[r][1] / model.grid[r][0]
         for r in model.rates
@@ -280,7 +287,7 @@ def fit(points: DataFrame, model: Model, zooms: int = 3, offset: float = 0.0) ->
                 axes[r] = [F.greatest(F.least(m, F.col("t_last")), F.lit(0.0)) for m in moved]
             else:
                 axes[r] = [at * F.lit(ratio[r] ** s) for s in steps]
-        best = _try_grid(shifted, best.select(*_START, _grid_array(axes).alias("_grid")), model)
+        best = _try_grid(shifted, best.select(*_START, *[f"r_{r}" for r in model.rates]), axes, model)
         for r in model.rates:
             ratio[r] = ratio[r] / around if r in model.relative else ratio[r] ** (1 / around)
     rates = {r: F.col(f"r_{r}") for r in model.rates}

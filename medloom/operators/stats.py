@@ -12,7 +12,6 @@ STATISTICS = {
     "sum": lambda y: F.sum(y),
     "count": lambda y: F.count(y),
     "std": lambda y: F.stddev_pop(y),
-    "median": lambda y: F.median(y),
     "min": lambda y: F.min(y),
     "max": lambda y: F.max(y),
     "sem": lambda y: F.stddev_pop(y) / F.sqrt(F.count(y)),

@@ -99,11 +99,11 @@ def composite_key(*parts: Column) -> Column:
 def longest_per_key(df: DataFrame, keys: Sequence[str], text: str, ties: Sequence[str] = ()) -> DataFrame:
     """One row per key, the one with the longest text; then by the tie columns and the text, least first.
 
-    Two aggregates with partial merging, no window: copies of one report shrink before the shuffle however
-    many there are. The first finds the greatest length, the second the least row of that length.
+    One aggregate with partial merging, no window: copies of one report shrink before the shuffle however many
+    there are.
     """
     others = [c for c in df.columns if c not in keys and c not in ties and c != text]
-    rank = F.struct(F.coalesce(-F.length(text), F.lit(1)).alias("n"), *ties, text, *others)
+    rank = F.struct(F.coalesce(-F.length(text), F.lit(1)).alias("_rank"), *ties, text, *others)
     best = df.groupBy(*keys).agg(F.min(rank).alias("_best"))
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
