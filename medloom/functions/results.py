@@ -147,12 +147,15 @@ def interpret_results(
     value = F.when(numeric, to_number(strip_sign(raw))).when(titer, titer_value(raw, F.col(comment))).otherwise(
         to_number(raw)
     )
-    named = F.coalesce(numeric | titer, F.lit(False))
-    return (
-        df.withColumn(f"{result}_orig", raw)
-        .withColumn(flag, F.when(F.coalesce(numeric, F.lit(False)), F.coalesce(censoring_flag(raw), F.lit(0))).otherwise(0))
-        .withColumn(result, value)
-        .withColumn("rejected", named & F.col(result).isNull())
+    listed = [*(numeric_tests or NUMERIC_TESTS), *(titer_tests or TITER_TESTS)]
+    sign = F.when(F.coalesce(numeric, F.lit(False)), F.coalesce(censoring_flag(raw), F.lit(0))).otherwise(0)
+    # One row in, one row out: behind the explode, a filter on the value does not compute it a second time.
+    out = df.select(
+        *[c for c in df.columns if c != result],
+        raw.alias(f"{result}_orig"), sign.alias(flag), F.explode(F.array(value)).alias(result),
+    )
+    return out.withColumn(
+        "rejected", F.coalesce(F.col(test).isin(*listed), F.lit(False)) & F.col(result).isNull()
     )
 
 
