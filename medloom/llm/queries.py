@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from medloom.llm.base import documents
+from medloom.llm.counting import token_counts
 from medloom.llm.packing import pack
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op9_packing,)}
+QUERIES = {f.__name__: f for f in (op7_token_counts, op9_packing)}
 ORACLES: dict[str, str] = {}

@@ -26,7 +26,7 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LET
 _END = b"\xff"
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """Byte-level files write a printable Latin-1 byte as itself and the other bytes as characters from U+0100 on."""
     shown = {chr(b): b for b in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]}
     hidden = [b for b in range(256) if chr(b) not in shown]
@@ -52,7 +52,7 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        alphabet, vocab = _byte_alphabet(), model["vocab"]
+        alphabet, vocab = byte_alphabet(), model["vocab"]
 
         def raw(token: str) -> bytes:
             ends = token.endswith("</w>")
