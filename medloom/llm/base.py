@@ -54,3 +54,13 @@ def text_list(column: pa.Array) -> list[bytes]:
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def keep_rows(docs: DataFrame, wanted, column: str = "text") -> DataFrame:
+    """The rows, with all their columns, for which ``wanted(record batch)`` gives true; runs over slices."""
+
+    def run(batches):
+        for batch in slices(batches, column):
+            yield batch.filter(pa.array(wanted(batch), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
