@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from medloom.llm.base import documents, table
 from medloom.llm.counting import token_counts
 from medloom.llm.decontamination import contamination
+from medloom.llm.fingerprints import fingerprints
 from medloom.llm.packing import pack
 from medloom.llm.secrets import secret_spans
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -27,5 +32,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_secret_scan, op7_token_counts, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op5_secret_scan, op7_token_counts, op9_packing)}
 ORACLES: dict[str, str] = {}
