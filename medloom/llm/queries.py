@@ -8,6 +8,7 @@ from medloom.llm.base import documents, table
 from medloom.llm.counting import token_counts
 from medloom.llm.decontamination import contamination
 from medloom.llm.fingerprints import fingerprints
+from medloom.llm.language import language_id
 from medloom.llm.packing import pack
 from medloom.llm.secrets import secret_spans
 
@@ -32,5 +33,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op5_secret_scan, op7_token_counts, op9_packing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op5_secret_scan, op7_token_counts, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {}
