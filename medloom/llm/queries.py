@@ -11,6 +11,7 @@ from medloom.llm.fingerprints import fingerprints
 from medloom.llm.language import language_id
 from medloom.llm.packing import pack
 from medloom.llm.secrets import secret_spans
+from medloom.llm.toxicity import toxicity
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
 
@@ -37,5 +42,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op5_secret_scan, op7_token_counts, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op4_toxicity, op5_secret_scan, op7_token_counts, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {}
