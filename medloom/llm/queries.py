@@ -10,6 +10,7 @@ from medloom.llm.decontamination import contamination
 from medloom.llm.fingerprints import fingerprints
 from medloom.llm.language import language_id
 from medloom.llm.packing import pack
+from medloom.llm.quality import quality
 from medloom.llm.secrets import secret_spans
 from medloom.llm.toxicity import toxicity
 
@@ -34,6 +35,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -42,5 +47,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op4_toxicity, op5_secret_scan, op7_token_counts, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op4_toxicity, op5_secret_scan, op7_token_counts, op8_quality, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {}
