@@ -8,6 +8,7 @@ from medloom.llm.base import documents, table
 from medloom.llm.counting import token_counts
 from medloom.llm.decontamination import contamination
 from medloom.llm.fingerprints import fingerprints
+from medloom.llm.jaccard import near_duplicates
 from medloom.llm.language import language_id
 from medloom.llm.packing import pack
 from medloom.llm.quality import quality
@@ -31,6 +32,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -47,5 +52,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op4_toxicity, op5_secret_scan, op7_token_counts, op8_quality, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {}
