@@ -13,6 +13,7 @@ from medloom.llm.language import language_id
 from medloom.llm.packing import pack
 from medloom.llm.quality import quality
 from medloom.llm.secrets import secret_spans
+from medloom.llm.substrings import repeated_substrings
 from medloom.llm.toxicity import toxicity
 
 
@@ -20,6 +21,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -52,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {}
