@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from medloom.session import cut_lineage
+
 SLICE_BYTES = 1 << 21
 
 
@@ -20,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a table that later steps read, and have Spark remove the shuffle files that only led to it."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about ``limit`` bytes of text, so that arrays per byte stay small.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medloom.llm.base import batch_of, slices, text_bytes, text_list
+from medloom.llm.base import batch_of, settle, slices, text_bytes, text_list
 from medloom.llm.parsing import finish, phrases, rolling
 
 WINDOW = 100
@@ -248,7 +248,7 @@ def repeated_substrings(
     once = once.select("doc", "tie", "text")
 
     triggers = once.select("text").mapInArrow(lambda b: _phrase_rows(b, window, gram, False), "h long")
-    shared = triggers.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    shared = settle(triggers.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     found = once.mapInArrow(
         lambda b: _phrase_rows(b, window, gram, True), "h long, rh long, doc long, tie long, span long")
     found = found.join(shared, "h")
