@@ -243,7 +243,7 @@ def count_tokens_of(texts: list[bytes], name: str) -> np.ndarray:
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     kinds[np.searchsorted(first, ends)] = RESET
     starts = first[piece_starts(kinds)]
-    stops = np.append(starts[1:], len(data))
+    stops = np.append(starts[1:], len(data))[: len(starts)]
     part = np.searchsorted(ends, starts)
     np.minimum(stops, ends[part], out=stops)
     pieces = map(joined.__getitem__, map(slice, starts.tolist(), stops.tolist()))

@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from medloom.llm.base import slices, text_list
+from medloom.llm.base import settle, slices, text_list
 from medloom.llm.shingles import set_id, shingle_sets
-from medloom.session import cut_lineage
 
 SHINGLE_WORDS = 5
 BLOCK_SHINGLES = 1 << 20
@@ -186,8 +186,8 @@ def _candidates(pairs: DataFrame, limit: Threshold) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(v, label) with the least vertex that can be reached, for links (a, b); all in Spark joins."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.distinct())
-    labels = cut_lineage(
+    both = settle(both.distinct())
+    labels = settle(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label"))
     )
     while True:
@@ -196,7 +196,7 @@ def components(links: DataFrame) -> DataFrame:
             "v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("v").alias("u"), F.col("label").alias("up"))
         step = step.join(up, F.col("label") == F.col("u")).select("v", "old", F.least("label", "up").alias("label"))
-        step = cut_lineage(step)
+        step = settle(step)
         labels = step.select("v", "label")
         if step.filter("label < old").isEmpty():
             return labels
@@ -210,12 +210,13 @@ def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold
     rows = docs.select("text").mapInArrow(
         lambda b: _prefixes(b, words, limit, frequent.value), "s long, sid long, place long")
     shared = rows.groupBy("s").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most")
-    lists = rows.join(shared.select("s", "least"), "s").groupBy("s", "sid").agg(
+    shared = settle(shared.select("s", "least"))
+    lists = rows.join(shared, "s").groupBy("s", "sid").agg(
         F.first("place").alias("place"), F.first("least").alias("least"))
-    lists = cut_lineage(lists)
+    lists = settle(lists)
     names = lists.select("sid").distinct()
     texts = docs.select("text").mapInArrow(lambda b: _texts_of(b, words), "sid long, text binary")
-    texts = cut_lineage(texts.join(names, "sid").groupBy("sid").agg(F.first("text").alias("text")))
+    texts = settle(texts.join(names, "sid").groupBy("sid").agg(F.first("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
@@ -228,17 +229,17 @@ def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold
     stars = lists.filter("sid > least").select("s", F.col("sid").alias("a"), F.col("place").alias("place_a"))
     stars = _candidates(stars.join(least, "s"), limit).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
     stars = stars.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    stars = cut_lineage(verified(stars))
+    stars = settle(verified(stars))
     trees = components(stars)
 
     # All other candidates between different trees.
     lists = lists.join(trees.withColumnRenamed("v", "sid"), "sid", "left").select(
         "s", "sid", "place", F.coalesce("label", "sid").alias("tree"))
-    lists = cut_lineage(lists)
+    lists = settle(lists)
     sizes = lists.groupBy("s", "tree").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("s").agg(F.max(F.struct("n", "tree")).alias("largest"), F.count(F.lit(1)).alias("trees"))
     largest = largest.filter("trees > 1").select("s", F.col("largest.tree").alias("largest"))
-    mixed = cut_lineage(lists.join(largest, "s"))
+    mixed = settle(lists.join(largest, "s"))
     outside = mixed.filter("tree <> largest").select(
         "s", F.col("sid").alias("x"), F.col("place").alias("place_a"), F.col("tree").alias("tree_x"))
     inside = mixed.select("s", F.col("sid").alias("y"), F.col("place").alias("place_b"), F.col("tree").alias("tree_y"))
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshol
     """Per document: doc_id, n_shingles, component_id (least doc_id that links reach)."""
     labels = components(similar_links(docs, words, limit))
     rows = _narrow(docs).mapInArrow(lambda b: _names(b, words), "doc_id long, n_shingles long, sid long")
-    rows = cut_lineage(rows)
+    rows = settle(rows)
     rows = rows.join(labels, F.col("sid") == F.col("v"), "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("label", "sid").alias("class"))
     # The least id of a class, with partial minima before the shuffle; classes may be large, so the join back is
@@ -259,3 +260,31 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshol
     least = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "class", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold = Threshold()) -> DataFrame:
+    """The documents, with all columns, of which no group has more than one: the row of the least doc_id stays.
+
+    Documents without words stay as they are. Whole rows are shuffled once.
+    """
+    labels = components(similar_links(docs, words, limit))
+    rows = settle(_narrow(docs).mapInArrow(lambda b: _names(b, words), "doc_id long, n_shingles long, sid long"))
+    rows = rows.filter("sid is not null").join(labels, F.col("sid") == F.col("v"), "left")
+    first = rows.groupBy(F.coalesce("label", "sid").alias("class")).agg(F.min(F.struct("doc_id", "sid")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.sid").alias("_first_sid"))
+    names, schema = docs.columns, docs.schema
+
+    def named(batches):
+        for batch in slices(batches):
+            sets = shingle_sets(text_list(batch.column("text")), words)
+            sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sid], names=[*names, "_first_sid"])
+
+    marked = docs.mapInArrow(named, StructType([*schema.fields, StructField("_first_sid", LongType())]))
+    marked = marked.withColumn("_first_id", F.col("doc_id").cast("long"))
+    wordless = marked.filter("_first_sid is null").select(*names)
+    kept = marked.filter("_first_sid is not null").join(
+        first.withColumnRenamed("_first_sid", "_s").withColumnRenamed("_first_id", "_i"),
+        (F.col("_first_sid") == F.col("_s")) & F.col("_first_id").eqNullSafe(F.col("_i")),
+    ).dropDuplicates(["_first_sid", "_first_id"]).select(*names)
+    return kept.unionByName(wordless)
