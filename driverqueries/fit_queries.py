@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driverqueries.common import events, r6
+from driverqueries.common import events, r6, table
 from driverqueries.series_queries import (
-    _RAW, _SEGPTS, _TROUGH, KEYS, PROMINENCE, _all_segment_points, _peaks_sql, _points,
+    _RAW, _SEGPTS, _TROUGH, PROMINENCE, _peaks_sql, _points,
 )
 from medloom.functions import models as forms
 from medloom.functions.time import epoch_days
@@ -17,87 +18,133 @@ from medloom.session import cut_lineage
 LEAST = 3
 
 
-def _traj_points(spark, sf_dir):
-    """Falling stretches of at least three points, times from 0; the id names user, type and peak."""
-    rows = _all_segment_points(spark, sf_dir).filter(F.col("ul") - F.col("ll") >= LEAST)
-    first = rows.filter(F.col("pos") == 0).select(*KEYS, "peak_seq", F.col("t").alias("_t0"))
-    traj_id = F.concat_ws("_", F.col("user_id").cast("string"), "event_type", F.col("peak_seq").cast("string"))
-    points = rows.join(first, [*KEYS, "peak_seq"]).select(
-        traj_id.alias("traj_id"), "pos", (F.col("t") - F.col("_t0")).alias("t"), "x"
-    )
-    return cut_lineage(points)
+# Falling series with known parameters: the distinct ship days of each supplier, in hundreds of days from the first,
+# with the value of a model at that time. Suppliers differ in their parameters by simple rules of their key.
+PLANTED = {
+    "EX": {"L0": "300 + k % 50 * 10.0", "C": "5.0 + k % 7", "d": "0.25 + k % 40 * 0.05"},
+    "BI": {"L0": "400 + k % 50 * 10.0", "C": "20.0 + k % 7", "a": "0.3 + k % 5 * 0.1", "d1": "0.2 + k % 4 * 0.05",
+           "d2": "1.5 + k % 10 * 0.1"},
+    "SQ": {"C": "9.0 + k % 5", "L0": "400 + k % 50 * 10.0", "k": "60.0 + k % 9 * 10", "tau": "4.0 + k % 6",
+           "d": "0.5 + k % 8 * 0.1"},
+    "FH": {"H0": "(0.55 + k % 8 * 0.05) * 99189.0", "L0": "200.0 + k % 9 * 10", "a": "(0.01 + k % 5 * 0.004) * 99189.0",
+           "d": "0.4 + k % 6 * 0.1", "bLFT": "25.0 + k % 4", "bHEP": "99189.0"},
+}
+
+
+def _planted(spark, sf_dir, name, noise=0.0, scale=100.0):
+    """(traj_id, k, pos, t, x) of one model; FH runs over tens of days, the others over hundreds."""
+    days = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("day")).distinct()
+    by = Window.partitionBy("k")
+    rows = days.select(
+        "k", "day", F.row_number().over(by.orderBy("day")).alias("pos"), F.min("day").over(by).alias("_first"))
+    at = F.datediff("day", "_first") / F.lit(scale)
+    rows = rows.select("k", (F.col("pos") - 1).alias("pos"), at.alias("t"))
+    values = {n: F.expr(e).cast("double") for n, e in PLANTED[name].items()}
+    x = fits.MODELS[name].value(F.col("t"), values) + noise * (F.col("pos") % 7 - 3)
+    return cut_lineage(rows.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("traj_id"), "k", "pos", "t", x.alias("x")))
+
+
+NOISE = 0.5
+
+
+def _noisy(spark, sf_dir):
+    points = _planted(spark, sf_dir, "EX", NOISE).drop("k")
+    return points, fits.fit(points, fits.EX)
 
 
 def fit_exponential(spark, sf_dir):
-    points = _traj_points(spark, sf_dir)
-    best = fits.fit(points, fits.EX, zooms=1)
+    points, best = _noisy(spark, sf_dir)
     stats = fits.fit_statistics(fits.residual_rows(points, best, fits.EX), fits.EX)
     return best.join(stats, "traj_id").select(
-        "traj_id", r6(F.col("L0"), 3).alias("l0"), r6(F.col("C"), 3).alias("source_c"), r6(F.col("d")).alias("d"),
+        "traj_id", r6(F.col("L0"), 2).alias("l0"), r6(F.col("C"), 2).alias("source_c"), r6(F.col("d"), 3).alias("d"),
         r6(F.col("chisqr"), 2).alias("chisqr"), r6(F.col("nRMSD"), 5).alias("nrmsd"), r6(F.col("qerr"), 5).alias("qerr"),
     )
 
 
 def fit_errors(spark, sf_dir):
-    points = _traj_points(spark, sf_dir)
-    best = fits.fit(points, fits.EX, zooms=0)
-    rows = fits.residual_rows(points, best, fits.EX)
-    out = fits.fit_errors(rows, ["traj_id"])
-    return out.select("traj_id", *[r6(F.col(c), 5).alias(c.lower()) for c in ("qerr", "MAPE", "nRMSD")])
+    points, best = _noisy(spark, sf_dir)
+    out = fits.fit_errors(fits.residual_rows(points, best, fits.EX), ["traj_id"])
+    return out.select("traj_id", *[r6(F.col(c), 4).alias(c.lower()) for c in ("qerr", "MAPE", "nRMSD")])
 
 
 def fit_curve(spark, sf_dir):
-    points = _traj_points(spark, sf_dir)
-    curve = fits.highres_curve(points, fits.fit(points, fits.EX, zooms=0), fits.EX)
-    return curve.select("traj_id", "step", r6(F.col("t")).alias("t"), r6(F.col("x"), 3).alias("x"))
+    points, best = _noisy(spark, sf_dir)
+    curve = fits.highres_curve(points, best, fits.EX)
+    return curve.select("traj_id", "step", r6(F.col("t")).alias("t"), r6(F.col("x"), 1).alias("x"))
+
+
+def fit_stderr(spark, sf_dir):
+    points, best = _noisy(spark, sf_dir)
+    errors = fits.standard_errors(points, best, fits.EX)
+    return errors.select("traj_id", *[r6(F.col(f"{c}_stderr"), 4).alias(f"{c.lower()}_stderr") for c in ("L0", "C", "d")])
+
+
+def _recovered(spark, sf_dir, name, digits):
+    best = fits.fit(_planted(spark, sf_dir, name, scale=10.0 if name == "FH" else 100.0).drop("k"), fits.MODELS[name])
+    return best.select("traj_id", *[r6(F.col(c), digits).alias(f"p_{c.lower()}") for c in fits.MODELS[name].free])
 
 
 def fit_biexponential(spark, sf_dir):
-    return fits.fit(_traj_points(spark, sf_dir), fits.BI, zooms=1)
+    return _recovered(spark, sf_dir, "BI", 2)
 
 
 def fit_square(spark, sf_dir):
-    return fits.fit(_traj_points(spark, sf_dir), fits.SQ, zooms=1)
+    return _recovered(spark, sf_dir, "SQ", 2)
 
 
 def fit_cellloss(spark, sf_dir):
-    return fits.fit(_traj_points(spark, sf_dir), fits.FH, zooms=1)
-
-
-def fit_stderr(spark, sf_dir):
-    points = _traj_points(spark, sf_dir)
-    return fits.standard_errors(points, fits.fit(points, fits.EX, zooms=2), fits.EX)
+    return _recovered(spark, sf_dir, "FH", 2)
 
 
 def cellmass_curve(spark, sf_dir):
-    points = _traj_points(spark, sf_dir)
-    best = fits.fit(points, fits.FH, zooms=0)
+    points = _planted(spark, sf_dir, "FH", scale=10.0)
+    best = fits.fit(points.drop("k"), fits.FH)
     rows = points.join(best.select("traj_id", "H0", "a", "bHEP"), "traj_id")
     mass = forms.cell_mass(F.col("t"), F.col("H0"), F.col("a"), F.col("bHEP"))
-    return rows.select("traj_id", "pos", "t", mass.alias("cell_mass"))
+    return rows.groupBy("traj_id").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(mass), -1).alias("mean_mass"), r6(F.min(mass), -2).alias("least_mass"))
 
 
 def model_table(spark, sf_dir):
-    points = _traj_points(spark, sf_dir)
-    return fitting.wide_table(points, fitting.fit_models(points, ("EX", "SQ"), zooms=1), "LAB")
+    """All four models on square impulses: their own model fits them exactly, a model without impulse does not."""
+    points = _planted(spark, sf_dir, "SQ").drop("k")
+    wide = fitting.wide_table(points, fitting.fit_models(points), "LAB")
+    exact = {n: F.col(f"chisqr_{n}_LAB") < 1e-3 for n in fits.MODELS}
+    return wide.select("traj_id", *[c.alias(f"exact_{n.lower()}") for n, c in exact.items()], r6(F.col("d_SQ_LAB"), 3).alias("d_sq"))
 
 
 def peaks_near_dates_fit(spark, sf_dir):
+    """Fits of short falling stretches: whether the error is that of the parameters and no other rate does better.
+
+    Short stretches leave the rate undetermined, so the optimum is checked and not the rate: against 200 other rates
+    with the level and the source that the fit has found.
+    """
     dates = events(spark, sf_dir, "signup").groupBy("user_id").agg(F.min(epoch_days(F.col("ts"))).alias("day"))
     best, points = fitting.peaks_and_fit(
         _points(spark, sf_dir).withColumn("key", F.concat_ws("_", F.col("user_id").cast("string"), "event_type")),
-        ["user_id", "event_type", "key"], "key", dates, "day", 5, LEAST, 20, PROMINENCE, 0, True, "event_id",
+        ["user_id", "event_type", "key"], "key", dates, "day", 5, LEAST, 20, PROMINENCE, include_trough=True, tie="event_id",
+    )
+    rows = points.select("traj_id", "t", "x").join(best, "traj_id")
+    rows = rows.withColumn("other", F.explode(F.array(*[F.lit(0.001 * 1.06**i) for i in range(200)], F.col("d"))))
+    value = forms.exponential(F.col("t"), F.col("L0"), F.col("drvBLFT") * F.col("other"), F.col("other"))
+    errors = rows.groupBy("traj_id", "other", "d", "sse").agg(F.sum((value - F.col("x")) ** 2).alias("error"))
+    slack = 1e-6 * (F.col("sse") + 1)
+    return errors.groupBy("traj_id").agg(
+        F.bool_and(F.col("error") >= F.col("sse") - slack).alias("no_better"),
+        F.bool_or((F.col("other") == F.col("d")) & (F.abs(F.col("error") - F.col("sse")) <= slack)).alias("own_error"),
     )
-    return best.select("traj_id", r6(F.col("L0"), 3).alias("l0"), r6(F.col("C"), 3).alias("source_c"), r6(F.col("d")).alias("d"))
 
 
-# SQL: the same rates, the normal equations summed per trajectory and rate, all nine bounded cases compared.
+# SQL: own rates, the normal equations summed per trajectory and rate, all bounded cases compared, and the grid refined
+# around the best rate. Short stretches and planted series have their own starts.
 
+_PLANTED_T = """days AS (SELECT DISTINCT l_suppkey AS k, l_shipdate AS day FROM lineitem),
+    tt AS MATERIALIZED (SELECT k, 's' || k AS traj_id, row_number() OVER (PARTITION BY k ORDER BY day) - 1 AS pos,
+      date_diff('day', CAST(min(day) OVER (PARTITION BY k) AS DATE), CAST(day AS DATE)) / {scale} AS t FROM days)"""
 _BASE = f"WITH {_RAW}, {_peaks_sql('mn', '{height}', PROMINENCE)}, {_TROUGH}, " + _SEGPTS.format(least=LEAST) + """,
     tp AS MATERIALIZED (
       SELECT user_id || '_' || event_type || '_' || ll AS traj_id, pos, t - t0 AS t, x, x0, xz AS x_last, tz - t0 AS t_last
       FROM nx {keep})"""
-_BASE_ALL = _BASE.replace("{height}", "true").replace("{keep}", "")
 
 
 def _round_sql(name: str, candidates: str) -> str:
@@ -128,11 +175,16 @@ def _round_sql(name: str, candidates: str) -> str:
         SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY sse, d, p, q) AS rn FROM {name}e) WHERE rn = 1)"""
 
 
-_GRID = f"grid AS (SELECT DISTINCT traj_id, unnest({fits.RATE_GRID}::DOUBLE[]) AS d FROM tp)"
-_RATIO = fits.RATE_GRID[1] / fits.RATE_GRID[0]
-_FINE = f"fine AS (SELECT traj_id, d * unnest({[_RATIO ** (i / 4) for i in range(-4, 5)]}::DOUBLE[]) AS d FROM f0)"
-_FIT0 = f", {_GRID}, {_round_sql('f0', 'grid')}"
-_FIT1 = _FIT0 + f", {_FINE}, {_round_sql('f1', 'fine')}"
+_EX = PLANTED["EX"]
+_TP = f"""tp AS MATERIALIZED (SELECT traj_id, pos, t, x, first(x) OVER (PARTITION BY traj_id ORDER BY pos) AS x0 FROM (
+      SELECT traj_id, pos, t, c / d + (l0 - c / d) * exp(-d * t) + {NOISE} * (pos % 7 - 3) AS x FROM (
+        SELECT *, {_EX["L0"]} AS l0, {_EX["C"]} AS c, {_EX["d"]} AS d FROM tt)))"""
+_GRID = f"grid AS (SELECT DISTINCT traj_id, unnest({[0.001 * 1.15**i for i in range(90)]}::DOUBLE[]) AS d FROM tp)"
+_FINE = "".join(
+    f""", n{i} AS (SELECT traj_id, d * unnest({[1.15 ** (j / 8 ** i) for j in range(-8, 9)]}::DOUBLE[]) AS d FROM f{i - 1}),
+    {_round_sql(f"f{i}", f"n{i}")}""" for i in range(1, 9)
+)
+_FIT = f"WITH {_PLANTED_T.format(scale=100.0)}, {_TP}, {_GRID}, {_round_sql('f0', 'grid')}{_FINE}"
 
 
 def _resid_sql(fit: str) -> str:
@@ -156,21 +208,48 @@ QUERIES = {
     "peaks_near_dates_fit": peaks_near_dates_fit,
 }
 
+
+def _known(name: str, digits: int) -> str:
+    columns = ", ".join(
+        f"round(CAST({PLANTED[name][c]} AS DOUBLE), {digits}) + 0.0 AS p_{c.lower()}" for c in fits.MODELS[name].free)
+    return f"SELECT DISTINCT 's' || k AS traj_id, {columns} FROM (SELECT l_suppkey AS k FROM lineitem)"
+
+
 ORACLES = {
-    "fit_exponential": _BASE_ALL + _FIT1 + f""", {_resid_sql('f1')}
-        SELECT f1.traj_id, round(q, 3) + 0.0 AS l0, round(p * d, 3) + 0.0 AS source_c, round(d, 6) + 0.0 AS d,
+    "fit_exponential": _FIT + f""", {_resid_sql('f8')}
+        SELECT f8.traj_id, round(q, 2) + 0.0 AS l0, round(p * d, 2) + 0.0 AS source_c, round(d, 3) + 0.0 AS d,
           round(chisqr, 2) + 0.0 AS chisqr, round(nrmsd, 5) + 0.0 AS nrmsd, round(qerr, 5) + 0.0 AS qerr
-        FROM f1 JOIN st ON st.traj_id = f1.traj_id""",
-    "fit_errors": _BASE_ALL + _FIT0 + f""", {_resid_sql('f0')}
-        SELECT traj_id, round(qerr, 5) + 0.0 AS qerr, round(mape, 5) + 0.0 AS mape, round(nrmsd, 5) + 0.0 AS nrmsd
+        FROM f8 JOIN st ON st.traj_id = f8.traj_id""",
+    "fit_errors": _FIT + f""", {_resid_sql('f8')}
+        SELECT traj_id, round(qerr, 4) + 0.0 AS qerr, round(mape, 4) + 0.0 AS mape, round(nrmsd, 4) + 0.0 AS nrmsd
         FROM st""",
-    "fit_curve": _BASE_ALL + _FIT0 + """,
-        e AS (SELECT traj_id, ceil(max(t_last)) AS z FROM tp GROUP BY traj_id),
-        s AS (SELECT f0.*, CAST(i AS INT) AS step, i * z / 49 AS t FROM f0 JOIN e ON e.traj_id = f0.traj_id, range(50) r(i))
-        SELECT traj_id, step, round(t, 6) + 0.0 AS t, round(p + (q - p) * exp(-d * t), 3) + 0.0 AS x FROM s""",
+    "fit_curve": _FIT + """,
+        e AS (SELECT traj_id, ceil(max(t)) AS z FROM tp GROUP BY traj_id),
+        s AS (SELECT f8.*, CAST(i AS INT) AS step, i * z / 49 AS t FROM f8 JOIN e ON e.traj_id = f8.traj_id, range(50) r(i))
+        SELECT traj_id, step, round(t, 6) + 0.0 AS t, round(p + (q - p) * exp(-d * t), 1) + 0.0 AS x FROM s""",
+    "fit_stderr": _FIT + """,
+        j AS (SELECT tp.traj_id, exp(-d * t) AS j0, (1 - exp(-d * t)) / d AS j1,
+            -p / d * (1 - exp(-d * t)) - (q - p) * t * exp(-d * t) AS j2,
+            p + (q - p) * exp(-d * t) - x AS r FROM tp JOIN f8 ON f8.traj_id = tp.traj_id),
+        g AS (SELECT traj_id, count(*) AS n, sum(r * r) AS e, sum(j0 * j0) AS a, sum(j0 * j1) AS b, sum(j0 * j2) AS c,
+            sum(j1 * j1) AS f, sum(j1 * j2) AS h, sum(j2 * j2) AS i FROM j GROUP BY traj_id),
+        v AS (SELECT *, e / (n - 3) / (a * (f * i - h * h) - b * (b * i - h * c) + c * (b * h - f * c)) AS w FROM g)
+        SELECT traj_id, round(sqrt(w * (f * i - h * h)), 4) + 0.0 AS l0_stderr,
+          round(sqrt(w * (a * i - c * c)), 4) + 0.0 AS c_stderr, round(sqrt(w * (a * f - b * b)), 4) + 0.0 AS d_stderr
+        FROM v""",
+    "fit_biexponential": _known("BI", 2),
+    "fit_square": _known("SQ", 2),
+    "fit_cellloss": _known("FH", 2),
+    "cellmass_curve": f"""WITH {_PLANTED_T.format(scale=10.0)},
+        m AS (SELECT traj_id, 99189.0::DOUBLE + ({PLANTED["FH"]["H0"]} - 99189.0)::DOUBLE
+          * exp(-({PLANTED["FH"]["a"]})::DOUBLE / 99189.0 * t) AS mass FROM tt)
+        SELECT traj_id, count(*) AS n, round(avg(mass), -1) + 0.0 AS mean_mass, round(min(mass), -2) + 0.0 AS least_mass
+        FROM m GROUP BY traj_id""",
+    "model_table": f"""SELECT DISTINCT 's' || k AS traj_id, false AS exact_ex, false AS exact_bi, true AS exact_sq,
+          false AS exact_fh, round(CAST({PLANTED["SQ"]["d"]} AS DOUBLE), 3) + 0.0 AS d_sq FROM (SELECT l_suppkey AS k FROM lineitem)""",
     "peaks_near_dates_fit": _BASE.replace("{height}", "t.x >= 20").replace(
         "{keep}", """JOIN (SELECT user_id AS du, min(epoch_us(ts)) / 86400000000.0 AS day FROM events
         WHERE event_type = 'signup' GROUP BY user_id) ON du = user_id WHERE abs(t0 - day) <= 5"""
-    ) + _FIT0 + """
-        SELECT traj_id, round(q, 3) + 0.0 AS l0, round(p * d, 3) + 0.0 AS source_c, round(d, 6) + 0.0 AS d FROM f0""",
+    ) + """
+        SELECT DISTINCT traj_id, true AS no_better, true AS own_error FROM tp""",
 }

@@ -1,16 +1,13 @@
 """Least-squares fits of decay models to all trajectories of a table at once.
 
-Every model is linear in its coefficients once its decay rates (and switch time) are fixed. So the rates are
-tried on a grid: one pass over the points builds, per trajectory and grid point, the sums of the normal
-equations; the small bounded linear problem is solved per grid point; the best grid point is kept and the grid
-is refined around it. Sums are combined before the shuffle, so a long trajectory is no bottleneck, and a
-trajectory never has to be in one place. The grid is a constant factor that does not grow with the data.
+Every model is linear in its coefficients once its decay rates (and switch time) are fixed; ``separable`` solves for
+the coefficients and searches the rates. A trajectory never has to be in one place.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -19,187 +16,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions import models
+from medloom.operators.separable import Shape, State, Times, accept, begin, propose, rate_grid, search, solve, sums_of
 from medloom.operators.stats import fit_errors, information_criteria
 from medloom.session import cut_lineage
 
 
 class Model(NamedTuple):
-    """A separable model.
-
-    ``grid``: starting values of the rates, as columns of the start row (x0, x_last, t_last) or numbers;
-    ``refine``: factor between neighbours of each rate, narrowed in every round;
-    ``basis``: functions of (t, rates) whose combination is the model; ``bounds``: (low, high) per coefficient;
-    ``valid``: which rates may be combined; ``parameters``: named parameters from rates and coefficients;
-    ``value``: the model at t from the named parameters.
-    """
+    """A separable model: its search (``shape``, with ``size`` coefficients), the named ``parameters`` from rates and
+    coefficients, the ``value`` at t from them, and the names of the ``free`` ones."""
 
     name: str
-    rates: tuple[str, ...]
-    grid: dict[str, list[float]]
-    basis: Callable[[Column, dict[str, Column]], list[Column]]
-    bounds: Callable[[dict[str, Column]], list[tuple[Column, Column]]]
-    valid: Callable[[dict[str, Column]], Column]
-    parameters: Callable[[dict[str, Column], list[Column], dict[str, Column]], dict[str, Column]]
+    shape: Shape
+    size: int
+    parameters: Callable[[np.ndarray, np.ndarray], dict[str, float]]
     value: Callable[[Column, dict[str, Column]], Column]
     free: tuple[str, ...]
-    relative: tuple[str, ...] = ()
 
 
-def _geometric(low: float, high: float, steps: int) -> list[float]:
-    return [float(f"{low * (high / low) ** (i / (steps - 1)):.6g}") for i in range(steps)]
+def _decay(t: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    return np.exp(-rate[:, None] * t)
 
 
-_INF = float("inf")
-RATE_GRID = _geometric(0.01, 8.0, 60)
-COARSE_GRID = _geometric(0.02, 6.0, 24)
-FRACTIONS = [round(i / 12, 6) for i in range(13)]
+def _positive(rates: np.ndarray, times: Times) -> np.ndarray:
+    return (rates > 0).all(axis=1)
 
 
-def _yes(_: dict[str, Column]) -> Column:
-    return F.lit(True)
+def _ex_basis(t, rates):
+    u = _decay(t, rates[:, 0])
+    return np.stack([1 - u, u], axis=2)
 
 
 EX = Model(
-    "EX", ("d",), {"d": RATE_GRID},
-    # B * (1 - u) + L0 * u
-    lambda t, r: [1 - F.exp(-r["d"] * t), F.exp(-r["d"] * t)],
-    lambda s: [(F.lit(0.0), F.lit(_INF)), (s["x0"] * 0.2, s["x0"] * 10)],
-    _yes,
-    lambda r, c, s: {"L0": c[1], "C": c[0] * r["d"], "d": r["d"], "drvBLFT": c[0]},
+    "EX",
+    Shape(
+        lambda s: [rate_grid(s, 60)], (False,), _ex_basis,
+        # B >= 0, 0.2 x0 <= L0 <= 10 x0 for B * (1 - u) + L0 * u
+        lambda s: (np.array([[1.0, 0], [0, 1], [0, -1]]), np.array([0, 0.2 * s.x0, -10 * s.x0])),
+        _positive,
+    ),
+    2,
+    lambda r, c: {"L0": c[1], "C": c[0] * r[0], "d": r[0], "drvBLFT": c[0]},
     lambda t, p: models.exponential(t, p["L0"], p["C"], p["d"]),
     ("L0", "C", "d"),
 )
+
+
+def _bi_basis(t, rates):
+    first = _decay(t, rates[:, 0])
+    return np.stack([np.ones_like(first), first, _decay(t, rates[:, 1])], axis=2)
+
+
 BI = Model(
-    "BI", ("d1", "d2"), {"d1": COARSE_GRID, "d2": COARSE_GRID},
-    lambda t, r: [F.lit(1.0), F.exp(-r["d1"] * t), F.exp(-r["d2"] * t)],
-    lambda s: [(F.lit(0.0), F.lit(_INF))] * 3,
-    lambda r: r["d1"] < r["d2"],
-    lambda r, c, s: {
-        "L0": c[1] + c[2], "C": c[0], "a": F.coalesce(F.try_divide(c[1], c[1] + c[2]), F.lit(0.0)),
-        "d1": r["d1"], "d2": r["d2"],
+    "BI",
+    Shape(
+        lambda s: [rate_grid(s, 24)] * 2, (False, False), _bi_basis,
+        # C, p, q >= 0, 0.2 x0 <= L0 = p + q <= 10 x0
+        lambda s: (
+            np.array([[1.0, 0, 0], [0, 1, 0], [0, 0, 1], [0, 1, 1], [0, -1, -1]]),
+            np.array([0, 0, 0, 0.2 * s.x0, -10 * s.x0]),
+        ),
+        lambda r, s: _positive(r, s) & (r[:, 0] < r[:, 1]),
+    ),
+    3,
+    lambda r, c: {
+        "L0": c[1] + c[2], "C": c[0], "a": c[1] / (c[1] + c[2]) if c[1] + c[2] else 0.0, "d1": r[0], "d2": r[1],
     },
     lambda t, p: models.biexponential(t, p["C"], p["L0"], p["a"], p["d1"], p["d2"]),
     ("L0", "C", "a", "d1", "d2"),
 )
+
+
+def _sq_basis(t, rates):
+    u, tau = _decay(t, rates[:, 0]), rates[:, 1:2]
+    after = np.where(t >= tau, np.exp(-rates[:, :1] * np.maximum(t - tau, 0)) - 1, 0.0)
+    return np.stack([1 - u, 1 - u + after, u], axis=2)
+
+
 SQ = Model(
-    "SQ", ("d", "tau"), {"d": COARSE_GRID, "tau": FRACTIONS},
-    lambda t, r: [1 - F.exp(-r["d"] * t), models.impulse_response(t, r["tau"], r["d"]), F.exp(-r["d"] * t)],
-    lambda s: [(F.lit(0.0), F.lit(_INF)), (F.lit(0.0), F.lit(_INF)), (s["x0"] * 0.2, s["x0"] * 10)],
-    _yes,
-    lambda r, c, s: {"L0": c[2], "C": c[0] * r["d"], "d": r["d"], "tau": r["tau"], "k": c[1] * r["d"]},
+    "SQ",
+    Shape(
+        lambda s: [rate_grid(s, 24), np.linspace(0, s.t_last, 13)], (False, True), _sq_basis,
+        # B, K >= 0, 0.2 x0 <= L0 <= 10 x0
+        lambda s: (
+            np.array([[1.0, 0, 0], [0, 1, 0], [0, 0, 1], [0, 0, -1]]), np.array([0, 0, 0.2 * s.x0, -10 * s.x0]),
+        ),
+        lambda r, s: (r[:, 0] > 0) & (r[:, 1] >= 0) & (r[:, 1] <= s.t_last),
+    ),
+    3,
+    lambda r, c: {"L0": c[2], "C": c[0] * r[0], "d": r[0], "tau": r[1], "k": c[1] * r[0]},
     lambda t, p: models.square_impulse(t, p["C"], p["L0"], p["k"], p["tau"], p["d"]),
     ("L0", "C", "d", "tau", "k"),
-    relative=("tau",),
 )
 # kappa = a / bHEP; the reachable range of a gives the range of kappa.
 _KAPPA = (models.BASAL_PRODUCTION * 0.01 / models.LIVER_CELLS, 1 / 30)
+
+
+def _fh_basis(t, rates):
+    d, kappa = rates[:, :1], rates[:, 1:2]
+    u = np.exp(-d * t)
+    apart = np.where(np.abs(d - kappa) > 1e-12, d - kappa, 1.0)
+    return np.stack([1 - u, d / apart * (np.exp(-kappa * t) - u), u], axis=2)
+
+
 FH = Model(
-    "FH", ("d", "kappa"), {"d": COARSE_GRID, "kappa": _geometric(*_KAPPA, 8)},
-    # bLFT * (1 - u) + bLFT * (h - 1) * response + L0 * u
-    lambda t, r: [
-        1 - F.exp(-r["d"] * t), models.cell_loss_response(t, r["kappa"], r["d"]), F.exp(-r["d"] * t),
-    ],
-    lambda s: [
-        (F.lit(10.0), F.greatest(s["x_last"] * 2, F.lit(10.0))),
-        (F.lit(-_INF), F.lit(0.0)),
-        (s["x0"] * 0.5, s["x0"] * 2),
-    ],
-    lambda r: F.abs(r["d"] - r["kappa"]) > 1e-3,
-    lambda r, c, s: {
-        "H0": (1 + F.greatest(c[1] / c[0], F.lit(-0.5))) * models.LIVER_CELLS,
-        "L0": c[2], "a": r["kappa"] * models.LIVER_CELLS, "d": r["d"], "bLFT": c[0],
-        "bHEP": F.lit(models.LIVER_CELLS),
-        "drvK": r["kappa"],
-        "drvZ": c[0] * r["d"] / (r["kappa"] * models.LIVER_CELLS),
-        "drvFracInjur": -F.greatest(c[1] / c[0], F.lit(-0.5)),
+    "FH",
+    Shape(
+        lambda s: [rate_grid(s, 40), np.geomspace(*_KAPPA, 30)], (False, False), _fh_basis,
+        # bLFT * (1 - u) + Q * response + L0 * u with Q = bLFT * (H0 / bHEP - 1):
+        # 10 <= bLFT <= max(2 x_last, 10), H0 between half of bHEP and bHEP, 0.5 x0 <= L0 <= 2 x0
+        lambda s: (
+            np.array([[1.0, 0, 0], [-1, 0, 0], [0.5, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]]),
+            np.array([10, -max(2 * s.x_last, 10), 0, 0, 0.5 * s.x0, -2 * s.x0]),
+        ),
+        lambda r, s: (r[:, 0] > 0) & (r[:, 1] >= _KAPPA[0]) & (r[:, 1] <= _KAPPA[1])
+        & (np.abs(r[:, 0] - r[:, 1]) > 1e-4 * r[:, 0]),
+    ),
+    3,
+    lambda r, c: {
+        "H0": (1 + c[1] / c[0]) * models.LIVER_CELLS, "L0": c[2], "a": r[1] * models.LIVER_CELLS, "d": r[0],
+        "bLFT": c[0], "bHEP": models.LIVER_CELLS, "drvK": r[1],
+        "drvZ": c[0] * r[0] / (r[1] * models.LIVER_CELLS), "drvFracInjur": -c[1] / c[0],
     },
     lambda t, p: models.cell_loss(t, p["H0"], p["L0"], p["a"], p["d"], p["bLFT"], p["bHEP"]),
     ("H0", "L0", "a", "d", "bLFT"),
 )
 MODELS = {m.name: m for m in (EX, BI, SQ, FH)}
 
-
-def _solve(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Best bounded coefficients of many small least-squares problems, given as sums.
-
-    Each coefficient is free or at one of its bounds; all combinations are tried and the feasible one with the
-    least error is kept. Exact, as the problem is convex and has at most three coefficients.
-    """
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = len(batch)
-            gram = np.zeros((n, size, size))
-            for i, j in pairs:
-                gram[:, i, j] = gram[:, j, i] = batch[f"g{i}{j}"]
-            rhs = np.stack([batch[f"b{i}"] for i in range(size)], axis=1)
-            low = np.stack([batch[f"lo{i}"] for i in range(size)], axis=1)
-            high = np.stack([batch[f"hi{i}"] for i in range(size)], axis=1)
-            total = batch["xx"].to_numpy()
-            best, chosen = np.full(n, np.inf), np.full((n, size), np.nan)
-            for states in itertools.product((0, -1, 1), repeat=size):
-                trial = np.zeros((n, size))
-                for i, state in enumerate(states):
-                    if state:
-                        trial[:, i] = low[:, i] if state < 0 else high[:, i]
-                usable = np.isfinite(trial).all(axis=1)
-                trial[~usable] = 0.0
-                free = [i for i, state in enumerate(states) if not state]
-                if free:
-                    left = rhs[:, free] - np.einsum("nij,nj->ni", gram[:, free, :], trial)
-                    square = gram[:, free][:, :, free]
-                    scale = np.sqrt(np.maximum(np.einsum("nii->ni", square), 1e-300))
-                    scaled = square / scale[:, :, None] / scale[:, None, :]
-                    regular = np.abs(np.linalg.det(scaled)) > 1e-12
-                    usable &= regular
-                    scaled[~regular] = np.eye(len(free))
-                    trial[:, free] = np.linalg.solve(scaled, (left / scale)[..., None])[..., 0] / scale
-                slack = 1e-9 * np.maximum(np.abs(trial), 1.0)
-                usable &= ((trial >= low - slack) & (trial <= high + slack)).all(axis=1)
-                error = total - 2 * np.einsum("ni,ni->n", rhs, trial) + np.einsum("ni,nij,nj->n", trial, gram, trial)
-                better = usable & (error < best)
-                best[better], chosen[better] = error[better], trial[better]
-            out = {c: batch[c] for c in batch.columns if c in ("traj_id", "x0", "x_last", "t_last") or c.startswith("r_")}
-            out |= {f"c{i}": chosen[:, i] for i in range(size)}
-            yield pd.DataFrame({**out, "sse": np.maximum(best, 0.0)})[np.isfinite(best)]
-
-    return run
-
-
-def _solve_two(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The same for two coefficients, as expressions: all nine combinations of free and bound."""
-    g, b = F.col, [F.col("b0"), F.col("b1")]
-    det = g("g00") * g("g11") - g("g01") * g("g01")
-    usable = det > 1e-12 * g("g00") * g("g11")
-    both = (
-        F.when(usable, F.try_divide(b[0] * g("g11") - b[1] * g("g01"), det)),
-        F.when(usable, F.try_divide(b[1] * g("g00") - b[0] * g("g01"), det)),
-    )
-    bound = [[g("lo0"), g("hi0")], [g("lo1"), g("hi1")]]
-    cases = [both]
-    cases += [(v, F.try_divide(b[1] - g("g01") * v, g("g11"))) for v in bound[0]]
-    cases += [(F.try_divide(b[0] - g("g01") * v, g("g00")), v) for v in bound[1]]
-    cases += [(v, w) for v in bound[0] for w in bound[1]]
-    staged = rows.select(
-        "*", *[c.alias(f"p{k}") for k, (c, _) in enumerate(cases)], *[c.alias(f"q{k}") for k, (_, c) in enumerate(cases)]
-    )
-
-    def inside(value: Column, i: int) -> Column:
-        slack = 1e-9 * F.greatest(F.abs(value), F.lit(1.0))
-        return (value >= g(f"lo{i}") - slack) & (value <= g(f"hi{i}") + slack) & (F.abs(value) < _INF)
-
-    tried = []
-    for k in range(len(cases)):
-        p, q = F.col(f"p{k}"), F.col(f"q{k}")
-        square = p * p * g("g00") + 2 * p * q * g("g01") + q * q * g("g11")
-        error = F.greatest(g("xx") - 2 * (p * b[0] + q * b[1]) + square, F.lit(0.0))
-        tried.append(F.when(inside(p, 0) & inside(q, 1), F.struct(error.alias("sse"), p.alias("c0"), q.alias("c1"))))
-    return staged.select(*keep, F.least(*tried).alias("_fit")).select(*keep, "_fit.c0", "_fit.c1", "_fit.sse")
-
-
 STRETCH = 4096
-_START = ["traj_id", "x0", "x_last", "t_last"]
 
 
 def starts(points: DataFrame) -> DataFrame:
@@ -213,87 +156,129 @@ def starts(points: DataFrame) -> DataFrame:
     )
 
 
-def _try_grid(points: DataFrame, start: DataFrame, axes: dict[str, list[Column]], model: Model) -> DataFrame:
-    """Best grid point per trajectory; the axes are expressions of the columns of ``start``.
+def _stretches(points: DataFrame) -> DataFrame:
+    """One row per trajectory and stretch of at most STRETCH positions, with its points in order."""
+    rows = points.groupBy("traj_id", F.floor(F.col("pos") / STRETCH).alias("stretch")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "t", "x"))).alias("_p"))
+    return rows.select(
+        "traj_id", "stretch", *[F.col(f"_p.{c}").cast("array<double>").alias(c) for c in ("t", "x")])
+
+
+def _times(t: np.ndarray, x: np.ndarray) -> Times:
+    gaps = np.diff(t)
+    return Times(float(x[0]), float(x[-1]), float(t[-1]), float(gaps[gaps > 0].min()) if (gaps > 0).any() else 0.0)
+
+
+def _searchable(times: Times) -> bool:
+    return times.t_last > 0 and times.gap > 0
+
 
-    The points are few bytes but much work once every grid point is tried on them, so they are spread by count
-    and not by size: by trajectory, a long one in stretches, whose sums are combined afterwards.
+def _named(model: Model, traj_id, state: State) -> tuple:
+    return traj_id, *model.parameters(state.rates, state.coefficients).values(), max(state.error, 0.0)
+
+
+def fit(points: DataFrame, model: Model, offset: float = 0.0) -> DataFrame:
+    """(traj_id, named parameters, sse) of the best fit of every trajectory (traj_id, pos from 0, t, x).
+
+    ``offset`` shifts the times before the fit. Trajectories without a feasible solution, or with less than two
+    times, are left out. A trajectory of up to STRETCH points is searched in one row. A longer one is searched in
+    rounds: each stretch gives the sums of the normal equations for the rates of the round, sums are combined per
+    task and then per trajectory, so no task holds more than one stretch of points.
     """
-    rates = {r: F.col(f"r_{r}") for r in model.rates}
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.select("traj_id", "pos", "t", "x").join(start, "traj_id")
-    rows = rows.repartition(parts, "traj_id", F.floor(F.col("pos") / STRETCH))
-    rows = rows.withColumn("_r", F.explode(_grid_array(axes))).select(
-        *_START, "t", "x", *[F.col(f"_r.{r}").alias(f"r_{r}") for r in model.rates]
-    ).filter(model.valid(rates))
-    basis = model.basis(F.col("t"), rates)
-    size = len(basis)
-    rows = rows.select(*_START, *rates.values(), "x", *[b.alias(f"f{i}") for i, b in enumerate(basis)])
-    sums = [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"g{i}{j}") for i in range(size) for j in range(i, size)]
-    sums += [F.sum(F.col(f"f{i}") * F.col("x")).alias(f"b{i}") for i in range(size)]
-    sums.append(F.sum(F.col("x") * F.col("x")).alias("xx"))
-    keep = [*_START, *[f"r_{r}" for r in model.rates]]
-    grams = rows.groupBy(*keep).agg(*sums)
-    limits = model.bounds({c: F.col(c) for c in _START[1:]})
-    grams = grams.select(
-        "*", *[lo.alias(f"lo{i}") for i, (lo, _) in enumerate(limits)], *[hi.alias(f"hi{i}") for i, (_, hi) in enumerate(limits)]
+    points = points.select("traj_id", "pos", (F.col("t") + F.lit(float(offset))).alias("t"), "x")
+    names = list(model.parameters(np.ones(2), np.ones(3)))
+    key_type = dict(points.dtypes)["traj_id"]
+    schema = f"traj_id {key_type}, " + ", ".join(f"{c} double" for c in [*names, "sse"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for traj_id, t, x in zip(batch["traj_id"], batch["t"], batch["x"]):
+                times = _times(t, x)
+                if _searchable(times):
+                    state = search(model.shape, model.size, times, t, x)
+                    if np.isfinite(state.error):
+                        out.append(_named(model, traj_id, state))
+            yield pd.DataFrame(out, columns=["traj_id", *names, "sse"])
+
+    long = points.filter(F.col("pos") == STRETCH).select("traj_id")
+    if long.isEmpty():
+        return cut_lineage(_stretches(points).drop("stretch").mapInPandas(whole, schema))
+    long = cut_lineage(long.distinct())
+    short = _stretches(points.join(long, "traj_id", "left_anti")).drop("stretch").mapInPandas(whole, schema)
+    return cut_lineage(short.unionByName(_fit_long(points.join(long, "traj_id"), model, schema, names)))
+
+
+def _fit_long(points: DataFrame, model: Model, schema: str, names: list[str]) -> DataFrame:
+    """The same search, one round of all long trajectories after the other."""
+    rows = cut_lineage(_stretches(points))
+    key_type = dict(rows.dtypes)["traj_id"]
+    gaps = F.transform(
+        F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda v, i: v - F.get("t", i)
     )
-    if size == 2:
-        solved = _solve_two(grams, keep)
-    else:
-        types = dict(grams.dtypes)
-        schema = ", ".join([f"{c} {types[c]}" for c in keep] + [f"c{i} double" for i in range(size)] + ["sse double"])
-        solved = grams.mapInPandas(_solve(size), schema)
-    row = F.struct("sse", *[f"r_{r}" for r in model.rates], *_START[1:], *[f"c{i}" for i in range(size)])
-    best = solved.groupBy("traj_id").agg(F.min(F.when(F.col("sse").isNotNull(), row)).alias("_b"))
-    return best.filter(F.col("_b").isNotNull()).select("traj_id", "_b.*")
-
-
-def _grid_array(axes: dict[str, list[Column]]) -> Column:
-    names = list(axes)
-    cells = [
-        F.struct(*[value.alias(name) for name, value in zip(names, combination)])
-        for combination in itertools.product(*axes.values())
-    ]
-    return F.array(*cells)
-
-
-def fit(points: DataFrame, model: Model, zooms: int = 3, offset: float = 0.0) -> DataFrame:
-    """(traj_id, named parameters, sse of the search) of the best fit of every trajectory.
-
-    ``offset`` shifts the times before the fit. Trajectories without a feasible solution are left out. Every
-    round reads the points again, so pass them staged (``cut_lineage``); the result, one row per trajectory,
-    is staged here.
-    """
-    shifted = points.withColumn("t", F.col("t") + F.lit(float(offset)))
-    first = starts(shifted)
-    axes = {
-        r: [F.lit(v) * F.col("t_last") if r in model.relative else F.lit(v) for v in model.grid[r]]
-        for r in model.rates
-    }
-    best = _try_grid(shifted, first.select(*_START), axes, model)
-    ratio = {
-        r: (model.grid[r][1] - model.grid[r][0]) if r in model.relative else model.grid[r][1] / model.grid[r][0]
-        for r in model.rates
-    }
-    around = 4 if len(model.rates) == 1 else 2
-    for _ in range(zooms):
-        axes = {}
-        for r in model.rates:
-            at = F.col(f"r_{r}")
-            steps = [i / around for i in range(-around, around + 1)]
-            if r in model.relative:
-                moved = [at + F.lit(ratio[r] * s) * F.col("t_last") for s in steps]
-                axes[r] = [F.greatest(F.least(m, F.col("t_last")), F.lit(0.0)) for m in moved]
-            else:
-                axes[r] = [at * F.lit(ratio[r] ** s) for s in steps]
-        best = _try_grid(shifted, best.select(*_START, *[f"r_{r}" for r in model.rates]), axes, model)
-        for r in model.rates:
-            ratio[r] = ratio[r] / around if r in model.relative else ratio[r] ** (1 / around)
-    rates = {r: F.col(f"r_{r}") for r in model.rates}
-    size = len(model.bounds({c: F.lit(1.0) for c in _START[1:]}))
-    named = model.parameters(rates, [F.col(f"c{i}") for i in range(size)], {c: F.col(c) for c in _START[1:]})
-    return cut_lineage(best.select("traj_id", *[col.alias(name) for name, col in named.items()], "sse"))
+    states = rows.groupBy("traj_id").agg(
+        F.min(F.struct("stretch", F.get("x", F.lit(0)).alias("x"))).alias("_a"),
+        F.max(F.struct("stretch", F.element_at("t", -1).alias("t"), F.element_at("x", -1).alias("x"))).alias("_z"),
+        F.min(F.array_min(F.filter(gaps, lambda g: g > 0))).alias("gap"),
+        F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("xx"),
+    ).select(
+        "traj_id", F.col("_a.x").alias("x0"), F.col("_z.x").alias("x_last"), F.col("_z.t").alias("t_last"),
+        F.coalesce("gap", F.lit(0.0)).alias("gap"), "xx", F.lit(None).cast("array<double>").alias("state"),
+        F.lit(False).alias("done"),
+    ).filter("t_last > 0 and gap > 0")
+    states = cut_lineage(states)
+    size, count = model.size, len(model.shape.relative)
+    state_schema = f"traj_id {key_type}, x0 double, x_last double, t_last double, gap double, xx double, state array<double>, done boolean"
+
+    def unpack(row) -> tuple[Times, State]:
+        times = Times(row.x0, row.x_last, row.t_last, row.gap)
+        if row.state is None:
+            return times, begin(model.shape, size)
+        v = np.asarray(row.state, float)
+        return times, State(v[:count], v[count], int(v[count + 1]), v[count + 2], v[count + 3 :])
+
+    def partial(batches):
+        """Sums of a task's stretches, per trajectory."""
+        total: dict = {}
+        for batch in batches:
+            for row in batch.itertuples():
+                times, state = unpack(row)
+                t, x = np.asarray(row.t), np.asarray(row.x)
+                gram, rhs = sums_of(model.shape.basis(t, propose(model.shape, times, state)), x)
+                sums = np.concatenate([gram.ravel(), rhs.ravel()])
+                total[row.traj_id] = total[row.traj_id] + sums if row.traj_id in total else sums
+        yield pd.DataFrame({"traj_id": list(total), "sums": list(total.values())})
+
+    def step(key, sums, states):
+        row = next(states.itertuples())
+        times, state = unpack(row)
+        rates = propose(model.shape, times, state)
+        total = np.sum(list(sums["sums"]), axis=0)
+        cut = len(rates) * size * size
+        gram, rhs = total[:cut].reshape(-1, size, size), total[cut:].reshape(-1, size)
+        found, errors = solve(gram, rhs, row.xx, *model.shape.constraints(times))
+        state = accept(model.shape, times, state, rates, found, errors)
+        # Sums lose more digits than residuals; steps below this say nothing any more.
+        done = state.done or state.step < 1e-6
+        packed = np.concatenate([state.rates, [state.step, state.rounds, state.error], state.coefficients])
+        values = [row.x0, row.x_last, row.t_last, row.gap, row.xx, packed.tolist(), bool(done)]
+        return pd.DataFrame([[key[0], *values]], columns=states.columns)
+
+    finished = []
+    while not states.isEmpty():
+        sums = rows.join(states, "traj_id").mapInPandas(partial, f"traj_id {key_type}, sums array<double>")
+        states = cut_lineage(
+            sums.groupBy("traj_id").cogroup(states.groupBy("traj_id")).applyInPandas(step, state_schema))
+        finished.append(states.filter("done"))
+        states = states.filter("not done")
+
+    def name(batches):
+        for batch in batches:
+            found = [(row.traj_id, unpack(row)[1]) for row in batch.itertuples()]
+            yield pd.DataFrame(
+                [_named(model, i, s) for i, s in found if np.isfinite(s.error)], columns=["traj_id", *names, "sse"])
+
+    return reduce(DataFrame.unionByName, finished).mapInPandas(name, schema)
 
 
 def parameters_of(fits: DataFrame) -> list[str]:

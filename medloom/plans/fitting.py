@@ -16,7 +16,7 @@ from medloom.session import cut_lineage
 
 def fit_models(
     points: DataFrame, models: Sequence[str] = ("EX", "SQ", "BI", "FH"), ids: DataFrame | None = None,
-    zooms: int = 3, offset: float = 0.0,
+    offset: float = 0.0,
 ) -> dict[str, DataFrame]:
     """Per model one table: traj_id, parameters, their standard errors, and the error statistics.
 
@@ -28,7 +28,7 @@ def fit_models(
     out = {}
     for name in models:
         model = MODELS[name]
-        best = fits.fit(points, model, zooms, offset)
+        best = fits.fit(points, model, offset)
         errors = fits.standard_errors(points, best, model, offset)
         stats = fits.fit_statistics(fits.residual_rows(points, best, model, offset), model)
         out[name] = cut_lineage(best.drop("sse").join(errors, "traj_id", "left").join(stats, "traj_id", "left"))
@@ -62,7 +62,7 @@ def long_table(fitted: dict[str, DataFrame]) -> DataFrame:
 def peaks_and_fit(
     labs_table: DataFrame, keys: list[str], id_column: str, dates: DataFrame | None = None, date_column: str = "day",
     within_days: float = 28, min_points: int = 5, min_height: float = 150, prominence: float = 1,
-    zooms: int = 3, include_trough: bool = False, tie: str | None = None, rows_per_task: int = ROWS_PER_TASK,
+    include_trough: bool = False, tie: str | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> tuple[DataFrame, DataFrame]:
     """(fits, points) of the exponential model on every peak-to-trough segment with enough points.
 
@@ -84,4 +84,4 @@ def peaks_and_fit(
         *keys, "peak_seq", traj_id.alias("traj_id"), "pos", (F.col("t") - F.col("_t0")).alias("t"), "x"
     )
     points = cut_lineage(points)
-    return fits.fit(points, fits.EX, zooms), points
+    return fits.fit(points, fits.EX), points

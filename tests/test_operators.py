@@ -169,6 +169,8 @@ TIMES = [0.0, 0.4, 1.0, 2.0, 3.5, 5.0, 8.0, 12.0]
     "name,values,tolerance",
     [
         ("EX", {"L0": 500, "C": 9, "d": 0.3}, 1e-3),
+        ("EX", {"L0": 500, "C": 0.06, "d": 0.002}, 1e-3),
+        ("EX", {"L0": 500, "C": 600, "d": 20}, 1e-3),
         ("BI", {"L0": 600, "C": 20, "a": 0.3, "d1": 0.5, "d2": 2}, 0.5),
         ("SQ", {"L0": 500, "C": 9, "d": 0.5, "tau": 2, "k": 60}, 0.5),
         ("FH", {"H0": 95000, "L0": 900, "a": 1000, "d": 0.4, "bLFT": 25, "bHEP": fits.models.LIVER_CELLS}, 0.5),
@@ -178,13 +180,36 @@ def test_models_recover_noiseless_curves(spark, name, values, tolerance):
     model = fits.MODELS[name]
     xs = curve(model, TIMES, **values)(spark)
     points = spark.createDataFrame([("a", i, t, x) for i, (t, x) in enumerate(zip(TIMES, xs))], "traj_id string, pos int, t double, x double")
-    best = fits.fit(points, model, zooms=6)
+    best = fits.fit(points, model)
     residuals = fits.residual_rows(points, best, model)
     worst = residuals.agg(F.max(F.abs("residual"))).first()[0]
     assert worst < tolerance * 2
+    row = best.first()
+    assert row.sse == pytest.approx(residuals.agg(F.sum(F.col("residual") ** 2)).first()[0], abs=1e-6)
     if name == "EX":
-        row = best.first()
-        assert row.d == pytest.approx(0.3, rel=1e-3) and row.C == pytest.approx(9, rel=1e-2)
+        assert row.d == pytest.approx(values["d"], rel=1e-3) and row.C == pytest.approx(values["C"], rel=1e-2)
+
+
+def test_fit_keeps_the_bounds_of_cell_loss(spark):
+    """True excess below the bound: the reported error is that of the reported parameters, which stay inside."""
+    times = [float(t) for t in range(0, 200, 5)]
+    xs = curve(fits.FH, times, H0=0.1 * fits.models.LIVER_CELLS, L0=40, a=1900, d=0.4, bLFT=25, bHEP=fits.models.LIVER_CELLS)(spark)
+    points = spark.createDataFrame([("a", i, t, x) for i, (t, x) in enumerate(zip(times, xs))], "traj_id string, pos int, t double, x double")
+    best = fits.fit(points, fits.FH)
+    row = best.first()
+    assert 0.5 - 1e-9 <= row.H0 / row.bHEP <= 1 + 1e-9
+    sse = fits.residual_rows(points, best, fits.FH).agg(F.sum(F.col("residual") ** 2)).first()[0]
+    assert row.sse == pytest.approx(sse, rel=1e-6)
+
+
+def test_long_trajectories_give_the_same_fit(spark, monkeypatch):
+    rows = [(k, i, i / 10, 30 + 470 * math.exp(-d * i / 10) + (i * 7 % 5 - 2)) for k, d in (("a", 0.3), ("b", 0.05)) for i in range(90)]
+    points = spark.createDataFrame(rows, "traj_id string, pos int, t double, x double")
+    whole = {r.traj_id: r for r in fits.fit(points, fits.EX).collect()}
+    monkeypatch.setattr(fits, "STRETCH", 40)
+    for row in fits.fit(points, fits.EX).collect():
+        assert row.d == pytest.approx(whole[row.traj_id].d, rel=1e-4)
+        assert row.sse == pytest.approx(whole[row.traj_id].sse, rel=1e-6)
 
 
 def test_model_table(spark):
