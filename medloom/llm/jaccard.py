@@ -6,10 +6,11 @@
    prefixes. Equal sets have one name and take part once. Prefix rows whose shingle only one set has are dropped.
 3. Candidates are pairs that share a prefix shingle and pass the length filter and the positional filter (what can
    still be shared behind the shingle). A suffix filter and then the sets themselves decide, once per pair.
-4. Not every pair of a large group is built. First each set is compared with one partner, the smallest name of those
-   prefix lists it shares most often; links form a forest, and its trees are parts of one component. Then all
+4. Not every pair of a large group is built. In a round each set is compared with one partner of another tree,
+   the one most likely to be the original of its lists; linked sets grow into trees, parts of one component. Then all
    candidate pairs are compared whose sets lie in different trees, so no link between components is lost; pairs
-   within a tree can't change the result. In a list only the sets outside its largest tree look for partners.
+   within a tree can't change the result. A sketch of each set, 256 numbers, proves most of them apart before texts
+   are moved.
 5. Components follow from the links by least labels with pointer jumping, in Spark joins.
 
 Defined results: documents without words have 0 shingles and are a component of their own, as are rows without an id
@@ -35,6 +36,8 @@ BLOCK_SHINGLES = 1 << 20
 REPEATS = 4
 FREQUENT_KEPT = 1 << 18
 SETS_SEEN = 1 << 20
+SKETCH = 256
+STAR_ROUNDS = 1
 
 
 class Threshold(NamedTuple):
@@ -141,10 +144,34 @@ def _texts_of(batches, words: int) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(texts, words)
         yield pa.RecordBatch.from_pydict({
             "sid": pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-            "text": pa.array(texts, pa.binary()),
+            "text": pa.array(texts, pa.binary()), "sketch": pa.array([sketch_of(s) for s in sets], pa.binary()),
         })
 
 
+def sketch_of(found: np.ndarray) -> bytes:
+    """Numbers of elements by their last bits."""
+    counts = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _close(batches, limit: Threshold) -> Iterator[pa.RecordBatch]:
+    """Suffix filter on sketches: two sets share at most the sum of the smaller numbers of each part.
+
+    A part of 255 or more says nothing, so pairs with one pass.
+    """
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            a, b = (
+                np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH)
+                for c in ("sketch_a", "sketch_b")
+            )
+            shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            need = limit.overlap(a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64))
+            keep = (shared >= need) | (a.max(axis=1) == 255) | (b.max(axis=1) == 255)
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     """A bound on the number of shared elements of two sorted arrays: halves are matched with halves only."""
     if depth == 0 or not len(a) or not len(b):
@@ -210,42 +237,78 @@ def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold
     rows = docs.select("text").mapInArrow(
         lambda b: _prefixes(b, words, limit, frequent.value), "s long, sid long, place long")
     shared = rows.groupBy("s").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most")
-    shared = settle(shared.select("s", "least"))
-    lists = rows.join(shared, "s").groupBy("s", "sid").agg(
-        F.first("place").alias("place"), F.first("least").alias("least"))
-    lists = settle(lists)
+    shared = settle(shared.select("s"))
+    lists = settle(rows.join(shared, "s").groupBy("s", "sid").agg(F.first("place").alias("place")))
+    lists = settle(_ranked(lists, limit))
     names = lists.select("sid").distinct()
-    texts = docs.select("text").mapInArrow(lambda b: _texts_of(b, words), "sid long, text binary")
-    texts = settle(texts.join(names, "sid").groupBy("sid").agg(F.first("text").alias("text")))
+    texts = docs.select("text").mapInArrow(lambda b: _texts_of(b, words), "sid long, text binary, sketch binary")
+    texts = settle(texts.join(names, "sid").groupBy("sid").agg(
+        F.first("text").alias("text"), F.first("sketch").alias("sketch")))
+
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        left = texts.select(F.col("sid").alias("a"), F.col(column).alias(f"{column}_a"))
+        right = texts.select(F.col("sid").alias("b"), F.col(column).alias(f"{column}_b"))
+        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-        rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return rows.mapInArrow(lambda b: _verify(b, words, limit), "a long, b long")
-
-    # One partner for each set: the least name of a list, the one met most often.
-    least = lists.filter("sid = least").select("s", F.col("sid").alias("b"), F.col("place").alias("place_b"))
-    stars = lists.filter("sid > least").select("s", F.col("sid").alias("a"), F.col("place").alias("place_a"))
-    stars = _candidates(stars.join(least, "s"), limit).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    stars = stars.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    stars = settle(verified(stars))
-    trees = components(stars)
-
-    # All other candidates between different trees.
-    lists = lists.join(trees.withColumnRenamed("v", "sid"), "sid", "left").select(
-        "s", "sid", "place", F.coalesce("label", "sid").alias("tree"))
-    lists = settle(lists)
-    sizes = lists.groupBy("s", "tree").agg(F.count(F.lit(1)).alias("n"))
+        return with_both(pairs, "text").mapInArrow(lambda b: _verify(b, words, limit), "a long, b long")
+
+    links, trees = None, None
+    for _ in range(STAR_ROUNDS):
+        found = settle(verified(_partners(_in_trees(lists, trees), limit)))
+        links = found if links is None else links.unionByName(found)
+        trees = components(links)
+        if found.isEmpty():
+            break
+
+    # All other candidates between different trees; in a list, only the sets outside its largest tree look for others.
+    grown = settle(_in_trees(lists, trees))
+    sizes = grown.groupBy("s", "tree").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("s").agg(F.max(F.struct("n", "tree")).alias("largest"), F.count(F.lit(1)).alias("trees"))
     largest = largest.filter("trees > 1").select("s", F.col("largest.tree").alias("largest"))
-    mixed = settle(lists.join(largest, "s"))
+    mixed = settle(grown.join(largest, "s"))
     outside = mixed.filter("tree <> largest").select(
         "s", F.col("sid").alias("x"), F.col("place").alias("place_a"), F.col("tree").alias("tree_x"))
     inside = mixed.select("s", F.col("sid").alias("y"), F.col("place").alias("place_b"), F.col("tree").alias("tree_y"))
     pairs = _candidates(outside.join(inside, "s").filter("tree_x <> tree_y"), limit)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return stars.unionByName(verified(pairs))
+    close = with_both(pairs, "sketch").mapInArrow(lambda b: _close(b, limit), "a long, b long")
+    return links.unionByName(verified(settle(close)))
+
+
+def _ranked(lists: DataFrame, limit: Threshold) -> DataFrame:
+    """List rows with the rank of their set: the share of its prefix that other sets have too.
+
+    An original shares all of its prefix with its copies, a copy has shingles of its own edits, which stand first.
+    """
+    n = _size("place")
+    prefix = n - F.ceil(n * limit.part / F.lit(float(limit.whole)) - 1e-9) + 1
+    ranks = lists.groupBy("sid").agg((F.count(F.lit(1)) / F.max(prefix)).alias("rank"))
+    return lists.select("s", "sid", "place").join(ranks, "sid").select("s", "sid", "place", "rank")
+
+
+def _in_trees(lists: DataFrame, trees: DataFrame | None) -> DataFrame:
+    if trees is None:
+        return lists.withColumn("tree", F.col("sid"))
+    return lists.join(trees.withColumnRenamed("v", "sid"), "sid", "left").select(
+        "s", "sid", "place", "rank", F.coalesce("label", "sid").alias("tree"))
+
+
+def _partners(lists: DataFrame, limit: Threshold) -> DataFrame:
+    """For each set the one pair with a set of another tree: the best ranked of a list, of those lists most often so."""
+    row = F.struct("rank", "sid", "place", "tree")
+    first = lists.groupBy("s").agg(F.max(row).alias("first"))
+    lists = lists.join(first, "s")
+    second = lists.filter(F.col("tree") != F.col("first.tree")).groupBy("s").agg(F.max(row).alias("second"))
+    lists = lists.join(second, "s")
+    other = F.when(F.col("tree") != F.col("first.tree"), F.col("first")).otherwise(F.col("second"))
+    pairs = lists.withColumn("other", other).select(
+        F.col("sid").alias("a"), F.col("place").alias("place_a"), F.col("other.sid").alias("b"),
+        F.col("other.place").alias("place_b"), F.col("other.rank").alias("rank"))
+    pairs = _candidates(pairs, limit).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.max("rank").alias("rank"))
+    best = pairs.groupBy("a").agg(F.max(F.struct("times", "rank", "b")).alias("best"))
+    pairs = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold = Threshold()) -> DataFrame:
