@@ -26,7 +26,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id)}
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^ \\t\\n\\v\\f\\r]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        p AS MATERIALIZED (
+          SELECT DISTINCT item, unnest(CASE WHEN len(w) > 13 THEN list_transform(range(len(w) - 12), lambda i: w[i + 1 : i + 13])
+            WHEN len(w) > 0 THEN [w] ELSE [] END) AS words FROM b),
+        places AS (
+          SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS i, w
+          FROM d, (SELECT DISTINCT len(words) AS n FROM p) WHERE len(w) >= n),
+        hits AS MATERIALIZED (
+          SELECT places.doc_id, i, n, item FROM places JOIN p ON p.words = places.w[i + 1 : i + n]),
+        covered AS (SELECT doc_id, count(*) AS n_hit FROM (
+          SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op6_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+        s AS MATERIALIZED (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 5 THEN
+            list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle
+          AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n""",
+}
