@@ -266,6 +266,9 @@ def near_any_date(
     Dates are first spread over day slots as wide as the tolerance and made distinct, so the equi-join is on
     (key, slot): a key with very many events or dates is spread over its slots.
     """
+    if not within_days:
+        same = dates.select(*keys, F.col(date_day).alias(event_day)).distinct()
+        return events.join(same, [*keys, event_day], "left_semi").select(*events.columns)
     slot = F.floor(F.col(event_day) / within_days).cast("bigint")
     spread = dates.select(
         *keys,

@@ -55,6 +55,8 @@ def _with_tops(rows: Rows, edge: bool, min_height: float | None) -> Rows:
         .withColumn("_start", start)
         .withColumn("_rise", F.when(F.col("_prev") <= x, 1).otherwise(0))
     )
+    # From here on the position is the order, so that rows of equal time stand the same way round in every scan.
+    rows = rows._replace(order=["seq"])
     run = F.when(F.col("_start"), F.struct("seq", "_prev"))
     following = F.when(F.col("_start"), F.struct("seq", "x"))
     rows = scan(rows, last={"_run": run}, next_after={"_following": following}, running={"_rises": F.col("_rise")})
@@ -102,7 +104,7 @@ def find_peaks(
     peak (``peak_to_peak``); ``strict`` ends it before the first value that is not lower than its predecessor.
     A strict segment without such a value loses its last point unless ``include_trough``. Segments with fewer
     than ``min_points`` points are dropped with their peak. Positions ``ll`` (first) and ``ul`` (one past the
-    last) count from 0.
+    last) count from 0. Points of one time are ordered by ``tie``, then by value.
     """
     if mode not in ("peak_to_min", "peak_to_peak"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -113,7 +115,7 @@ def find_peaks(
         seen.append(marked)
         return marked.df.drop("_chunk")
 
-    order = ["t"] if tie is None else ["t", tie]
+    order = ["t", "x"] if tie is None else ["t", tie, "x"]
     marked = run_by_size(points, keys, order, mark, rows_per_task)
     longest = max(rows.longest for rows in seen)
     peaks = _segments(

@@ -21,7 +21,10 @@ STATISTICS = {
 def binned(df: DataFrame, x: str, y: str, bins: int = 10, statistic: str = "mean") -> DataFrame:
     """(bin, center, stat) over equal-width bins of [min, max], the last one closed; empty bins are null."""
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    limits = points.agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
+    limits = points.agg(F.min(x).cast("double").alias("_min"), F.max(x).cast("double").alias("_max"))
+    # A single value of x gets a range of one around it.
+    half = F.when(F.col("_min") == F.col("_max"), 0.5).otherwise(0.0)
+    limits = limits.select((F.col("_min") - half).alias("_lo"), (F.col("_max") + half).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     # The limits are one row, so the broadcast does not grow with the data.
     place = F.least(F.floor((F.col(x) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
@@ -129,4 +132,4 @@ def area_under_curve(
         part = F.when(gap > delay, gap * F.col("x")).otherwise(gap * (F.col("x") + F.col("_next.x")) / 2)
         return df.groupBy(*keys).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("area"))
 
-    return run_by_size(points, keys, [order] if tie is None else [order, tie], build, rows_per_task)
+    return run_by_size(points, keys, [order, "x"] if tie is None else [order, tie, "x"], build, rows_per_task)

@@ -306,3 +306,24 @@ def test_rule_tables_are_complete():
     assert len(liver.FINDINGS) == 45 and len(colon.FINDINGS) == 65
     assert len(liver.PROXIMITY) == 36 and len(colon.PROXIMITY) + len(colon.REPORT_PROXIMITY) == 46
     assert len(liver.ENRICHMENT) == len(colon.ENRICHMENT) == 32
+
+
+def test_peaks_at_one_time_follow_the_values(spark):
+    """Points of one time are ordered by value, in every scan and whatever the order of the rows."""
+    rows = [("a", 0.0, 10.0), ("a", 1.0, 50.0), ("a", 1.0, 80.0), ("a", 1.0, 50.0), ("a", 2.0, 20.0), ("a", 3.0, 5.0)]
+    for order in (rows, rows[::-1]):
+        points = spark.createDataFrame(order, "k string, t double, x double")
+        found = series.find_peaks(points, ["k"], prominence=1)
+        assert [(r.peak_t, r.ul - r.ll) for r in found.peaks.collect()] == [(1.0, 2)]
+
+
+def test_binned_with_one_value_of_x(spark):
+    df = spark.createDataFrame([(3.0, 1.0), (3.0, 2.0)], "x double, y double")
+    rows = stats.binned(df, "x", "y", bins=2, statistic="sum").collect()
+    assert sorted((r.center, r.stat) for r in rows) == [(2.75, None), (3.25, 3.0)]
+
+
+def test_dates_without_tolerance(spark):
+    events = spark.createDataFrame([("a", 1.0), ("a", 1.5), ("b", 1.0)], "k string, d double")
+    dates = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, day double")
+    assert [tuple(r) for r in asof.near_any_date(events, dates, ["k"], "d", "day", 0).collect()] == [("a", 1.0)]
