@@ -29,11 +29,12 @@ def synonym_audit(spark, sf_dir):
 
 
 def dedupe_longest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn(
-        "report_id", tables.composite_key(F.col("lang"), F.col("source"), F.substr("text", F.lit(1), F.lit(20)))
+    """The longest turn of each role in each conversation."""
+    turns = table(spark, sf_dir, "conversations").withColumn(
+        "report_id", tables.composite_key(F.col("conv_id").cast("string"), F.col("role"))
     )
-    out = tables.longest_per_key(docs.select("report_id", "doc_id", "text"), ["report_id"], "text", ["doc_id"])
-    return out.select("report_id", "doc_id", F.length("text").cast("bigint").alias("n"))
+    out = tables.longest_per_key(turns.select("report_id", "turn", "text"), ["report_id"], "text", ["turn"])
+    return out.select("report_id", F.col("turn").cast("bigint").alias("turn"), F.length("text").cast("bigint").alias("n"))
 
 
 def status_antifilter(spark, sf_dir):
@@ -309,10 +310,9 @@ ORACLES = {
         FROM seen s FULL JOIN wanted w ON s.name = w.name""",
     "dedupe_longest": """
         WITH r AS (
-          SELECT lang || '_' || source || '_' || substring(text, 1, 20) AS report_id, doc_id, length(text) AS n,
-            row_number() OVER (PARTITION BY lang || '_' || source || '_' || substring(text, 1, 20)
-              ORDER BY length(text) DESC, doc_id, text) AS rn FROM documents)
-        SELECT report_id, doc_id, n FROM r WHERE rn = 1""",
+          SELECT conv_id || '_' || role AS report_id, CAST(turn AS BIGINT) AS turn, length(text) AS n,
+            row_number() OVER (PARTITION BY conv_id, role ORDER BY length(text) DESC, turn, text) AS rn FROM conversations)
+        SELECT report_id, turn, n FROM r WHERE rn = 1""",
     "status_antifilter": """
         SELECT o_orderkey, status FROM (
           SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status FROM orders)
