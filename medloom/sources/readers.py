@@ -192,34 +192,61 @@ def read_procedures(
     spark: SparkSession, root: str, file_name: str, date_column: str = "Date", delimiter: str = "|",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Procedures whose records may be broken over lines: fragments belong together until the record is full.
+    """Procedures whose records may be broken over lines; see ``procedure_lines``."""
+    columns = header_of(spark, root, file_name, delimiter)
+    records, _ = procedure_lines(_numbered_lines(spark, root, file_name), columns, delimiter, rows_per_task)
+    return records.withColumn("datetime", as_date(F.col(date_column)))
 
-    A line's record is the number of whole records' delimiters before it in its file, a running sum in file
-    order; large files are read in splits and summed in chunks.
-    """
+
+def read_procedure_rejects(
+    spark: SparkSession, root: str, file_name: str, delimiter: str = "|", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """(source_file, value): what lines hold that fit no record."""
     columns = header_of(spark, root, file_name, delimiter)
-    width = len(columns) - 1
+    return procedure_lines(_numbered_lines(spark, root, file_name), columns, delimiter, rows_per_task)[1]
+
+
+def _numbered_lines(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     lines = _below_root(_folders(spark, file_name).text(root), root, file_name)
-    lines = lines.select(
+    return lines.select(
         F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_block_start").alias("block"),
         # Increases along the lines of a split.
-        F.monotonically_increasing_id().alias("_line"),
+        F.monotonically_increasing_id().alias("line"),
         F.regexp_replace("value", "^\ufeff", "").alias("value"),
-    ).filter(F.col("value") != delimiter.join(columns))
+    )
+
+
+def procedure_lines(
+    lines: DataFrame, columns: Sequence[str], delimiter: str = "|", rows_per_task: int = ROWS_PER_TASK
+) -> tuple[DataFrame, DataFrame]:
+    """Records and rejects of lines (source_file, block, line, value), some of them broken.
+
+    A line with all delimiters is a record of its own. Fragments between two such lines belong together until a
+    record is full, counted anew behind each whole line, so a bad fragment costs no other record. What does not
+    add up to a record is returned as rejects (source_file, value). Large files are numbered in chunks.
+    """
+    width = len(columns) - 1
+    lines = lines.filter(F.col("value") != delimiter.join(columns))
     pipes = F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit("")))
     lines = cut_lineage(lines.withColumn("_pipes", pipes))
+    whole = F.col("_pipes") >= width
 
     def number(rows: Rows) -> DataFrame:
-        return scan(rows, running={"_total": F.col("_pipes")}).df.drop("_chunk")
+        rows = scan(rows, running={
+            "_stretch": F.when(whole, 1).otherwise(0), "_total": F.when(whole, 0).otherwise(F.col("_pipes"))})
+        return scan(rows, last={"_base": F.when(whole, F.col("_total"))}).df.drop("_chunk")
 
-    numbered = run_by_size(lines, ["source_file"], ["_block", "_line"], number, rows_per_task)
-    record = F.floor((F.col("_total") - F.col("_pipes")) / width).cast("bigint")
+    numbered = run_by_size(lines, ["source_file"], ["block", "line"], number, rows_per_task)
+    before = F.col("_total") - F.coalesce(F.col("_base"), F.lit(0)) - F.col("_pipes")
+    record = F.when(whole, F.lit(-1)).otherwise(F.floor(before / width)).cast("bigint")
     joined = (
-        numbered.groupBy("source_file", record.alias("_record"))
-        .agg(F.array_sort(F.collect_list(F.struct("_block", "_line", "value"))).alias("_parts"))
-        .select(F.split(F.array_join(F.transform("_parts", lambda p: p["value"]), ""), "[" + delimiter + "]").alias("_p"))
-        .filter(F.size("_p") == width + 1)
+        numbered.groupBy("source_file", "_stretch", record.alias("_record"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("_parts"))
+        .select("source_file", F.array_join(F.transform("_parts", lambda p: p["value"]), "").alias("value"))
+        .withColumn("_p", F.split("value", "[" + delimiter + "]"))
     )
-    df = joined.select(*[F.when(F.get("_p", F.lit(i)) != "", F.get("_p", F.lit(i))).alias(c) for i, c in enumerate(columns)])
-    return df.withColumn("datetime", as_date(F.col(date_column)))
+    good = joined.filter(F.size("_p") == width + 1)
+    cells = [F.when(F.get("_p", F.lit(i)) != "", F.get("_p", F.lit(i))).alias(c) for i, c in enumerate(columns)]
+    rejects = joined.filter(F.size("_p") != width + 1).select("source_file", "value")
+    return good.select(*cells), rejects

@@ -117,3 +117,13 @@ def test_sinks(spark, tmp_path):
     assert fits.count() == 1 and fits.columns == ["traj_id", "x0"]
     sinks.write_with_rejects(df.filter("x > 100"), df.filter(F.col("x") <= 100), str(tmp_path / "lab"))
     assert spark.read.parquet(str(tmp_path / "lab" / "rejected")).count() == 3
+
+
+def test_broken_lines_cost_no_other_record(spark):
+    columns = ["a", "b", "c"]
+    values = ["1|x|y", "2|", "only", "3|x|y", "4|x", "|y", "5|x|y", "6|x|y|z", "7|x|y"]
+    lines = spark.createDataFrame([("f", 0, i, v) for i, v in enumerate(values)], "source_file string, block long, line long, value string")
+    for limit in (1000, 3):
+        records, rejects = readers.procedure_lines(lines, columns, rows_per_task=limit)
+        assert sorted(r.a for r in records.collect()) == ["1", "3", "4", "5", "7"]
+        assert sorted(r.value for r in rejects.collect()) == ["2|only", "6|x|y|z"]
