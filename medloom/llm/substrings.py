@@ -68,6 +68,7 @@ def _phrase_rows(batches: Iterable[pa.RecordBatch], window: int, gram: int, full
         yield pa.RecordBatch.from_pydict(columns)
 
 
+PHRASE = ["h", "rh", "doc", "tie", "span"]
 STRINGS = "h long, share int, shares int, doc long, tie long, start long, phrase binary"
 
 
@@ -249,26 +250,32 @@ def repeated_substrings(
 
     triggers = once.select("text").mapInArrow(lambda b: _phrase_rows(b, window, gram, False), "h long")
     shared = settle(triggers.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    # Columns that can't be null get no filters of their own, which would make the uses of this shuffle differ.
     found = once.mapInArrow(
-        lambda b: _phrase_rows(b, window, gram, True), "h long, rh long, doc long, tie long, span long")
+        lambda b: _phrase_rows(b, window, gram, True), ", ".join(f"{c} long not null" for c in PHRASE))
     found = found.join(shared, "h")
 
     dictionary = found.groupBy("h", "rh").agg(F.min(F.struct("doc", "tie", "span")).alias("first"))
     dictionary = dictionary.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("h")))
     dictionary = dictionary.select("h", "phrases", "first.doc", "first.tie", "first.span")
 
-    by_document = rows.select("doc", "tie", "text") if unique else once
-    unsure = dictionary.filter("phrases > 1").groupBy("doc", "tie").agg(
+    # Both joins with the texts ask for the same columns by the same key, so the texts are shuffled once.
+    keys = ["doc"] if unique else ["doc", "tie"]
+    unsure = dictionary.filter("phrases > 1").groupBy(*keys).agg(
         F.collect_list(F.struct("h", "phrases", "span")).alias("found"))
-    strings = by_document.join(unsure, ["doc", "tie"]).mapInArrow(
+    texts = rows if unique else once.withColumn("doc_id", F.col("doc"))
+    strings = texts.join(unsure, keys).select("doc_id", "doc", "tie", "text", "found").mapInArrow(
         lambda b: _strings(b, window, phrases_per_task), STRINGS)
     strings = strings.repartition("h", "share").sortWithinPartitions("h", "share")
     late = strings.mapInArrow(lambda b: _late_windows(b, window), "doc long, tie long, span long")
 
-    def lists(spans: DataFrame, name: str) -> DataFrame:
-        return spans.groupBy("doc", "tie").agg(F.collect_list("span").alias(name))
+    def lists(spans: DataFrame, name: str, *more: Column) -> DataFrame:
+        return spans.groupBy(*keys).agg(F.collect_list("span").alias(name), *more)
 
-    whole = rows.join(lists(found, "shared"), ["doc", "tie"], "left")
-    whole = whole.join(lists(dictionary, "first"), ["doc", "tie"], "left")
-    whole = whole.join(lists(late, "late"), ["doc", "tie"], "left")
-    return whole.select("doc_id", "text", "shared", "first", "late").mapInArrow(lambda b: _remove(b, window), RESULT)
+    # Asking for all columns of the phrases here as well lets both uses read one shuffle of them.
+    unused = [F.max(c).alias(f"_{c}") for c in ("rh", "tie") if c not in keys]
+    whole = rows.join(lists(found, "shared", *unused), keys, "left")
+    whole = whole.join(lists(dictionary, "first"), keys, "left")
+    whole = whole.join(lists(late, "late"), keys, "left")
+    columns = ["doc_id", "doc", "tie", "text", "shared", "first", "late", *(f"_{c}" for c in ("rh", "tie") if c not in keys)]
+    return whole.select(*columns).mapInArrow(lambda b: _remove(b, window), RESULT)
