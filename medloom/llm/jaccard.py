@@ -10,7 +10,7 @@
    the one most likely to be the original of its lists; linked sets grow into trees, parts of one component. Then all
    candidate pairs are compared whose sets lie in different trees, so no link between components is lost; pairs
    within a tree can't change the result. A sketch of each set, 256 numbers, proves most of them apart before texts
-   are moved.
+   are moved; long lists are dealt in blocks.
 5. Components follow from the links by least labels with pointer jumping, in Spark joins.
 
 Defined results: documents without words have 0 shingles and are a component of their own, as are rows without an id
@@ -37,6 +37,7 @@ REPEATS = 4
 FREQUENT_KEPT = 1 << 18
 SETS_SEEN = 1 << 20
 SKETCH = 256
+LIST_BLOCK = 4096
 STAR_ROUNDS = 1
 
 
@@ -149,27 +150,12 @@ def _texts_of(batches, words: int) -> Iterator[pa.RecordBatch]:
 
 
 def sketch_of(found: np.ndarray) -> bytes:
-    """Numbers of elements by their last bits."""
-    counts = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
-
+    """Numbers of elements by their last bits: two sets share at most the sum of the smaller numbers of each part.
 
-def _close(batches, limit: Threshold) -> Iterator[pa.RecordBatch]:
-    """Suffix filter on sketches: two sets share at most the sum of the smaller numbers of each part.
-
-    A part of 255 or more says nothing, so pairs with one pass.
+    A part of 255 or more says nothing.
     """
-    for batch in batches:
-        for k in range(0, batch.num_rows, 4096):
-            part = batch.slice(k, 4096)
-            a, b = (
-                np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH)
-                for c in ("sketch_a", "sketch_b")
-            )
-            shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-            need = limit.overlap(a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64))
-            keep = (shared >= need) | (a.max(axis=1) == 255) | (b.max(axis=1) == 255)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+    counts = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
@@ -245,13 +231,11 @@ def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold
     texts = settle(texts.join(names, "sid").groupBy("sid").agg(
         F.first("text").alias("text"), F.first("sketch").alias("sketch")))
 
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        left = texts.select(F.col("sid").alias("a"), F.col(column).alias(f"{column}_a"))
-        right = texts.select(F.col("sid").alias("b"), F.col(column).alias(f"{column}_b"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        return with_both(pairs, "text").mapInArrow(lambda b: _verify(b, words, limit), "a long, b long")
+        left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
+        rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        return rows.mapInArrow(lambda b: _verify(b, words, limit), "a long, b long")
 
     links, trees = None, None
     for _ in range(STAR_ROUNDS):
@@ -267,13 +251,71 @@ def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold
     largest = sizes.groupBy("s").agg(F.max(F.struct("n", "tree")).alias("largest"), F.count(F.lit(1)).alias("trees"))
     largest = largest.filter("trees > 1").select("s", F.col("largest.tree").alias("largest"))
     mixed = settle(grown.join(largest, "s"))
-    outside = mixed.filter("tree <> largest").select(
-        "s", F.col("sid").alias("x"), F.col("place").alias("place_a"), F.col("tree").alias("tree_x"))
-    inside = mixed.select("s", F.col("sid").alias("y"), F.col("place").alias("place_b"), F.col("tree").alias("tree_y"))
-    pairs = _candidates(outside.join(inside, "s").filter("tree_x <> tree_y"), limit)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    close = with_both(pairs, "sketch").mapInArrow(lambda b: _close(b, limit), "a long, b long")
-    return links.unionByName(verified(settle(close)))
+    return links.unionByName(verified(settle(_across_trees(mixed, texts.select("sid", "sketch"), limit))))
+
+
+def _across_trees(mixed: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
+    """Distinct pairs (a, b) of one list and different trees that the filters can't prove apart.
+
+    Lists are dealt in blocks of members: each pair of blocks is one small piece of work, however long a list is, and
+    only pairs that pass leave it.
+    """
+    sizes = mixed.groupBy("s").agg((F.floor((F.count(F.lit(1)) - 1) / LIST_BLOCK) + 1).cast("int").alias("blocks"))
+    rows = mixed.join(sizes, "s").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "place",
+        "tree", (F.col("tree") != F.col("largest")).alias("outside"),
+    ).join(sketches, "sid").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    return rows.mapInArrow(lambda b: _block_pairs(b, limit), "a long, b long").distinct()
+
+
+def _block_pairs(batches, limit: Threshold) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: pa.Table):
+        sid, place, tree, block = (rows.column(c).to_numpy() for c in ("sid", "place", "tree", "block"))
+        outside = rows.column("outside").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        full = sketch.max(axis=1) == 255
+        n, behind = place >> 32, (place >> 32) - (place & 0xFFFFFFFF)
+        cross = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        for x in np.flatnonzero(outside):
+            # A pair of two outside members is met from both sides and kept from one.
+            ok = (tree != tree[x]) & ~(outside & (sid <= sid[x]))
+            if cross:
+                ok &= block != block[x]
+            need = limit.overlap(n[x], n)
+            ok &= (np.minimum(n[x], n) * limit.whole >= np.maximum(n[x], n) * limit.part)
+            y = np.flatnonzero(ok & (np.minimum(behind, behind[x]) >= need))
+            if len(y):
+                shared = np.minimum(sketch[y], sketch[x]).sum(axis=1, dtype=np.int64)
+                y = y[(shared >= need[y]) | full[y] | full[x]]
+                yield from ((min(sid[x], sid[k]), max(sid[x], sid[k])) for k in y)
+
+    def whole_lists():
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for part in slices([batch], "sketch", 1 << 22):
+                key = np.stack([part.column(c).to_numpy() for c in ("s", "i", "j")])
+                cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows]):
+                    piece = part.slice(a, b - a)
+                    if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("s", "i", "j")):
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    held.append(piece)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    found: set[tuple[int, int]] = set()
+    for rows in whole_lists():
+        found.update(pairs(rows))
+        if len(found) > 1 << 16:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            found = set()
+    if found:
+        a, b = zip(*found)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _ranked(lists: DataFrame, limit: Threshold) -> DataFrame:
