@@ -12,8 +12,9 @@
 4. Each document's removed windows are merged into spans.
 
 Triggers are chosen by least hash, so phrases are bounded and the suffixes of one class share a trigger; the suffix
-array can therefore be built in parts, by trigger. A trigger with very many phrases is dealt to several tasks, each
-of which sorts its share of the suffixes by a hash of the window, so that equal suffixes stay together.
+array can therefore be built in parts, by trigger. A trigger with very many phrases is split before the shuffle: its
+windows are dealt to shares by a hash of the window, so that equal ones stay together, and each goes to one share
+only. Of equal windows in one slice of the texts only the first is sent; the others are known to go.
 
 Defined results: a null text is empty and keeps nothing; rows of equal id and text are one document, returned as often
 as they are there; rows of equal id and different text are ordered by a hash of the text; rows without an id come
@@ -23,11 +24,12 @@ last; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.llm.base import batch_of, settle, slices, text_bytes, text_list
@@ -37,6 +39,7 @@ WINDOW = 100
 GRAM = 32
 BLOCK = 1 << 22
 PHRASES_PER_TASK = 20_000
+SPLIT = 8  # shares for as many phrases: windows that are dealt one by one take more room than whole phrases
 SORT_BYTES = 1 << 20
 _LAST = (1 << 63) - 1
 
@@ -69,47 +72,88 @@ def _phrase_rows(batches: Iterable[pa.RecordBatch], window: int, gram: int, full
 
 
 PHRASE = ["h", "rh", "doc", "tie", "span"]
-STRINGS = "h long, share int, shares int, doc long, tie long, start long, phrase binary"
+STRINGS = "h long, share long, doc long, tie long, start long, phrase binary"
+_STRINGS_ARROW = pa.schema([
+    ("h", pa.int64()), ("share", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()),
+    ("phrase", pa.binary()),
+])
 
 
 def _strings(batches: Iterable[pa.RecordBatch], window: int, per_task: int) -> Iterator[pa.RecordBatch]:
-    """The strings of dictionary phrases, once for each share of their trigger."""
+    """The strings of dictionary phrases.
+
+    Of a trigger with more than ``per_task`` phrases each share is sent the runs of windows that are its own. A row
+    without a string is a run of windows already known to go; ``start`` is its span.
+    """
     for batch in slices(batches):
-        rows = []
+        rows, split, size = [], [], 0
         for doc, tie, text, found in zip(
             batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), text_list(batch.column("text")),
             batch.column("found").to_pylist(),
         ):
             for item in found:
-                start, shares = item["span"] >> 8, -(-item["phrases"] // per_task)
+                start = item["span"] >> 8
                 phrase = text[start : start + (item["span"] & 255) + window - 1]
-                rows += [(item["h"], k, shares, doc, tie, start, phrase) for k in range(shares)]
+                if item["phrases"] <= per_task:
+                    rows.append((item["h"], 0, doc, tie, start, phrase))
+                    continue
+                split.append((item["h"], -(-item["phrases"] * SPLIT // per_task), doc, tie, start, phrase))
+                size += len(phrase)
+                if size >= SORT_BYTES:
+                    rows += _dealt(split, window)
+                    split, size = [], 0
+        if split:
+            rows += _dealt(split, window)
         if rows:
-            h, share, shares, doc, tie, start, phrase = zip(*rows)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(h, pa.int64()), pa.array(share, pa.int32()), pa.array(shares, pa.int32()),
-                pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(start, pa.int64()),
-                pa.array(phrase, pa.binary()),
-            ], names=["h", "share", "shares", "doc", "tie", "start", "phrase"])
+            yield batch_of(_STRINGS_ARROW, *zip(*rows))
+
+
+def _dealt(split: list[tuple], window: int) -> list[tuple]:
+    """Rows of ``_strings`` for phrases whose windows are dealt to shares."""
+    h, shares, doc, tie, start, strings = zip(*split)
+    owner, inner, place = _places(doc, tie, start, strings, window)
+    late = later_suffixes(strings, place, window)
+    sizes = np.array([len(x) for x in strings])
+    key = finish(rolling(np.frombuffer(b"".join(strings), np.uint8), [window])[window][(np.cumsum(sizes) - sizes)[owner] + inner])
+    share = (key % np.array(shares, np.uint64)[owner]).astype(np.int64)
+    share[late] = -1
+    edge = np.flatnonzero((owner[1:] != owner[:-1]) | (share[1:] != share[:-1])) + 1
+    rows = []
+    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(owner)]):
+        k, at, s = int(owner[a]), int(inner[a]), int(share[a])
+        if s < 0:  # such rows are dealt by their place
+            span = start[k] + at << 8 | b - a
+            rows.append((doc[k], span, doc[k], tie[k], span, None))
+        else:
+            rows.append((h[k], s, doc[k], tie[k], start[k] + at, strings[k][at : at + b - a + window - 1]))
+    return rows
+
+
+def _places(doc, tie, start, strings, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window, string by string: its string, its place in it and its place in the corpus as a rank."""
+    counts = np.array([len(s) - window + 1 for s in strings])
+    owner = np.repeat(np.arange(len(strings)), counts)
+    inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = np.empty(len(owner), np.int64)
+    place[np.lexsort((np.array(start)[owner] + inner, np.array(tie)[owner], np.array(doc)[owner]))] = np.arange(len(owner))
+    return owner, inner, place
 
 
-def later_suffixes(strings: list[bytes], place: np.ndarray, wanted: np.ndarray | None, window: int) -> np.ndarray:
+def later_suffixes(strings: Sequence[bytes], place: np.ndarray, window: int) -> np.ndarray:
     """Of all suffixes of at least ``window`` bytes (string by string), which share their first ``window`` bytes with
     one that comes earlier in the corpus.
 
-    ``place`` is the corpus place of each suffix as a rank; ``wanted`` leaves suffixes out.
+    ``place`` is the corpus place of each suffix as a rank.
     """
     data = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings])
     counts = sizes - window + 1
     begin = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    which = np.arange(len(begin)) if wanted is None else np.flatnonzero(wanted)
     late = np.zeros(len(begin), bool)
-    if not len(which):
+    if not len(begin):
         return late
     # The suffix array: suffixes by their first bytes as big-endian words, then class by class by the words behind.
-    order = _suffix_order(data, begin[which], window)
-    which = which[order]
+    which = _suffix_order(data, begin, window)
     windows = np.lib.stride_tricks.sliding_window_view(data, window)
     same = np.zeros(len(which), bool)
     for a in range(1, len(which), 1 << 16):
@@ -149,40 +193,33 @@ def _suffix_order(data: np.ndarray, begin: np.ndarray, window: int) -> np.ndarra
 
 
 def _late_windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by trigger; those of whole triggers are sorted together. Gives (doc, tie, span) of windows to go."""
+    """Rows come by trigger; those of whole shares of triggers are sorted together. Gives (doc, tie, span) of windows
+    to go."""
 
     def handle(rows):
-        h, share, shares, doc, tie, start, strings = (list(x) for x in zip(*rows))
-        counts = np.array([len(s) - window + 1 for s in strings])
-        owner = np.repeat(np.arange(len(strings)), counts)
-        inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.array(start)[owner] + inner
-        place = np.empty(len(at), np.int64)
-        place[np.lexsort((at, np.array(tie)[owner], np.array(doc)[owner]))] = np.arange(len(at))
-        wanted = None
-        if max(shares) > 1:
-            data = np.frombuffer(b"".join(strings), np.uint8)
-            sizes = np.array([len(s) for s in strings])
-            key = finish(rolling(data, [window])[window][(np.cumsum(sizes) - sizes)[owner] + inner])
-            parts = np.array(shares, np.uint64)[owner]
-            wanted = key % parts == np.array(share, np.uint64)[owner]
-        late = later_suffixes(strings, place, wanted, window)
+        _, _, doc, tie, start, strings = zip(*rows)
+        owner, inner, place = _places(doc, tie, start, strings, window)
+        late = later_suffixes(strings, place, window)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], late.view(np.int8), [0]))))
         first, last = edge[::2], edge[1::2]
         out = []
         for a, b in zip(first.tolist(), last.tolist()):
             while a < b:  # a run of windows ends with its phrase
-                k = owner[a]
-                stop = min(b, a + int(counts[k] - inner[a]))
-                out.append((doc[k], tie[k], int(at[a]) << 8 | (stop - a)))
+                k, at = int(owner[a]), int(inner[a])
+                stop = min(b, a + len(strings[k]) - window + 1 - at)
+                out.append((doc[k], tie[k], start[k] + at << 8 | stop - a))
                 a = stop
         return out
 
     schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("span", pa.int64())])
     rows, size = [], 0
-    names = ("h", "share", "shares", "doc", "tie", "start", "phrase")
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in names)):
+        known = pc.is_null(batch.column("phrase"))
+        if known.true_count:
+            gone = batch.filter(known)
+            yield batch_of(schema, gone.column("doc"), gone.column("tie"), gone.column("start"))
+            batch = batch.filter(pc.invert(known))
+        for row in zip(*(batch.column(c).to_pylist() for c in _STRINGS_ARROW.names)):
             if size >= SORT_BYTES and row[:2] != rows[-1][:2]:
                 if out := handle(rows):
                     yield batch_of(schema, *zip(*out))
@@ -256,12 +293,15 @@ def repeated_substrings(
     found = found.join(shared, "h")
 
     dictionary = found.groupBy("h", "rh").agg(F.min(F.struct("doc", "tie", "span")).alias("first"))
-    dictionary = dictionary.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    dictionary = dictionary.select("h", "phrases", "first.doc", "first.tie", "first.span")
+    dictionary = dictionary.select("h", "first.doc", "first.tie", "first.span")
+    # The filter on all columns lets this count read the same shuffle of the phrases as the other uses.
+    places = ["doc", "tie", "span"]
+    several = dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("phrases"), *[F.max(c).alias(f"_{c}") for c in places])
+    several = several.filter("phrases > 1").dropna(subset=[f"_{c}" for c in places]).select("h", "phrases")
 
     # Both joins with the texts ask for the same columns by the same key, so the texts are shuffled once.
     keys = ["doc"] if unique else ["doc", "tie"]
-    unsure = dictionary.filter("phrases > 1").groupBy(*keys).agg(
+    unsure = dictionary.join(several, "h").groupBy(*keys).agg(
         F.collect_list(F.struct("h", "phrases", "span")).alias("found"))
     texts = rows if unique else once.withColumn("doc_id", F.col("doc"))
     strings = texts.join(unsure, keys).select("doc_id", "doc", "tie", "text", "found").mapInArrow(

@@ -82,6 +82,45 @@ def test_repeated_substrings(spark, per_task):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def test_phrases_of_one_trigger_are_split_before_the_shuffle():
+    """Each window of a trigger with many phrases is sent to one share, once for all equal ones of a slice."""
+    rnd = random.Random(4)
+    footer = "".join(rnd.choice("abcdefgh") for _ in range(70))
+    texts = ["".join(rnd.choice("xyz") for _ in range(90)) + footer + "-" * 40 for _ in range(400)]
+    texts = [t[30 : 30 + 168] for t in texts]
+    found = [[{"h": 5, "phrases": len(texts), "span": 69}]] * len(texts)
+    batch = substrings.pa.RecordBatch.from_pydict({
+        "doc": list(range(len(texts))), "tie": [0] * len(texts), "text": texts, "found": found})
+    rows = [r for b in substrings._strings([batch], 100, 40) for r in b.to_pylist()]
+    shares, sent, gone = defaultdict(set), [], set()
+    for r in rows:
+        if r["phrase"] is None:
+            gone |= {(r["doc"], (r["start"] >> 8) + k) for k in range(r["start"] & 255)}
+            continue
+        for k in range(len(r["phrase"]) - 99):
+            shares[r["phrase"][k : k + 100]].add((r["h"], r["share"]))
+            sent.append((r["doc"], r["start"] + k))
+    assert len(sent) == len(set(sent)) == len(shares) and all(len(x) == 1 for x in shares.values())
+    assert len({x for group in shares.values() for x in group}) > 20
+    first = {}
+    for i, text in enumerate(texts):
+        for k in range(69):
+            first.setdefault(text[k : k + 100], (i, k))
+    assert set(sent) == set(first.values()) and not gone & set(sent) and len(gone) + len(sent) == 69 * len(texts)
+
+
+def test_repeated_substrings_around_one_footer(spark):
+    """A footer with different text around it makes a phrase of one trigger in each document."""
+    rnd = random.Random(6)
+    footer = "".join(rnd.choice("abcdefgh") for _ in range(110))
+    texts = ["".join(rnd.choice("uvwxyz ") for _ in range(120)) + footer + "".join(rnd.choice("uvw") for _ in range(90)) for _ in range(60)]
+    texts += texts[:5]
+    want = plain.dedup([(i, t.encode()) for i, t in enumerate(texts)])
+    for per_task in (3, 20_000):
+        got = substrings.repeated_substrings(table(spark, texts, 5), phrases_per_task=per_task).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 def test_contamination(spark):
     rnd = random.Random(5)
     word = lambda: rnd.choice(["the", "of", "Ab", "c3", "éa", "x-y", "zz"])
