@@ -14,7 +14,7 @@ code points, ends exclusive; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,27 +22,61 @@ from pyspark.sql import functions as F
 
 from medloom.llm.base import batch_of, slices
 
-RULES_VERSION = "1"
+RULES_VERSION = "3"
 BASE_KINDS = ["assign", "access", "hex"]
 # The base rules of the query, then what this operator adds.
 ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+# What belongs to a key without an END line: armour headers and base64 lines, with line breaks that may be escaped or
+# quoted, then a short last line and a checksum.
+_GAP = r"""(?:\s|\\[rnt]|["'`+,>|#*])*+"""
+KEY_LINES = re.compile(
+    rf"(?>{_GAP}(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+|[A-Za-z0-9+/]{{16,}}+={{0,2}}))++"
+    rf"""(?>{_GAP}(?:[A-Za-z0-9+/]{{1,15}}+={{1,2}}|(?:[A-Za-z0-9+/]{{4}}){{1,3}}(?=["'`,;]*(?:\s*?[\r\n]|\\[rn]|\Z))))?"""
+    rf"(?>{_GAP}=[A-Za-z0-9+/]{{4}}(?![A-Za-z0-9+/]))?"
+)
+# A run of scheme characters is looked at from its beginning only, which keeps the search linear.
+URL_LOGIN = re.compile(r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^\s/:@]++:[^\s/@]{4,}+@")
+SCHEME = re.compile(r"\b[a-z][a-z0-9+.-]+://")
+
+
+def _each(pattern: re.Pattern, check: Callable[[re.Match], bool] | None = None) -> Callable[[str], Iterator[tuple[int, int]]]:
+    return lambda text: (m.span() for m in pattern.finditer(text) if check is None or check(m))
+
+
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """From BEGIN through END, if that comes before another BEGIN, and else through the lines of the key."""
+    for begin in KEY_BEGIN.finditer(text):
+        after = text.find("-----BEGIN ", begin.end())
+        end = KEY_END.search(text, begin.end(), after if after >= 0 else len(text))
+        end = end or KEY_LINES.match(text, begin.end(), after if after >= 0 else len(text)) or begin
+        yield begin.start(), end.end()
+
+
+def _url_logins(text: str) -> Iterator[tuple[int, int]]:
+    for m in URL_LOGIN.finditer(text):
+        if scheme := SCHEME.search(text, m.start(), m.end()):
+            yield scheme.start(), m.end()
+
+
 RULES = [
-    ("assign", re.compile(ASSIGN), lambda m: m.end(2) - m.start(2) >= 6),
-    ("access", re.compile(r"AKIA[A-Z0-9]{16,}"), None),
-    ("hex", re.compile(r"[0-9a-f]{24,}"), None),
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"), None),
-    ("web_token", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), None),
-    ("url_login", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{4,64}@"), None),
+    ("assign", _each(re.compile(ASSIGN), lambda m: m.end(2) - m.start(2) >= 6)),
+    ("access", _each(re.compile(r"AKIA[A-Z0-9]{16,}"))),
+    ("hex", _each(re.compile(r"[0-9a-f]{24,}"))),
+    ("private_key", _private_keys),
+    ("web_token", _each(re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"))),
+    ("url_login", _url_logins),
 ]
 FOUND_IN = ["kinds", "starts", "ends"]
-KINDS = [kind for kind, _, _ in RULES]
+KINDS = [kind for kind, _ in RULES]
 
 
 def scan_text(text: str) -> list[tuple[int, int, int]]:
     """Findings as (start, place of the kind in KINDS, end), in order; leftmost and not overlapping per kind."""
     found = []
-    for k, (_, pattern, check) in enumerate(RULES):
-        found.extend((m.start(), k, m.end()) for m in pattern.finditer(text) if check is None or check(m))
+    for k, (_, spans) in enumerate(RULES):
+        found.extend((start, k, end) for start, end in spans(text))
     found.sort()
     return found
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,6 +188,37 @@ def test_secrets(spark):
         assert r["text"] == (texts * 2)[r["doc_id"]] or r["n_chars"] == len(r["text"])
 
 
+def test_keys_and_logins_are_masked_whole(spark):
+    rnd = random.Random(2)
+    line = lambda n: "".join(rnd.choice("ABCxyz019+/") for _ in range(n))
+    body = [line(64) for _ in range(12)] + [line(20) + "=="]
+    pem = ["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"]
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]
+    pgp = ["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: GnuPG v2", "", *body, "=aB3d", "-----END PGP PRIVATE KEY BLOCK-----"]
+    login = f"https://{line(90).replace('/', 'x')}:{'p:' + line(300).replace('/', 'x')}@"
+    cases = [
+        ("private_key", "\n".join(pem)), ("private_key", "\r\n".join(pgp)), ("private_key", "\\n".join(pem)),
+        ("private_key", "\n".join(pem[:-1])), ("private_key", "\n".join([pem[0], *head, *body])),
+        ("private_key", "\\n".join(pgp[:-1])), ("private_key", "\n".join([*pem[:-2], "aB3+"])), ("url_login", login),
+        ("private_key", " ".join(pem)), ("private_key", "-----BEGIN PRIVATE KEY-----"),
+    ]
+    texts = [f"é before {secret}\n after it" for _, secret in cases] + ["\n".join([*pem[:-1], *pem, "not secret"])]
+    want = [f"é before [{kind}]\n after it" for kind, _ in cases]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(cases))] == want
+    last = got[len(cases)]
+    assert last.replace("[private_key]", "").strip() == "not secret" and "[private_key]" in last
+
+
+@pytest.mark.parametrize("text", ["a." * 200_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "a://b:" * 50_000, "-----BEGIN " + "A " * 200_000,
+                                  "-----BEGIN PRIVATE KEY-----" + "+" * 300_000, "-----BEGIN PRIVATE KEY-----" + "abcd\n" * 80_000])
+def test_secret_scans_are_linear(text):
+    before = time.process_time()
+    for kind in ("private_key", "url_login"):
+        list(dict(secrets.RULES)[kind](text))
+    assert time.process_time() - before < 5
+
+
 def test_secret_ledger_scans_unseen_blobs_only(spark):
     old = table(spark, ["token=abcdef1", "nothing", "token=abcdef1"])
     ledger = spark.createDataFrame(secrets.scan_unseen(old).collect(), secrets.LEDGER)
