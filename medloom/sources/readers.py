@@ -28,6 +28,7 @@ LAB_COLUMNS = [
 ]
 REPORT_END = "[report_end]"
 FIRST_YEAR = "1900-01-01"
+REJECTED_TOGETHER = 1000
 
 DATE_FORMATS = [
     "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
@@ -224,7 +225,8 @@ def procedure_lines(
 
     A line with all delimiters is a record of its own. Fragments between two such lines belong together until a
     record is full, counted anew behind each whole line, so a bad fragment costs no other record. What does not
-    add up to a record is returned as rejects (source_file, value). Large files are numbered in chunks.
+    add up to a record is returned as rejects (source_file, value), put together, or line by line where it has more
+    than ``REJECTED_TOGETHER`` lines. Large files are numbered in chunks.
     """
     width = len(columns) - 1
     lines = lines.filter(F.col("value") != delimiter.join(columns))
@@ -240,13 +242,19 @@ def procedure_lines(
     numbered = run_by_size(lines, ["source_file"], ["block", "line"], number, rows_per_task)
     before = F.col("_total") - F.coalesce(F.col("_base"), F.lit(0)) - F.col("_pipes")
     record = F.when(whole, F.lit(-1)).otherwise(F.floor(before / width)).cast("bigint")
+    numbered = cut_lineage(numbered.withColumn("_record", record))
+    # Fragments without enough delimiters can't add up to a record however many they are, so they are never collected.
+    group = ["source_file", "_stretch", "_record"]
+    sizes = numbered.filter(~whole).groupBy(*group).agg(F.count(F.lit(1)).alias("_lines"), F.sum("_pipes").alias("_sum"))
+    endless = sizes.filter((F.col("_lines") > REJECTED_TOGETHER) & (F.col("_sum") != width)).select(*group)
+    single = numbered.join(endless, group, "left_semi").select("source_file", "value")
     joined = (
-        numbered.groupBy("source_file", "_stretch", record.alias("_record"))
+        numbered.join(endless, group, "left_anti").groupBy(*group)
         .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("_parts"))
         .select("source_file", F.array_join(F.transform("_parts", lambda p: p["value"]), "").alias("value"))
         .withColumn("_p", F.split("value", "[" + delimiter + "]"))
     )
     good = joined.filter(F.size("_p") == width + 1)
     cells = [F.when(F.get("_p", F.lit(i)) != "", F.get("_p", F.lit(i))).alias(c) for i, c in enumerate(columns)]
-    rejects = joined.filter(F.size("_p") != width + 1).select("source_file", "value")
+    rejects = joined.filter(F.size("_p") != width + 1).select("source_file", "value").unionByName(single)
     return good.select(*cells), rejects

@@ -127,3 +127,13 @@ def test_broken_lines_cost_no_other_record(spark):
         records, rejects = readers.procedure_lines(lines, columns, rows_per_task=limit)
         assert sorted(r.a for r in records.collect()) == ["1", "3", "4", "5", "7"]
         assert sorted(r.value for r in rejects.collect()) == ["2|only", "6|x|y|z"]
+
+
+def test_lines_of_a_wrong_delimiter_are_rejected_one_by_one(spark):
+    """Without delimiters no record ends: such lines aren't collected in one group, but a long record still is."""
+    columns = ["a", "b", "c"]
+    values = ["1|x|y", *[f"l{i};x;y" for i in range(3000)], "2|x|y", "3|", *["t"] * 3000, "|y", "4|x|y"]
+    lines = spark.createDataFrame([("f", 0, i, v) for i, v in enumerate(values)], "source_file string, block long, line long, value string")
+    records, rejects = readers.procedure_lines(lines, columns)
+    assert sorted((r.a, r.b) for r in records.collect()) == [("1", "x"), ("2", "x"), ("3", "t" * 3000), ("4", "x")]
+    assert sorted(r.value for r in rejects.collect()) == sorted(values[1:3001])
