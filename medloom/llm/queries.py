@@ -12,6 +12,7 @@ from medloom.llm.jaccard import near_duplicates
 from medloom.llm.language import language_id
 from medloom.llm.packing import pack
 from medloom.llm.quality import quality
+from medloom.llm.runs import periodic_runs, run_digests, with_repeated_tails
 from medloom.llm.secrets import secret_spans
 from medloom.llm.substrings import repeated_substrings
 from medloom.llm.toxicity import toxicity
@@ -57,7 +58,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_repeated_tails(documents(spark, sf_dir))))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id, op11_periodic_runs)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 _TOKENS = f"regexp_extract_all({_LOWER}, '[^ \\t\\n\\v\\f\\r]+')"
@@ -95,4 +100,34 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS component_id
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op11_periodic_runs": """
+        WITH crc AS (
+          SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, x)
+            ORDER BY x) AS t FROM range(256) r(x)),
+        crc32_of AS (
+          SELECT doc_id, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)),
+            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS h FROM documents, crc),
+        base AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w,
+            crc32_of.h FROM documents JOIN crc32_of USING (doc_id)),
+        tail AS (
+          SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM base),
+        period AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM tail),
+        d AS MATERIALIZED (
+          SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+            ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM period),
+        t AS MATERIALIZED (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM d),
+        pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+        islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs),
+        squares AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY doc_id, q, g HAVING count(*) >= q),
+        runs AS MATERIALIZED (
+          SELECT doc_id, s, len, min(q) AS q FROM squares GROUP BY doc_id, s, len HAVING len >= greatest(12, 2 * min(q))),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        best AS (SELECT doc_id, count(*) AS n_runs, max_by({'s': s, 'len': len, 'q': q}, [len, -s, -q]) AS b,
+          string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period,
+          1000 * b.len // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+          sha256(coalesce(words, '')) AS collapsed_sha256
+        FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
