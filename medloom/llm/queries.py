@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from medloom.llm.base import documents, table
+from medloom.llm.collocations import collocations
 from medloom.llm.counting import token_counts
 from medloom.llm.decontamination import contamination
 from medloom.llm.fingerprints import fingerprints
@@ -62,7 +63,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_repeated_tails(documents(spark, sf_dir))))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id, op11_periodic_runs)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id, op11_periodic_runs, op12_collocations)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 _TOKENS = f"regexp_extract_all({_LOWER}, '[^ \\t\\n\\v\\f\\r]+')"
@@ -130,4 +135,31 @@ ORACLES: dict[str, str] = {
           1000 * b.len // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
           sha256(coalesce(words, '')) AS collapsed_sha256
         FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_collocations": f"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\n\\v\\f\\r]')) AS piece FROM documents),
+        w AS MATERIALIZED (
+          SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+        f AS MATERIALIZED (
+          SELECT lang, k AS words, array_to_string(w[i + 1 : i + k], ' ') AS phrase, count(*) AS f
+          FROM (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS i FROM w, range(1, 6) r(k) WHERE len(w) >= k)
+          GROUP BY ALL HAVING count(*) >= 100),
+        inner_phrases AS (
+          SELECT DISTINCT x.lang, array_to_string(p[i + 1 : i + k], ' ') AS phrase, max(x.f) AS most
+          FROM (SELECT lang, f, words, string_split(phrase, ' ') AS p FROM f) x, range(2, 5) r(k), range(0, 4) s(i)
+          WHERE k < words AND i + k <= words GROUP BY ALL),
+        cuts AS (
+          SELECT c.lang, c.phrase, c.f AS a, k, array_to_string(string_split(c.phrase, ' ')[1 : k], ' ') AS head,
+            array_to_string(string_split(c.phrase, ' ')[k + 1 :], ' ') AS tail
+          FROM f c LEFT JOIN inner_phrases s ON s.lang = c.lang AND s.phrase = c.phrase, range(1, 5) r(k)
+          WHERE words >= 2 AND k < words AND (most IS NULL OR 100 * most < 100 * c.f)),
+        scored AS (
+          SELECT cuts.lang, cuts.phrase, k, a, x.f AS l, y.f AS r, n,
+            CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+          FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+          JOIN totals ON totals.lang = cuts.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000""",
 }
