@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from medloom.llm.base import documents, table
 from medloom.llm.collocations import collocations
@@ -11,6 +12,7 @@ from medloom.llm.decontamination import contamination
 from medloom.llm.fingerprints import fingerprints
 from medloom.llm.jaccard import near_duplicates
 from medloom.llm.language import language_id
+from medloom.llm.neighbours import nearest
 from medloom.llm.packing import pack
 from medloom.llm.quality import quality
 from medloom.llm.runs import periodic_runs, run_digests, with_repeated_tails
@@ -67,7 +69,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id, op11_periodic_runs, op12_collocations)}
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_secret_scan, op6_jaccard_join, op7_token_counts, op8_quality, op9_packing, op10_language_id, op11_periodic_runs, op12_collocations, op13_nearest_neighbours)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 _TOKENS = f"regexp_extract_all({_LOWER}, '[^ \\t\\n\\v\\f\\r]+')"
