@@ -28,8 +28,8 @@ def r6(column: Column, digits: int = 6) -> Column:
 
 
 # The driver's texts are invented words. These replacements, one after the other, turn the frequent ones into
-# report vocabulary, so that the report operators meet what they look for on whole tables of whole texts.
-# Accented letters become "e", as the two engines differ in what they call a word boundary next to them.
+# report vocabulary, so that the report operators meet what they look for on whole tables of whole texts. All other
+# letters stay as they are; patterns count ASCII letters, digits and "_" as word characters on both sides.
 REPORT_WORDS = [
     ("The ", "Final Diagnosis:\nLIVER, core biopsy: "),
     ("And ", "Note: "),
@@ -73,7 +73,6 @@ SITE_CODES = ["MGH", "BWH", "NWH", "FH", "NSM", "OTHER", "MGH"]
 
 
 def _in_report_words(text: Column) -> Column:
-    text = F.regexp_replace(text, "[^\\x00-\\x7F]", "e")
     for word, term in REPORT_WORDS:
         text = F.replace(text, F.lit(word), F.lit(term))
     return text
@@ -106,7 +105,7 @@ def nested_replace_sql(column: str, rules) -> str:
 
 
 def _text_sql(column: str) -> str:
-    return nested_replace_sql(f"regexp_replace({column}, '[^\\x00-\\x7F]', 'e', 'g')", REPORT_WORDS)
+    return nested_replace_sql(column, REPORT_WORDS)
 
 
 REPORTS_SQL = (

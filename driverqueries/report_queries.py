@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driverqueries.common import DIALOGUES_SQL, REPORTS_SQL, dialogues, nested_replace_sql, reports
-from medloom.functions.text import near
 from medloom.operators import findings as found
 from medloom.operators import mentions as op
-from medloom.rules import colon, liver
+from medloom.rules import colon, liver, negation
 
 _COUNTED = [*liver.PROXIMITY, "one_inflammation", "more_inflammations"]
 PLACE = ["report_id", "sent_no", "segment_no", "ent_no"]
@@ -94,7 +93,31 @@ def score_max(spark, sf_dir):
     return op.scores(reports(spark, sf_dir), "report_id", "Report_Text", colon)
 
 
-# SQL forms: sentences are unnested first and every context rule is a step of its own.
+# SQL forms: sentences are unnested first, every context rule is a step of its own, and a mention's scope is the text
+# before and after it. Patterns are put together here from the rule tables alone.
+
+
+def _words_sql(terms: list[str]) -> str:
+    return r"\b(?:" + "|".join(terms) + r")\b"
+
+
+def _triggers_sql(is_colon: bool) -> dict[str, str]:
+    n = negation
+    return {
+        "pseudo": _words_sql(n.PSEUDO + n.PSEUDO_ADDED + n.PSEUDO_COLON * is_colon),
+        "preceding": _words_sql(n.PRECEDING + n.PRECEDING_ADDED + n.PRECEDING_COLON * is_colon),
+        "following": _words_sql(n.FOLLOWING + n.FOLLOWING_ADDED + n.FOLLOWING_COLON * is_colon),
+        "termination": "|".join([_words_sql(n.TERMINATION), *n.TERMINATION_ADDED]),
+    }
+
+
+def _mention_sql(rules) -> str:
+    modifier = rf"(?:\b(?:{'|'.join(rules.MODIFIERS)})[\w&-]*[ ]+)"
+    return rf"(?:\b(?:no |non-|non ))?{modifier}{{0,4}}\b[\w&'-]*(?:{'|'.join(rules.HEADS)})[\w&'-]*"
+
+
+def _near_sql(pairs) -> str:
+    return r"\b(?:" + "|".join(rf"{a}\W+(?:\w+\W+){{0,{n}}}?{b}" for a, b, n in pairs) + r")\b"
 
 
 def _q(text: str) -> str:
@@ -119,7 +142,7 @@ def _sentences_sql(rules, source: str = REPORTS_SQL) -> str:
     line = "s0"
     for word, other in rules.WORD_REWRITES:
         line = rf"regexp_replace({line}, '\b{word}\b', '{other}', 'g')"
-    line = rf"trim(regexp_replace({line}, '\s+', ' ', 'g'))"
+    line = rf"trim(regexp_replace({line}, '[ \t\n\v\f\r]+', ' ', 'g'), ' ')"
     line = nested_replace_sql(line, rules.SENTENCE_REWRITES)
     sql = f"""WITH {source},
     prep AS MATERIALIZED (SELECT report_id, {report} AS report FROM reports),
@@ -141,7 +164,7 @@ def _sentences_sql(rules, source: str = REPORTS_SQL) -> str:
 
 
 def _spans_sql(rules, is_colon: bool, source: str = REPORTS_SQL) -> str:
-    t = op.trigger_patterns(is_colon)
+    t = _triggers_sql(is_colon)
 
     def has(column: str, kind: str) -> str:
         return f"regexp_matches(regexp_replace({column}, {_q(t['pseudo'])}, ' ', 'g'), {_q(t[kind])})"
@@ -150,7 +173,7 @@ def _spans_sql(rules, is_colon: bool, source: str = REPORTS_SQL) -> str:
     seg AS (SELECT *, string_split(regexp_replace(sentence, {_q('(' + t['termination'] + ')')}, chr(3) || '\\1', 'g'),
         chr(3)) AS segs FROM sents),
     seg1 AS (SELECT * EXCLUDE (segs), unnest(segs) AS segment, generate_subscripts(segs, 1) - 1 AS segment_no FROM seg),
-    pt AS (SELECT *, string_split(regexp_replace(segment, {_q('(' + op.mention_pattern(rules) + ')')},
+    pt AS (SELECT *, string_split(regexp_replace(segment, {_q('(' + _mention_sql(rules) + ')')},
         chr(2) || '\\1' || chr(1), 'g'), chr(2)) AS parts FROM seg1),
     pt1 AS (SELECT *, unnest(range(1, len(parts))) AS ent_no FROM pt),
     pt2 AS (SELECT *, string_split(parts[ent_no + 1], chr(1))[1] AS t0,
@@ -164,8 +187,8 @@ def _spans_sql(rules, is_colon: bool, source: str = REPORTS_SQL) -> str:
 
 
 def _feature_sql(rules) -> dict[str, str]:
-    out = {n: f"regexp_matches(sentence, {_q(near(*p))})" for n, p in rules.PROXIMITY.items()}
-    out |= {n: f"regexp_matches(report, {_q(near(*p))})" for n, p in getattr(rules, "REPORT_PROXIMITY", {}).items()}
+    out = {n: f"regexp_matches(sentence, {_q(_near_sql(p))})" for n, p in rules.PROXIMITY.items()}
+    out |= {n: f"regexp_matches(report, {_q(_near_sql(p))})" for n, p in getattr(rules, "REPORT_PROXIMITY", {}).items()}
     out |= {
         "one_inflammation": "len(string_split(sentence, 'inflammation')) <= 2",
         "more_inflammations": "len(string_split(sentence, 'inflammation')) > 2",
@@ -191,7 +214,7 @@ def _mentions_sql(rules, is_colon: bool) -> str:
     text = nested_replace_sql("text", rules.MENTION_REWRITES)
     if rules is colon:
         return sql + rf""", m AS MATERIALIZED (SELECT report_id, sent_no, segment_no, ent_no,
-          trim(regexp_replace({text}, '\s+', ' ', 'g')) AS text, NOT negated AS affirmed FROM {last})"""
+          trim(regexp_replace({text}, '[ \t\n\v\f\r]+', ' ', 'g'), ' ') AS text, NOT negated AS affirmed FROM {last})"""
     line = nested_replace_sql("sentence", rules.STAGE_REWRITES)
     return sql + rf""",
     st0 AS (SELECT * REPLACE ({text} AS text), CASE WHEN contains(sentence, 'stage') THEN {line} END AS l FROM {last}),
@@ -211,7 +234,7 @@ def _mentions_sql(rules, is_colon: bool) -> str:
     st4 AS (SELECT *, CASE WHEN v >= 5 THEN 6.0 ELSE r0 END AS r FROM st3),
     st5 AS (SELECT *, coalesce(r IN (4.0, 6.0) AND v <= r, false) AS fits FROM st4),
     m AS MATERIALIZED (SELECT report_id, sent_no, segment_no, ent_no,
-        trim(regexp_replace(text || CASE WHEN fits AND contains(l, 'ishak') THEN ' ishak' ELSE '' END, '\s+', ' ', 'g'))
+        trim(regexp_replace(text || CASE WHEN fits AND contains(l, 'ishak') THEN ' ishak' ELSE '' END, '[ \t\n\v\f\r]+', ' ', 'g'), ' ')
           AS text,
         CASE WHEN ok THEN v <> 0 ELSE NOT negated END AS affirmed,
         CAST(CASE WHEN fits THEN v END AS DOUBLE) AS stage,

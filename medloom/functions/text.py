@@ -44,9 +44,20 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with every ``\\b`` as an edge of ASCII word characters, which is what ``\\w`` stands for.
+
+    The JVM counts all letters as word characters at ``\\b``, but only ASCII ones as ``\\w``. A boundary before a
+    letter or a group begins a word, one before a class may be any edge, and all others end a word.
+    """
+    pattern = re.sub(r"\\b(?=\[)", r"(?:(?<!\\w)(?=\\w)|(?<=\\w)(?!\\w))", pattern)
+    pattern = re.sub(r"\\b(?=\w|\(\?:|\\w)", r"(?<!\\w)", pattern)
+    return pattern.replace(r"\b", r"(?!\w)")
+
+
 def has_word(text: Column, *alternatives: str) -> Column:
     """Whole-word match of any alternative (ASCII word characters)."""
-    return text.rlike(r"\b(?:" + "|".join(alternatives) + r")\b")
+    return text.rlike(ascii_bounds(r"\b(?:" + "|".join(alternatives) + r")\b"))
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -70,7 +81,23 @@ def proximity_pattern(first: str, second: str, between: int) -> str:
 
 def near(*pairs: tuple[str, str, int]) -> str:
     """One pattern for "any of these pairs within their distance", on word boundaries."""
-    return r"\b(?:" + "|".join(proximity_pattern(*pair) for pair in pairs) + r")\b"
+    return ascii_bounds(r"\b(?:" + "|".join(proximity_pattern(*pair) for pair in pairs) + r")\b")
+
+
+def _plain_parts(pattern: str) -> list[str] | None:
+    """Texts of which one is in all that the pattern matches, or None where that can't be read off."""
+    parts = re.sub(r"\\w\*", "", pattern)
+    parts = parts[3:-1].split("|") if parts.startswith("(?:") and parts.endswith(")") else [parts]
+    return parts if all(re.fullmatch(r"[\w &-]+", p) for p in parts) else None
+
+
+def are_near(text: Column, pairs: Sequence[tuple[str, str, int]]) -> Column:
+    """Is one of the pairs within its distance? The pattern runs only where both words of a pair are in the text."""
+    gates = []
+    for first, second, _ in pairs:
+        words_of = [p for p in (_plain_parts(first), _plain_parts(second)) if p is not None]
+        gates.append(reduce(lambda a, b: a & b, [contains_any(text, p) for p in words_of], F.lit(True)))
+    return reduce(lambda a, b: a | b, gates) & text.rlike(near(*pairs))
 
 
 def literal(text: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medloom.operators.mentions import Extractor, mentions, scores
+from medloom.operators.mentions import Extractor, mentions
 from medloom.operators.sections import _gate
 from medloom.rules import colon, liver
 from medloom.rules.need import any_holds
@@ -47,22 +47,24 @@ def liver_findings(mention_rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def colon_findings(mention_rows: DataFrame, score_rows: DataFrame, key: str) -> DataFrame:
-    """65 findings, the capped score and the list of affirmed mentions, per report.
+def colon_findings(rows: DataFrame, key: str) -> DataFrame:
+    """65 findings, the capped score and the list of affirmed mentions, per report, from scored mention rows.
 
-    A report's score counts as one more affirmed mention of colitis, after all others.
+    A report's greatest score counts as one more affirmed mention of colitis, after all others.
     """
-    from_score = score_rows.select(
-        key,
-        F.lit(2**31 - 1).alias("sent_no"), F.lit(0).alias("segment_no"), F.lit(0).alias("ent_no"),
-        F.concat(F.lit("colitis mayo-"), F.col("score").cast("string")).alias("text"),
-        F.lit(True).alias("affirmed"), "score",
-    )
-    rows = mention_rows.drop("stage", "stage_scale").unionByName(from_score, allowMissingColumns=True)
-    return rows.groupBy(key).agg(
+    states = _states_finding(colon)
+    found = rows.groupBy(key).agg(
         *[col.alias(name) for name, col in finding_columns(colon).items()],
-        F.max(F.least("score", F.when(F.col("score").isNotNull(), F.lit(float(colon.SCORE_CAP))))).alias("mayo_score"),
-        ordered_list(F.col("affirmed") & _states_finding(colon)).alias("disease_list"),
+        F.max("score").alias("_score"), ordered_list(F.col("affirmed") & states).alias("disease_list"),
+    )
+    graded = found.withColumn("text", F.concat(F.lit("colitis mayo-"), F.col("_score").cast("string")))
+    stated = {
+        name: F.coalesce(any_holds(F.col("text"), needs), F.lit(False)) for name, needs in colon.FINDINGS.items()
+    }
+    return graded.select(
+        key, *[F.when(also, F.lit(True)).otherwise(F.col(name)).alias(name) for name, also in stated.items()],
+        F.least(F.col("_score"), F.when(F.col("_score").isNotNull(), F.lit(float(colon.SCORE_CAP)))).alias("mayo_score"),
+        F.when(states, F.array_append("disease_list", F.col("text"))).otherwise(F.col("disease_list")).alias("disease_list"),
     )
 
 
@@ -87,5 +89,5 @@ def add_colon_findings(
 ) -> DataFrame:
     gate = F.col(site).isin(SITES) & _gate(df, "has_final_diagnosis" if only_truncated else None)
     chosen = df.filter(gate)
-    found = colon_findings(mentions(chosen, key, text, colon, extractor), scores(chosen, key, text, colon), key)
+    found = colon_findings(mentions(chosen, key, text, colon, extractor, scored=True), key)
     return _attach(df, chosen, found, key, update)

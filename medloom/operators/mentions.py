@@ -1,46 +1,61 @@
 """Mentions of findings in reports: sentences, rewrites, spans, negation, context and stages.
 
 Everything up to the mention table is narrow: a report's sentences and mentions are exploded in place and no
-step moves rows between tasks. ``rules`` is one of the rule modules ``medloom.rules.liver`` and ``.colon``.
+step moves rows between tasks. What depends on the sentence is computed once per sentence or segment, as flags and
+counts; no text but its own goes along with a mention. ``rules`` is one of the rule modules ``medloom.rules.liver``
+and ``.colon``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medloom.functions.text import bound, collapse_whitespace, near, occurrences, rewrite
+from medloom.functions.rewriting import Rewriter
+from medloom.functions.text import are_near, ascii_bounds, bound, collapse_whitespace, occurrences, rewrite
+from medloom.operators.terms import mark_terms
 from medloom.rules import negation
-from medloom.rules.need import Enrich, holds
+from medloom.rules.need import Enrich, holds, holds_in
 
 # Marks put around triggers and mentions while a sentence is taken apart; report texts do not hold them.
 OPEN, CLOSE, BREAK = "\u0002", "\u0001", "\u0003"
 
 PAIRED_NUMBER = r".*?(\d+(?:\.\d+)?)"
+SENTENCES_AT_ONCE = 20_000
 
 
 def mention_pattern(rules) -> str:
     """A head word with up to four modifiers before it, and a leading negation if there is one."""
     heads, modifiers = "|".join(rules.HEADS), "|".join(rules.MODIFIERS)
-    return rf"(?:\b(?:no |non-|non ))?(?:\b(?:{modifiers})[\w&-]*[ ]+){{0,4}}\b[\w&'-]*(?:{heads})[\w&'-]*"
+    return ascii_bounds(
+        rf"(?:\b(?:no |non-|non ))?(?:\b(?:{modifiers})[\w&-]*[ ]+){{0,4}}\b[\w&'-]*(?:{heads})[\w&'-]*")
 
 
-def _word_pattern(terms: list[str]) -> str:
-    return r"\b(?:" + "|".join(terms) + r")\b"
+def _word_pattern(terms: list[str], between: str = " ") -> str:
+    return ascii_bounds(r"\b(?:" + "|".join(t.replace(" ", between) for t in terms) + r")\b")
+
+
+def _shortest(terms: list[str]) -> list[str]:
+    """Without terms that hold another one: where they occur, that one does too."""
+    terms = list(dict.fromkeys(terms))
+    return [t for t in terms if not any(o != t and re.search(_word_pattern([re.escape(o)]), t) for o in terms)]
 
 
 def trigger_patterns(colon: bool = False) -> dict[str, str]:
-    """Patterns of the pseudo, preceding, following and termination triggers."""
+    """Patterns of the pseudo, preceding, following and termination triggers, in a segment with marked mentions."""
     pseudo = negation.PSEUDO + negation.PSEUDO_ADDED + (negation.PSEUDO_COLON if colon else [])
     before = negation.PRECEDING + negation.PRECEDING_ADDED + (negation.PRECEDING_COLON if colon else [])
     after = negation.FOLLOWING + negation.FOLLOWING_ADDED + (negation.FOLLOWING_COLON if colon else [])
+    marked = f"{CLOSE}?[ ]{OPEN}?"
     return {
-        "pseudo": _word_pattern(pseudo),
-        "preceding": _word_pattern(before),
-        "following": _word_pattern(after),
+        "pseudo": _word_pattern(pseudo, marked),
+        "preceding": _word_pattern(_shortest(before), marked),
+        "following": _word_pattern(_shortest(after), marked),
         "termination": _word_pattern(negation.TERMINATION) + "|" + "|".join(negation.TERMINATION_ADDED),
     }
 
@@ -54,60 +69,97 @@ def prepare_report(text: Column, rules) -> Column:
     return rewrite(F.lower(text), rules.LOWER_REWRITES)
 
 
-def normalise_sentence(sentence: Column, rules) -> Column:
-    for word, other in rules.WORD_REWRITES:
-        sentence = F.regexp_replace(sentence, rf"\b{word}\b", other)
-    sentence = rewrite(collapse_whitespace(sentence), rules.SENTENCE_REWRITES)
-    if hasattr(rules, "BRIDGING_REWRITES"):
-        sentence = bound(
-            sentence, lambda s: F.when(s.contains("bridging"), rewrite(s, rules.BRIDGING_REWRITES)).otherwise(s)
-        )
-    return sentence
-
-
-def carry_forward(sentences: Column, rules) -> Column:
-    """A sentence that grades "this" takes its subject from one of the sentences just before it."""
-    reach = rules.CARRIED_SENTENCES
-
-    def carry(sentence: Column, place: Column) -> Column:
-        first = F.greatest(place - reach, F.lit(0))
-        recent = F.slice(sentences, first + 1, place - first + 1)
-        named = F.exists(recent, lambda s: s.contains(rules.CARRIED_TERM))
-        return F.when(sentence.startswith("this was") & named, rewrite(sentence, rules.CARRIED)).otherwise(sentence)
-
-    return F.transform(sentences, carry)
-
-
-def tag_normal(sentence: Column, rules) -> Column:
-    return F.when(holds(sentence, rules.NORMAL), rewrite(sentence, rules.NORMAL_REWRITES)).otherwise(sentence)
+@lru_cache(maxsize=16)
+def _rewriter(rules: tuple[tuple[str, str], ...]) -> Rewriter:
+    return Rewriter(rules)
+
+
+class SentenceRules:
+    """The rewrites of a rule module, for the sentences of a report in order."""
+
+    def __init__(self, rules):
+        self.words = list(rules.WORD_REWRITES)
+        self.sentence = tuple(rules.SENTENCE_REWRITES)
+        self.bridging = tuple(getattr(rules, "BRIDGING_REWRITES", ()))
+        self.carried = tuple(getattr(rules, "CARRIED", ()))
+        self.carried_term = getattr(rules, "CARRIED_TERM", "")
+        self.carried_sentences = getattr(rules, "CARRIED_SENTENCES", 0)
+        self.normal = getattr(rules, "NORMAL", None)
+        self.normal_rewrites = tuple(getattr(rules, "NORMAL_REWRITES", ()))
+
+    def normalised(self) -> Callable[[str], str]:
+        words = [(re.compile(rf"\b{word}\b", re.ASCII), other) for word, other in self.words]
+        space = re.compile(r"[ \t\n\x0B\f\r]+")
+        rewriter, bridging = _rewriter(self.sentence), _rewriter(self.bridging)
+
+        def one(sentence: str) -> str:
+            for word, other in words:
+                sentence = word.sub(other, sentence)
+            sentence = rewriter(space.sub(" ", sentence).strip(" "))
+            return bridging(sentence) if self.bridging and "bridging" in sentence else sentence
+
+        return one
+
+    def report(self, sentences: list[str], normalised: Callable[[str], str]) -> list[str]:
+        """A sentence that grades "this" takes its subject from one of the sentences just before it."""
+        lines = [normalised(s) for s in sentences]
+        out = list(lines)
+        if self.carried:
+            carried = _rewriter(self.carried)
+            for k, line in enumerate(lines):
+                if line.startswith("this was"):
+                    recent = lines[max(0, k - self.carried_sentences) : k + 1]
+                    if any(self.carried_term in s for s in recent):
+                        out[k] = carried(line)
+        if self.normal is not None:
+            normal = _rewriter(self.normal_rewrites)
+            out = [normal(s) if holds_in(s, self.normal) else s for s in out]
+        return out
+
+
+def _normalise(batches, rules: SentenceRules) -> Iterator[pa.RecordBatch]:
+    """Rows of a report and its raw sentences to one row per normalised sentence; the last column has the sentences."""
+    normalised = rules.normalised()
+    for batch in batches:
+        rows, places, lines = [], [], []
+
+        def emit():
+            kept = [batch.column(n).take(pa.array(rows, pa.int32())) for n in batch.schema.names[:-1]]
+            columns = [kept[0], pa.array(places, pa.int32()), pa.array(lines, pa.string()), *kept[1:]]
+            return pa.record_batch(columns, names=[batch.schema.names[0], "sent_no", "sentence", *batch.schema.names[1:-1]])
+
+        for k in range(batch.num_rows):
+            raw = batch.column(batch.num_columns - 1)[k].as_py()
+            found = [None] if raw is None else rules.report(raw, normalised)
+            rows += [k] * len(found)
+            places += [None] if raw is None else range(len(found))
+            lines += found
+            if len(rows) >= SENTENCES_AT_ONCE:
+                yield emit()
+                rows, places, lines = [], [], []
+        if rows:
+            yield emit()
 
 
 def sentences(df: DataFrame, key: str, text: str, rules) -> DataFrame:
-    """(key, sent_no, sentence, report-level facts): normalised sentences.
+    """(key, sent_no, sentence, report-level facts): normalised sentences; a report without text has one null row.
 
-    Facts of the whole report are computed before the split, so that no sentence carries the report along.
-    The outer explode is on purpose: a plain one makes the optimizer test the array's size first and compute
-    the whole chain of rewrites a second time for it.
+    Facts of the whole report are computed before the split, so that no sentence carries the report along. The
+    rewrites of sentences run in Python workers, where an automaton finds the few that apply to a sentence.
     """
     prepared = df.select(key, prepare_report(F.col(text), rules).alias("report"))
-    facts = {name: F.col("report").rlike(near(*pairs)) for name, pairs in getattr(rules, "REPORT_PROXIMITY", {}).items()}
-    split = prepared.select(
-        key,
-        F.transform(F.split("report", r"\."), lambda s: normalise_sentence(s, rules)).alias("_all"),
-        *[col.alias(name) for name, col in facts.items()],
-    )
-    if hasattr(rules, "CARRIED"):
-        split = split.withColumn("_all", carry_forward(F.col("_all"), rules))
-    out = split.select(key, F.posexplode_outer("_all").alias("sent_no", "sentence"), *facts)
-    if hasattr(rules, "NORMAL"):
-        out = out.withColumn("sentence", tag_normal(F.col("sentence"), rules))
-    return out
+    facts = {name: are_near(F.col("report"), pairs) for name, pairs in getattr(rules, "REPORT_PROXIMITY", {}).items()}
+    split = prepared.select(key, *[c.alias(n) for n, c in facts.items()], F.split("report", r"\.").alias("_all"))
+    kind = split.schema[key].dataType.simpleString()
+    schema = ", ".join([f"`{key}` {kind}", "sent_no int", "sentence string", *[f"{name} boolean" for name in facts]])
+    own = SentenceRules(rules)
+    return split.mapInArrow(lambda batches: _normalise(batches, own), schema)
 
 
 def features(rules) -> dict[str, Column]:
     """Named facts of a sentence that the context rules ask for."""
     sentence = F.col("sentence")
-    out = {name: sentence.rlike(near(*pairs)) for name, pairs in rules.PROXIMITY.items()}
+    out = {name: are_near(sentence, pairs) for name, pairs in rules.PROXIMITY.items()}
     out |= {name: F.col(name) for name in getattr(rules, "REPORT_PROXIMITY", {})}
     count = occurrences(sentence, "inflammation")
     taken = (sentence.contains("biops") | sentence.contains(" bx ")) & sentence.contains("taken")
@@ -122,6 +174,23 @@ def features(rules) -> dict[str, Column]:
     return {name: col for name, col in out.items() if name in used}
 
 
+def with_context(df: DataFrame, rules) -> DataFrame:
+    """Add ``context``: one bit per context rule that the sentence allows."""
+    facts = {n: c for n, c in features(rules).items() if n not in df.columns}
+    stepped = df.select("*", *[c.alias(n) for n, c in facts.items()])
+
+    def allowed(rule: Enrich) -> Column:
+        when = holds(F.col("sentence"), rule.sentence)
+        for group in rule.where:
+            when = when & reduce(lambda a, b: a | b, [F.col(name) for name in group])
+        for name in rule.where_not:
+            when = when & ~F.col(name)
+        return when
+
+    bits = [F.when(allowed(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(rules.ENRICHMENT)]
+    return stepped.select(*df.columns, reduce(lambda a, b: a + b, bits).alias("context"))
+
+
 def parse_stages(df: DataFrame, rules) -> DataFrame:
     """Add ``stage_seen`` (value as written) and ``stage``, ``stage_scale`` where the value fits a known scale."""
     staged = df.withColumn(
@@ -160,31 +229,58 @@ def parse_stages(df: DataFrame, rules) -> DataFrame:
     )
 
 
-def spans(df: DataFrame, rules, colon: bool = False) -> DataFrame:
-    """One row per mention of each sentence: text, negated, and its place (segment_no, ent_no).
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def spans(
+    df: DataFrame, rules, colon: bool = False, score: str | None = None, terms: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per mention of each sentence: text, negated, and its place (segment_no, ent_no), without the sentence.
 
     A sentence is cut before every termination trigger. A mention is negated when a preceding trigger stands
-    before it, or a following trigger after it, in the same segment; pseudo triggers do not count.
+    before it, or a following trigger after it, in the same segment; pseudo triggers do not count. So two counts per
+    segment tell the negated ones: how many mentions begin before the first preceding trigger ends, and how many end
+    before the last following trigger begins. The work is in proportion to the length of the segment.
+
+    ``score`` names a column that gets one more row per sentence that has it, with null text; other rows have null.
+    ``terms`` are learned phrases that stand in the place of the vocabulary (see ``terms.lexicon``).
     """
     triggers = trigger_patterns(colon)
+    kept = [c for c in df.columns if c != "sentence"]
     cut = F.split(F.regexp_replace("sentence", f"({triggers['termination']})", BREAK + "$1"), BREAK)
-    rows = df.select(*df.columns, F.posexplode_outer(cut).alias("segment_no", "_segment"))
-    marked = F.regexp_replace("_segment", f"({mention_pattern(rules)})", OPEN + "$1" + CLOSE)
-    rows = rows.select(*df.columns, "segment_no", F.split(marked, OPEN).alias("_parts"))
-    rows = rows.select("*", F.posexplode_outer("_parts").alias("ent_no", "_part")).filter(F.col("ent_no") > 0)
-    rest = F.slice("_parts", F.col("ent_no") + 2, F.size("_parts"))
-    before = F.replace(F.array_join(F.slice("_parts", F.lit(1), F.col("ent_no")), ""), F.lit(CLOSE), F.lit(""))
-    after = F.concat(
-        F.substring_index("_part", CLOSE, -1), F.replace(F.array_join(rest, ""), F.lit(CLOSE), F.lit(""))
-    )
-
-    def has(text: Column, kind: str) -> Column:
-        return F.regexp_replace(text, triggers["pseudo"], " ").rlike(triggers[kind])
-
+    if score is not None:
+        cut = F.when(F.col(score).isNull(), cut).otherwise(F.array_append(cut, F.lit(None).cast("string")))
+    rows = df.select(*kept, F.posexplode_outer(cut).alias("segment_no", "_segment"))
+    if terms is None:
+        marked = F.regexp_replace("_segment", f"({mention_pattern(rules)})", OPEN + "$1" + CLOSE)
+        rows = rows.select(*kept, "segment_no", marked.alias("_marked"))
+    else:
+        rows = mark_terms(rows.withColumnRenamed("_segment", "_marked"), "_marked", terms, OPEN, CLOSE)
+    if score is None:
+        rows = rows.filter(F.col("_marked").contains(OPEN))
+    else:
+        rows = rows.filter(F.col("_marked").isNull() | F.col("_marked").contains(OPEN))
+    # Pseudo triggers become blanks; marks within them stay.
+    blanks = F.zip_with(
+        F.split("_marked", triggers["pseudo"]), F.regexp_extract_all("_marked", F.lit(triggers["pseudo"]), F.lit(0)),
+        lambda part, pseudo: F.concat(part, F.coalesce(F.regexp_replace(pseudo, f"[^{OPEN}{CLOSE}]", " "), F.lit(""))))
+    blanked = F.when(F.col("_marked").rlike(triggers["pseudo"]), F.array_join(blanks, "")).otherwise(F.col("_marked"))
+    rows = rows.select(*kept, "segment_no", "_marked", blanked.alias("_scope"))
+    until = F.regexp_extract("_scope", f"(?s)^(.*?{triggers['preceding']})", 1)
+    rows = rows.select(
+        *kept, "segment_no", "_marked",
+        F.when(until == "", F.lit(2**31 - 1)).otherwise(_count(until, OPEN)).alias("_after"),
+        _count(F.regexp_extract("_scope", f"(?s)^(.*){triggers['following']}", 1), CLOSE).alias("_before"))
+    parts = F.split("_marked", OPEN)
+    parts = F.when(parts.isNotNull(), F.slice(parts, F.lit(2), F.lit(2**31 - 1))).otherwise(F.array(F.lit(None).cast("string")))
+    rows = rows.select(*kept, "segment_no", "_after", "_before", F.posexplode_outer(parts).alias("_place", "_part"))
+    number = F.col("_place") + 1
     return rows.select(
-        *df.columns, "segment_no", "ent_no",
+        *[F.when(F.col("_part").isNull(), F.col(c)).alias(c) if c == score else c for c in kept],
+        "segment_no", number.alias("ent_no"),
         F.substring_index("_part", CLOSE, 1).alias("text"),
-        (has(before, "preceding") | has(after, "following")).alias("negated"),
+        ((number > F.col("_after")) | (number <= F.col("_before"))).alias("negated"),
     )
 
 
@@ -199,57 +295,66 @@ def flip_leading(df: DataFrame) -> DataFrame:
 
 
 def enriched(text: Column, rules) -> Column:
-    """Apply the context rules in order, each to the mention as the rule before left it."""
-    for rule in rules.ENRICHMENT:
-        text = bound(text, _context_rule(rule))
-    return rewrite(text, rules.MENTION_REWRITES)
+    """Apply the context rules that the sentence allows in order, each to the mention as the rule before left it."""
+    new = text
+    for k, rule in enumerate(rules.ENRICHMENT):
+        new = bound(new, _context_rule(rule, 1 << k))
+    # Most sentences allow none.
+    return rewrite(F.when(F.col("context") == 0, text).otherwise(new), rules.MENTION_REWRITES)
 
 
-def _context_rule(rule: Enrich) -> Callable[[Column], Column]:
+def _context_rule(rule: Enrich, bit: int) -> Callable[[Column], Column]:
     def apply(text: Column) -> Column:
-        return _enriched(text, rule)
+        when = (F.col("context").bitwiseAND(F.lit(bit)) != 0) & holds(text, rule.mention)
+        parts = [F.lit(rule.text), text] if rule.side == "prepend" else [text, F.lit(rule.text)]
+        return F.when(when, F.concat_ws(" ", *parts)).otherwise(text)
 
     return apply
 
 
-def _enriched(text: Column, rule: Enrich) -> Column:
-    when = holds(text, rule.mention) & holds(F.col("sentence"), rule.sentence)
-    for group in rule.where:
-        when = when & reduce(lambda a, b: a | b, [F.col(name) for name in group])
-    for name in rule.where_not:
-        when = when & ~F.col(name)
-    parts = [F.lit(rule.text), text] if rule.side == "prepend" else [text, F.lit(rule.text)]
-    return F.when(when, F.concat_ws(" ", *parts)).otherwise(text)
-
-
 Extractor = Callable[[DataFrame], DataFrame]
 
 
 def mentions(
-    df: DataFrame, key: str, text: str, rules, extractor: Extractor | None = None
+    df: DataFrame, key: str, text: str, rules, extractor: Extractor | None = None, scored: bool = False,
+    terms: Sequence[str] | None = None,
 ) -> DataFrame:
     """(key, sent_no, segment_no, ent_no, text, affirmed, stage, stage_scale) of every mention.
 
     ``extractor`` replaces the lexicon: it gets the sentence rows and returns them with ``segment_no``,
     ``ent_no``, ``text`` and ``negated`` (for example through mapInPandas with a model of the user's own).
+    ``terms`` replaces only the vocabulary by learned phrases; scopes stay as they are. ``scored`` adds a column ``score`` and one row, with null text, for each sentence that names a score.
     """
     colon = hasattr(rules, "SCORE_WORDS")
-    rows = sentences(df, key, text, rules)
-    found = rows.filter(F.col("sentence").rlike(mention_pattern(rules))) if extractor is None else rows
+    found = sentences(df, key, text, rules)
+    if extractor is None:
+        wanted = F.col("sentence").rlike(mention_pattern(rules)) if terms is None else F.col("sentence").isNotNull()
+        if scored:
+            found = found.withColumn("score", sentence_score(F.col("sentence"), rules))
+            wanted = wanted | F.col("score").isNotNull()
+        found = found.filter(wanted)
     if hasattr(rules, "STAGE_REWRITES"):
         found = parse_stages(found, rules)
-    found = found.withColumns({n: c for n, c in features(rules).items() if n not in found.columns})
-    found = spans(found, rules, colon) if extractor is None else extractor(found)
+    found = with_context(found, rules)
+    if extractor is None:
+        found = found.drop(*getattr(rules, "REPORT_PROXIMITY", {}))
+        found = spans(found, rules, colon, "score" if scored else None, terms)
+    else:
+        found = extractor(found)
     # One row in, one row out: the explode keeps later filters from being written in terms of the whole chain.
     found = flip_leading(found).select(
         *[c for c in found.columns if c != "text"], F.explode(F.array(enriched(F.col("text"), rules))).alias("text")
     )
     place = [key, "sent_no", "segment_no", "ent_no"]
+    more = ["score"] if scored and extractor is None else []
     if not hasattr(rules, "STAGE_REWRITES"):
-        return found.select(
+        out = found.select(
             *place, collapse_whitespace(F.col("text")).alias("text"), (~F.col("negated")).alias("affirmed"),
-            F.lit(None).cast("double").alias("stage"), F.lit(None).cast("int").alias("stage_scale"),
+            F.lit(None).cast("double").alias("stage"), F.lit(None).cast("int").alias("stage_scale"), *more,
         )
+        if scored and extractor is not None:
+            out = out.unionByName(scores(df, key, text, rules), allowMissingColumns=True)
+        return out
     staged = reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in rules.STAGED])
     staged = staged & F.col("stage_seen").isNotNull()
     named = F.when(staged & F.col("_ishak"), F.concat("text", F.lit(" ishak"))).otherwise(F.col("text"))
@@ -273,9 +378,6 @@ def sentence_score(sentence: Column, rules) -> Column:
 
 def scores(df: DataFrame, key: str, text: str, rules) -> DataFrame:
     """(key, score): greatest score of each report that has one, not capped."""
-    named = F.filter(
-        F.split(prepare_report(F.col(text), rules), r"\."), lambda s: s.contains(rules.SCORE_WORDS[0])
-    )
-    lines = df.select(key, F.explode_outer(F.transform(named, lambda s: normalise_sentence(s, rules))).alias("_line"))
-    rows = lines.select(key, sentence_score(F.col("_line"), rules).alias("_score"))
+    rows = sentences(df, key, text, rules).filter(F.col("sentence").contains(rules.SCORE_WORDS[0]))
+    rows = rows.select(key, sentence_score(F.col("sentence"), rules).alias("_score"))
     return rows.filter(F.col("_score").isNotNull()).groupBy(key).agg(F.max("_score").alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions.text import (
-    collapse_spaces, contains_any, count_words, has_word, is_lower_word, is_upper_word, literal, words,
+    ascii_bounds, collapse_spaces, contains_any, count_words, has_word, is_lower_word, is_upper_word, literal, words,
 )
 from medloom.operators.tables import require_columns, set_where
 from medloom.rules import report_sections as fixed
@@ -150,7 +150,7 @@ def is_specimen_line(line: Column) -> Column:
     low = F.regexp_replace(F.lower(line), r"^\s+", "")
     named = has_word(low, *fixed.ORGAN_WORDS) & has_word(low, *map(literal, fixed.SPECIMEN_WORDS))
     resected = low.contains(fixed.RESECTION) & has_word(low, *fixed.RESECTION_SIDES)
-    listed = low.rlike("|".join(fixed.SPECIMEN_LISTS))
+    listed = low.rlike(ascii_bounds("|".join(fixed.SPECIMEN_LISTS)))
     excluded = contains_any(low, fixed.SPECIMEN_EXCLUSIONS) | low.startswith(fixed.SPECIMEN_EXCLUDED_START)
     return (named | resected | listed) & ~excluded & is_heading_case(line)
 

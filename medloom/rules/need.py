@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from medloom.functions.text import ascii_bounds
+
 
 class Need(NamedTuple):
     groups: tuple[tuple[str, ...], ...]
@@ -26,7 +28,7 @@ def need(*groups: str | tuple[str, ...], unless: tuple = ()) -> Need:
 
 
 def occurs(text: Column, part: str) -> Column:
-    return text.rlike(part) if r"\b" in part else text.contains(part)
+    return text.rlike(ascii_bounds(part)) if r"\b" in part else text.contains(part)
 
 
 def holds(text: Column, rule: Need) -> Column:
@@ -38,6 +40,12 @@ def holds(text: Column, rule: Need) -> Column:
     return out
 
 
+def holds_in(text: str, rule: Need) -> bool:
+    """``holds`` for a text at hand, of a rule without patterns."""
+    return all(any(p in text for p in group) for group in rule.groups) and not any(
+        all(p in text for p in combination) for combination in rule.unless)
+
+
 def any_holds(text: Column, rules: list[Need]) -> Column:
     return reduce(lambda a, b: a | b, [holds(text, r) for r in rules])
 
