@@ -85,10 +85,12 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if b"<|" in word or not _IS_PLAIN(text):
+        lowered = text.lower()
+        # Some plain capitals have small letters beyond the plain ones.
+        if b"<|" in word or not _IS_PLAIN(text) or not _IS_PLAIN(lowered):
             got = self._library(text)
         else:
-            got = b"".join(map(self._piece, _SPLIT(text.lower())))
+            got = b"".join(map(self._piece, _SPLIT(lowered)))
         self.missed += 1
         if self.missed > 8 * WORDS_KEPT:
             self.clear()

@@ -295,6 +295,17 @@ def test_packing_round_trip(docs, pairs):
         assert at <= 64 and at & (at - 1) == 0  # no padding at all
 
 
+def test_ids_of_every_plain_letter():
+    """Letters from U+00A1 to U+024F, alone and within words, also those whose small letters lie beyond."""
+    from medloom.llm.tokens import word_ids
+
+    table = word_ids("word_bpe_49k.json")
+    letters = [chr(c) for c in range(0xA1, 0x250)]
+    texts = [*letters, *(f"S{c}N{c.lower()}D" for c in letters), *(f"{c}x {c}{c} a{c}" for c in letters), "".join(letters)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in table.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [table.encode(t.encode()) for t in texts] == want
+
+
 OPERATORS = {
     "fingerprints": fingerprints.fingerprints,
     "substrings": substrings.repeated_substrings,
