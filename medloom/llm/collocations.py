@@ -29,6 +29,7 @@ TOP = 2000
 SHARD_BYTES = 20 << 20
 BITS_PER_CANDIDATE = 16
 MOST_BITS = 1 << 28
+CHUNK_BITS = 1 << 15
 LANGUAGES_SENT = 4096
 NO_LANGUAGE = "und"
 SPACE = byte_set([*b" \t.,;:!?", *range(10, 14)])
@@ -187,14 +188,38 @@ def candidates(texts: DataFrame, support: int, shard_bytes: int) -> DataFrame:
 
 
 def _bit_table(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for each candidate, in a table of at most ``MOST_BITS``; its bound is 32 MB."""
+    """A bit for each candidate, in a table of at most ``MOST_BITS``, which is 32 MB; tasks pack chunks of it."""
     bits = 1 << 16
     while bits < min(MOST_BITS, BITS_PER_CANDIDATE * hashes.count()):
         bits *= 2
-    rows = hashes.selectExpr(f"shiftright(h & {bits - 1}L, 5) as word", "shiftleft(1L, cast(h & 31 as int)) as bit")
-    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(bits // 32, np.uint32)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+
+    def packed(chunk: int, chosen: np.ndarray) -> pa.RecordBatch:
+        held = np.zeros(CHUNK_BITS, bool)
+        held[chosen] = True
+        data = np.packbits(held, bitorder="little").tobytes()
+        return pa.record_batch([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "bits"])
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            chunks, places = batch.column("chunk").to_numpy(), batch.column("place").to_numpy()
+            starts = np.flatnonzero(np.diff(chunks, prepend=chunks[:1] - 1))
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(chunks)]):
+                if last is not None and chunks[a] != last:
+                    yield packed(last, np.concatenate(held))
+                    held = []
+                last = int(chunks[a])
+                held.append(places[a:z])
+        if held:
+            yield packed(last, np.concatenate(held))
+
+    width = CHUNK_BITS.bit_length() - 1
+    rows = hashes.selectExpr(f"shiftright(h & {bits - 1}L, {width}) as chunk", f"cast(h & {CHUNK_BITS - 1} as int) as place")
+    parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk long, bits binary")
+    table = np.zeros(max(bits, CHUNK_BITS) // 8, np.uint8)
+    for row in found.collect():
+        table[row["chunk"] * CHUNK_BITS // 8 : (row["chunk"] + 1) * CHUNK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
     return table, bits
 
 
@@ -214,7 +239,7 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SH
 
         def known(hashes):
             at = hashes & np.uint64(bits - 1)
-            return (table[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+            return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
         for block in _blocks(batches, shard_bytes):
             totals = np.bincount(block.lang, minlength=len(block.langs))
