@@ -51,7 +51,7 @@ def ascii_bounds(pattern: str) -> str:
     letter or a group begins a word, one before a class may be any edge, and all others end a word.
     """
     pattern = re.sub(r"\\b(?=\[)", r"(?:(?<!\\w)(?=\\w)|(?<=\\w)(?!\\w))", pattern)
-    pattern = re.sub(r"\\b(?=\w|\(\?:|\\w)", r"(?<!\\w)", pattern)
+    pattern = re.sub(r"\\b(?=\w|\(\?|\\w)", r"(?<!\\w)", pattern)
     return pattern.replace(r"\b", r"(?!\w)")
 
 

@@ -29,15 +29,28 @@ PAIRED_NUMBER = r".*?(\d+(?:\.\d+)?)"
 SENTENCES_AT_ONCE = 20_000
 
 
+def _any(terms: Sequence[str]) -> str:
+    """One pattern for all terms: those of one first letter together, in their order, behind a look at the letter.
+
+    Terms of different letters can't match at one place, so this is the plain list of alternatives, only faster.
+    """
+    groups: dict[str, list[str]] = {}
+    for term in terms:
+        groups.setdefault(re.sub(r"^\\b", "", term)[0], []).append(term)
+    return f"(?=[{''.join(re.escape(c) for c in groups)}])(?:" + "|".join("|".join(g) for g in groups.values()) + ")"
+
+
 def mention_pattern(rules) -> str:
     """A head word with up to four modifiers before it, and a leading negation if there is one."""
-    heads, modifiers = "|".join(rules.HEADS), "|".join(rules.MODIFIERS)
+    heads, modifiers = _any(rules.HEADS), _any(rules.MODIFIERS)
+    # A word begins here: within one, the match would have begun earlier.
     return ascii_bounds(
-        rf"(?:\b(?:no |non-|non ))?(?:\b(?:{modifiers})[\w&-]*[ ]+){{0,4}}\b[\w&'-]*(?:{heads})[\w&'-]*")
+        rf"(?:\b(?:no |non-|non ))?(?:\b{modifiers}[\w&-]*[ ]+){{0,4}}(?<!\w)(?=\w)[\w&'-]*{heads}[\w&'-]*"
+    )
 
 
 def _word_pattern(terms: list[str], between: str = " ") -> str:
-    return ascii_bounds(r"\b(?:" + "|".join(t.replace(" ", between) for t in terms) + r")\b")
+    return ascii_bounds(r"\b(?:" + _any([t.replace(" ", between) for t in terms]) + r")\b")
 
 
 def _shortest(terms: list[str]) -> list[str]:
