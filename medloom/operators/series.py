@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from medloom.functions.time import date_from_days
 from medloom.operators.ordered import ROWS_PER_TASK, Rows, run_by_size, scan
 from medloom.operators.peaks import prominences
+from medloom.session import cut_lineage
 
 # Fixed values of the screens.
 FIRST_GAP_DAYS = 5
@@ -97,6 +99,7 @@ def find_peaks(
     min_points: int = 0,
     rows_per_task: int = ROWS_PER_TASK,
     tie: str | None = None,
+    choose: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Peaks:
     """Peaks of (keys, t, x[, tie]) and the segment that follows each.
 
@@ -105,6 +108,9 @@ def find_peaks(
     A strict segment without such a value loses its last point unless ``include_trough``. Segments with fewer
     than ``min_points`` points are dropped with their peak. Positions ``ll`` (first) and ``ul`` (one past the
     last) count from 0. Points of one time are ordered by ``tie``, then by value.
+
+    ``choose`` gets the prominent peaks as (keys, peak_t, ...) and returns the rows to keep; a segment then runs to the
+    next kept peak. Points are numbered once and written to the checkpoint folder, as peaks and segments read them.
     """
     if mode not in ("peak_to_min", "peak_to_peak"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -116,15 +122,17 @@ def find_peaks(
         return marked.df.drop("_chunk")
 
     order = ["t", "x"] if tie is None else ["t", tie, "x"]
-    marked = run_by_size(points, keys, order, mark, rows_per_task)
+    marked = cut_lineage(run_by_size(points, keys, order, mark, rows_per_task))
     longest = max(rows.longest for rows in seen)
     peaks = _segments(
-        marked, keys, prominence, edge, mode, strict, include_trough, longest, rows_per_task
+        marked, keys, prominence, edge, mode, strict, include_trough, longest, rows_per_task, choose
     ).filter(F.col("ul") - F.col("ll") >= min_points)
     return Peaks(marked.select(*keys, "seq", "t", "x", "top_no", "falling"), peaks)
 
 
-def _segments(marked, keys, prominence, edge, mode, strict, include_trough, longest, rows_per_task) -> DataFrame:
+def _segments(
+    marked, keys, prominence, edge, mode, strict, include_trough, longest, rows_per_task, choose=None
+) -> DataFrame:
     """One row per peak: a summary of the stretch after every local maximum, then of the stretches up to the
     next peak that is prominent enough."""
     top = F.when(F.col("is_top"), F.struct("seq", "t", "x"))
@@ -154,6 +162,9 @@ def _segments(marked, keys, prominence, edge, mode, strict, include_trough, long
         parts = F.array(own)
     nodes = stretches.select(*keys, F.explode(F.array_compact(parts)).alias("_e")).select(*keys, "_e.*")
     prominent = prominences(nodes, keys, longest // 2 + 2).filter(F.col("prominence") >= prominence)
+    if choose is not None:
+        placed = stretches.select(*keys, F.col("top_no").alias("i"), F.col("_top.t").alias("peak_t"))
+        prominent = choose(prominent.join(placed, [*keys, "i"])).select(*keys, "i", "prominence")
     flagged = stretches.filter(F.col("top_no") > 0).join(
         prominent.withColumnRenamed("i", "top_no"), [*keys, "top_no"], "left"
     )
@@ -450,6 +461,43 @@ def two_point_source(
     return _tracked(points, keys, position, build, rows_per_task)
 
 
+RATE_GRID = [0.001 * 1.25**k for k in range(56)]
+RATE_ROUNDS = 8
+
+
+def three_point_track(
+    points: DataFrame, keys: list[str], position: str = "seq", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """(C, d, sse) over each three consecutive points with the first value as start; the rate is searched in the row.
+
+    A grid of rates from 0.001 to 200 a day, then rounds of nine rates around the best, each with a quarter of the
+    step. For a given rate the level C / d is a linear problem in one unknown, not below 0. No row is multiplied.
+    """
+
+    def build(rows: Rows) -> DataFrame:
+        rows = scan(rows, next_after={"_second": F.struct("t", "x")})
+        rows = scan(rows, next_after={"_third": F.col("_second")})
+        df = rows.df.filter(F.col("_third").isNotNull())
+
+        def attempt(d: Column) -> Column:
+            left2 = F.exp(-d * (F.col("_second.t") - F.col("t")))
+            left3 = F.exp(-d * (F.col("_third.t") - F.col("t")))
+            y2, z2 = F.col("_second.x") - F.col("x") * left2, 1 - left2
+            y3, z3 = F.col("_third.x") - F.col("x") * left3, 1 - left3
+            level = F.greatest(F.coalesce(F.try_divide(y2 * z2 + y3 * z3, z2 * z2 + z3 * z3), F.lit(0.0)), F.lit(0.0))
+            error = F.pow(y2 - level * z2, 2) + F.pow(y3 - level * z3, 2)
+            return F.struct(error.alias("sse"), d.alias("d"), (level * d).alias("C"))
+
+        best = F.array_min(F.transform(F.array(*[F.lit(d) for d in RATE_GRID]), attempt))
+        step = df.withColumn("_best", best)
+        for k in range(1, RATE_ROUNDS + 1):
+            around = F.array(*[F.lit(1.25 ** (j / 4**k)) for j in range(-4, 5)])
+            step = step.withColumn("_best", F.array_min(F.transform(around, lambda f: attempt(F.col("_best.d") * f))))
+        return step.select(*keys, position, F.col("_best.C").alias("C"), F.col("_best.d").alias("d"), F.col("_best.sse").alias("sse"))
+
+    return _tracked(points, keys, position, build, rows_per_task)
+
+
 def three_point_fit(
     points: DataFrame, keys: list[str], rates: list[float], position: str = "seq",
     rows_per_task: int = ROWS_PER_TASK,

@@ -11,6 +11,7 @@ from medloom.operators.ordered import ROWS_PER_TASK
 from medloom.operators.series import (
     Screens, find_peaks, screen_segments, segment_points, trajectory_meta,
 )
+from medloom.session import cut_lineage
 
 
 class Trajectories(NamedTuple):
@@ -35,7 +36,9 @@ def build_trajectories(
 ) -> Trajectories:
     """Trajectories of all ids and labs at once from (id, lab, t, x[, tie]).
 
-    The lab filter comes first so that it reaches the scan.
+    The lab filter comes first so that it reaches the scan, which is read once: numbered points, peaks, screened points
+    and trajectories are written to the checkpoint folder, and the counts come from these. Rows without id or lab
+    belong to no series and are not counted.
     """
     if labs is not None:
         labs_table = labs_table.filter(F.col(lab_column).isin(list(labs)))
@@ -44,16 +47,18 @@ def build_trajectories(
         labs_table, keys, prominence, min_height, edge=True, mode="peak_to_min", strict=True,
         min_points=min_points, rows_per_task=rows_per_task, tie=tie,
     )
+    found = found._replace(peaks=cut_lineage(found.peaks))
     segment = segment_points(found, keys)
-    screened = screen_segments(segment, keys, screens, min_points, min_height, rows_per_task)
-    meta = trajectory_meta(screened, keys, id_column)
+    screened = cut_lineage(screen_segments(segment, keys, screens, min_points, min_height, rows_per_task))
+    meta = cut_lineage(trajectory_meta(screened, keys, id_column))
     traj_id = F.concat_ws("_", F.col(id_column).cast("string"), F.col("peak_seq").cast("string"))
     starts = meta.select(*keys, "peak_seq", F.col("t0").alias("_t0"))
     points = screened.join(starts, [*keys, "peak_seq"]).select(
         *keys, "peak_seq", traj_id.alias("traj_id"), "pos", (F.col("t") - F.col("_t0")).alias("t"), "x"
     )
+    # From tables that are there already: points, peaks and trajectories are each worked out once.
     counts = [
-        labs_table.select(id_column).distinct().agg(F.count(F.lit(1)).alias("num_input_ids")),
+        found.points.filter("seq = 0").select(id_column).distinct().agg(F.count(F.lit(1)).alias("num_input_ids")),
         found.peaks.agg(F.count(F.lit(1)).alias("num_peaks")),
         meta.agg(F.count(F.lit(1)).alias("num_traj_meeting_criteria")),
     ]

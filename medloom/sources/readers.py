@@ -5,7 +5,9 @@ Everything is read as strings; dates are parsed value by value and become null w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,21 +65,86 @@ def _escape(text: str) -> str:
     return "".join("\\" + c if c in r".^$*+?()[]{}|\\" else c for c in text.replace("file:///", "file:/"))
 
 
+def file_headers(spark: SparkSession, root: str, file_name: str) -> DataFrame:
+    """(source_file, header): the first line of the file in every sub-folder, one task per file that reads its head."""
+    heads = _below_root(_folders(spark, file_name).text(root), root, file_name)
+    heads = heads.select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "^\ufeff", "").alias("header"))
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    # No file is split and no two files share a task, so the first row of a task is the first line of its file.
+    whole = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": str(1 << 60)}
+    before = {name: spark.conf.get(name) for name in whole}
+    for name, value in whole.items():
+        spark.conf.set(name, value)
+    try:
+        return cut_lineage(heads.mapInArrow(first, "source_file string, header string"))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def header_of(spark: SparkSession, root: str, file_name: str, delimiter: str = "|") -> list[str]:
-    """Column names from the header line; only that line is read."""
-    return _folders(spark, file_name).csv(root, sep=delimiter, header=True, quote="").columns
+    """All column names of the files below ``root``, in the order of their first appearance by path."""
+    rows = file_headers(spark, root, file_name).groupBy("header").agg(F.min("source_file").alias("first"))
+    names: dict[str, None] = {}
+    for row in rows.orderBy("first").collect():
+        names |= dict.fromkeys(row["header"].rstrip("\r").split(delimiter))
+    return list(names)
+
+
+def missing_folders(spark: SparkSession, root: str, file_name: str) -> DataFrame:
+    """(folder): sub-folders of ``root`` that hold files, but not this one. Only listings are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    files = files.select(F.regexp_replace("path", r"^file:/+", "file:/").alias("path"))
+    inner = "^" + _escape(_qualified(spark, root)) + "/[^/]+$"
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    glob = re.escape(file_name).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    named = F.col("path").rlike("/" + glob + "$")
+    held = files.filter(~F.col("path").rlike(inner)).groupBy(folder.alias("folder")).agg(F.bool_or(named).alias("named"))
+    return held.filter(~F.col("named")).select("folder")
 
 
 def read_folders(
     spark: SparkSession, root: str, file_name: str, delimiter: str = "|", columns: Sequence[str] | None = None,
-    keep_path: bool = False,
+    keep_path: bool = False, strict: bool = False,
 ) -> DataFrame:
-    """All rows of the file in every sub-folder of ``root``, all columns strings."""
-    columns = columns or header_of(spark, root, file_name, delimiter)
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    df = _folders(spark, file_name).schema(schema).csv(root, sep=delimiter, header=True, mode="PERMISSIVE")
-    df = _below_root(df, root, file_name)
-    return df.select("*", F.col("_metadata.file_path").alias("source_file")) if keep_path else df
+    """All rows of the file in every sub-folder of ``root``, all columns strings, aligned by name.
+
+    Files are grouped by their header line and each group is read under its own names, so columns may stand in any
+    order and a file may lack some, which are null then. ``columns`` chooses and orders; by default they stand as
+    first met. ``strict`` raises when a folder with files lacks this one (see ``missing_folders``).
+    """
+    if strict:
+        missing = [r["folder"] for r in missing_folders(spark, root, file_name).orderBy("folder").limit(10).collect()]
+        if missing:
+            raise FileNotFoundError(f"no {file_name} in {', '.join(missing)}")
+    heads = file_headers(spark, root, file_name)
+    heads = heads.withColumn("header", F.regexp_replace("header", r"\r$", ""))
+    groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("source_file")).alias("files")).collect()
+    groups = sorted(groups, key=lambda r: r["files"][0])
+    if not groups:
+        raise FileNotFoundError(f"no {file_name} with a header below {root}")
+    names: dict[str, None] = {}
+    parts = []
+    for group in groups:
+        own = group["header"].split(delimiter)
+        names |= dict.fromkeys(own)
+        schema = ", ".join(f"`{c}` string" for c in own)
+        # One header is the rule; then the folder is listed by Spark, without a list of paths in the plan.
+        if len(groups) == 1:
+            part = _below_root(_folders(spark, file_name).schema(schema).csv(root, sep=delimiter, header=True), root, file_name)
+        else:
+            part = spark.read.schema(schema).csv(group["files"], sep=delimiter, header=True)
+        parts.append(part.select("*", F.col("_metadata.file_path").alias("source_file")))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    wanted = list(columns or names)
+    absent = [F.lit(None).cast("string").alias(c) for c in wanted if c not in names]
+    return df.select(*[c for c in wanted if c in names], *absent, "source_file").select(*wanted, *(["source_file"] if keep_path else []))
 
 
 def read_demographics(spark, root, file_name, delimiter="|") -> DataFrame:
@@ -115,17 +182,37 @@ def read_identifiers(spark, root, file_name, delimiter="|") -> DataFrame:
     return read_folders(spark, root, file_name, delimiter)
 
 
-def read_lab_rows(spark, root, file_name, delimiter="|") -> tuple[DataFrame, DataFrame]:
-    """(rows, raw text of lines with surplus fields). Short lines are filled with nulls."""
-    columns = header_of(spark, root, file_name, delimiter)
-    schema = ", ".join(f"`{c}` string" for c in columns) + ", _raw string"
-    lines = _below_root(_folders(spark, file_name).text(root), root, file_name)
-    lines = lines.select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+def lab_lines(lines: DataFrame, columns: Sequence[str], delimiter: str = "|") -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed) of lines (source_file, ..., value) under one header; header lines and empty ones are left out.
+
+    ``malformed`` has (source_file, line): lines with surplus fields. A delimiter within a quoted field is text. Short
+    lines are filled with nulls.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns)
     lines = lines.filter((F.col("value") != delimiter.join(columns)) & (F.trim("value") != ""))
-    options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}
-    df = lines.select(F.from_csv("value", schema, options).alias("_row")).select("_row.*")
-    surplus = F.coalesce(F.size(F.split("_raw", "[" + delimiter + "]")) > len(columns), F.lit(False))
-    return df.filter(~surplus).drop("_raw"), df.filter(surplus).select(F.col("_raw").alias("line"))
+    edge = "[" + delimiter + "]"
+    # A field that begins with a quote ends at a quote before a delimiter.
+    bare = F.regexp_replace("value", rf'(?<=^|{edge})"(?:[^"]|"")*"(?={edge}|$)', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    surplus = fields > len(columns)
+    rows = lines.filter(~surplus).select(F.from_csv("value", schema, {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'}).alias("_row"))
+    return rows.select("_row.*"), lines.filter(surplus).select("source_file", F.col("value").alias("line"))
+
+
+def read_lab_rows(spark, root, file_name, delimiter="|") -> tuple[DataFrame, DataFrame]:
+    """(rows, raw text of lines with surplus fields) of all files, see ``lab_lines``; columns are aligned by name."""
+    heads = file_headers(spark, root, file_name)
+    groups = heads.groupBy("header").agg(F.min("source_file").alias("first")).orderBy("first").collect()
+    lines = _numbered_lines(spark, root, file_name)
+    accepted, malformed = [], []
+    for group in groups:
+        own = heads.filter(F.col("header") == group["header"]).select("source_file")
+        part = lines if len(groups) == 1 else lines.join(own, "source_file", "left_semi")
+        rows, bad = lab_lines(part, group["header"].rstrip("\r").split(delimiter), delimiter)
+        accepted.append(rows)
+        malformed.append(bad)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), accepted)
+    return rows, reduce(DataFrame.unionByName, malformed).select("line")
 
 
 def clean_labs(
@@ -157,22 +244,39 @@ def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnRenamed(first, first.lstrip("\ufeff"))
 
 
-def read_reports(
-    spark: SparkSession, root: str, file_name: str, date_column: str = "Report_Date_Time", delimiter: str = "|",
-    final_only: bool = False, distinct: bool = True,
+def records_of_lines(lines: DataFrame, end: str = REPORT_END, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(source_file, value): what stands between two end marks, from lines (source_file, block, line, value) in order.
+
+    A line may hold several end marks. The last part of a file without one is a record too. Lines of large files are
+    numbered in chunks.
+    """
+    pieces = F.split("value", _escape(end))
+    parts = lines.select("source_file", "block", "line", (F.size(pieces) - 1).alias("_ends"), pieces.alias("_pieces"))
+
+    def number(rows: Rows) -> DataFrame:
+        return scan(rows, running={"_total": F.col("_ends")}).df.drop("_chunk")
+
+    numbered = run_by_size(parts, ["source_file"], ["block", "line"], number, rows_per_task)
+    first = F.col("_total") - F.col("_ends")
+    rows = numbered.select("source_file", "block", "line", first.alias("_first"), F.posexplode("_pieces").alias("_piece", "value"))
+    joined = rows.groupBy("source_file", (F.col("_first") + F.col("_piece")).alias("_record")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "line", "_piece", "value"))).alias("_lines"))
+    value = F.array_join(F.transform("_lines", lambda p: p["value"]), "\n")
+    return joined.select("source_file", value.alias("value"))
+
+
+def report_records(
+    records: DataFrame, columns: Sequence[str], delimiter: str = "|", final_only: bool = False, distinct: bool = True,
+    date_column: str = "Report_Date_Time",
 ) -> DataFrame:
-    """Multi-line reports, one per ``[report_end]``; the last column is the text with all its lines.
+    """Reports of records (source_file, value) as they stand between end marks; the last column is the text as it is.
 
-    The file is cut at the end marks by the text reader, so large files are read in parallel and pipes, quotes
-    and line breaks of the text stay as they are. ``final_only`` drops reports that are not final (pathology);
-    ``distinct`` keeps the longest text per EMPI and report number.
+    A header line before the first record and empty records are left out. ``final_only`` drops reports that are not
+    final (pathology); ``distinct`` keeps the longest text per EMPI and report number.
     """
-    columns = header_of(spark, root, file_name, delimiter)
-    raw = _folders(spark, file_name).option("lineSep", REPORT_END).text(root)
-    raw = _below_root(raw, root, file_name)
     header = _escape(delimiter.join(columns))
     body = F.regexp_replace(F.regexp_replace("value", r"^\s*\n", ""), "^\ufeff?" + header + r"\r?\n", "")
-    rows = raw.select(body.alias("_body"), F.col("_metadata.file_path").alias("source_file")).filter(
+    rows = records.select(body.alias("_body"), "source_file").filter(
         F.trim(F.regexp_replace("_body", r"\s+", " ")) != ""
     )
     parts = rows.select(F.split("_body", "[" + delimiter + "]", len(columns)).alias("_p"), "source_file")
@@ -189,6 +293,21 @@ def read_reports(
     return df.withColumn("datetime", as_date(F.col(date_column)))
 
 
+def read_reports(
+    spark: SparkSession, root: str, file_name: str, date_column: str = "Report_Date_Time", delimiter: str = "|",
+    final_only: bool = False, distinct: bool = True,
+) -> DataFrame:
+    """Multi-line reports, one per ``[report_end]``, see ``report_records``.
+
+    The file is cut at the end marks by the text reader, so large files are read in parallel and pipes, quotes
+    and line breaks of the text stay as they are.
+    """
+    columns = header_of(spark, root, file_name, delimiter)
+    raw = _folders(spark, file_name).option("lineSep", REPORT_END).text(root)
+    raw = _below_root(raw, root, file_name).select("value", F.col("_metadata.file_path").alias("source_file"))
+    return report_records(raw, columns, delimiter, final_only, distinct, date_column)
+
+
 def read_procedures(
     spark: SparkSession, root: str, file_name: str, date_column: str = "Date", delimiter: str = "|",
     rows_per_task: int = ROWS_PER_TASK,

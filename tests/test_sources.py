@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from medloom.operators import tables
@@ -137,3 +139,87 @@ def test_lines_of_a_wrong_delimiter_are_rejected_one_by_one(spark):
     records, rejects = readers.procedure_lines(lines, columns)
     assert sorted((r.a, r.b) for r in records.collect()) == [("1", "x"), ("2", "x"), ("3", "t" * 3000), ("4", "x")]
     assert sorted(r.value for r in rejects.collect()) == sorted(values[1:3001])
+
+
+def test_columns_are_aligned_by_name(spark, tmp_path):
+    put(tmp_path, "a", "mrn.txt", "EMPI|MRN\n1|x\n")
+    put(tmp_path, "b", "mrn.txt", "MRN|EMPI|Site\ny|2|MGH\n")
+    put(tmp_path, "c", "mrn.txt", "﻿EMPI\r\n3\r\n")
+    put(tmp_path, "d", "mrn.txt", "")
+    df = readers.read_identifiers(spark, str(tmp_path), "mrn.txt")
+    assert df.columns == ["EMPI", "MRN", "Site"]
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "x", None), ("2", "y", "MGH"), ("3", None, None)]
+    chosen = readers.read_folders(spark, str(tmp_path), "mrn.txt", columns=["Site", "None", "EMPI"], keep_path=True)
+    assert chosen.columns == ["Site", "None", "EMPI", "source_file"] and chosen.count() == 3
+
+
+def test_folders_without_the_file_are_told(spark, tmp_path):
+    put(tmp_path, "a", "lab.txt", "EMPI\n1\n")
+    put(tmp_path, "b/c", "other.txt", "EMPI\n2\n")
+    put(tmp_path, ".", "root.txt", "EMPI\n2\n")
+    missing = [r.folder for r in readers.missing_folders(spark, str(tmp_path), "lab.txt").collect()]
+    assert [m.rsplit("/", 2)[-2:] for m in missing] == [["b", "c"]]
+    assert readers.read_folders(spark, str(tmp_path), "lab.txt").count() == 1
+    with pytest.raises(FileNotFoundError):
+        readers.read_folders(spark, str(tmp_path), "lab.txt", strict=True)
+    with pytest.raises(FileNotFoundError):
+        readers.read_folders(spark, str(tmp_path), "none.txt")
+
+
+def test_a_delimiter_in_quotes_is_no_field(spark):
+    values = ["a|b|c", '1|"x|y"|z', '2|"x""|y"|z', "3|x|y|z", "4", '5|x"|y|z', "", '6|"x|y|z', '7|""|z']
+    lines = spark.createDataFrame([("f", v) for v in values], "source_file string, value string")
+    rows, malformed = readers.lab_lines(lines, ["a", "b", "c"])
+    assert sorted((r.a, r.b, r.c) for r in rows.filter("a <> '6'").collect()) == [
+        ("1", "x|y", "z"), ("2", 'x"|y', "z"), ("4", None, None), ("7", None, "z")]
+    assert {r.line for r in malformed.collect()} == {"3|x|y|z", '5|x"|y|z', '6|"x|y|z'}
+
+
+def test_reports_of_lines(spark):
+    text = "\n".join(HEADER.rstrip().split("\n")) + "\n" + report("S1", "one\n\n two|x\n") + report("S2", "") + "1|2|MGH|3|S3|1/2/2003|a|Final|PAT|tail"
+    lines = [("f", 0, i, v) for i, v in enumerate(text.split("\n"))]
+    lines += [("g", 0, 0, "1|2|MGH|3|S4|1/2/2003|a|Final|PAT|x[report_end]1|2|MGH|3|S5|1/2/2003|a|Final|PAT|y[report_end]")]
+    df = spark.createDataFrame(lines, "source_file string, block long, line long, value string").repartition(3)
+    for limit in (1000, 2):
+        records = readers.records_of_lines(df, rows_per_task=limit)
+        rows = readers.report_records(records, HEADER.rstrip().split("|"))
+        got = {r.Report_Number: r.Report_Text for r in rows.collect()}
+        assert got == {"S1": "one\n\n two|x\n[report_end]", "S2": "[report_end]", "S3": "tail[report_end]", "S4": "x[report_end]", "S5": "y[report_end]"}
+
+
+def built_of(spark, rows, labs):
+    df = spark.createDataFrame(rows, "id string, lab string, t double, x double")
+    return build_trajectories(df, "id", "lab", labs, min_points=2, min_height=100)
+
+
+FALL = [10.0, 900.0, 500.0, 200.0, 90.0, 50.0]
+
+
+def test_a_rerun_replaces_its_labs_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [("p", lab, float(t), x) for lab in ("ALT", "AST") for t, x in enumerate(FALL)]
+    sinks.replace_trajectories(built_of(spark, rows, ["ALT", "AST"]), "lab", out)
+    first = sinks.read_trajectories(spark, "lab", out)
+    assert sorted((r.lab, r.x0) for r in first.meta.collect()) == [("ALT", 900.0), ("AST", 900.0)]
+    again = [(i, lab, t, 2 * x) for i, lab, t, x in rows if lab == "AST"]
+    for _ in range(2):
+        sinks.replace_trajectories(built_of(spark, again, ["AST"]), "lab", out)
+    back = sinks.read_trajectories(spark, "lab", out)
+    assert sorted((r.lab, r.x0) for r in back.meta.collect()) == [("ALT", 900.0), ("AST", 1800.0)]
+    assert back.points.groupBy("lab").agg(F.max("x").alias("x")).orderBy("lab").collect() == [("ALT", 900.0), ("AST", 1800.0)]
+    # A lab whose rerun has no trajectories has none afterwards.
+    sinks.replace_trajectories(built_of(spark, [("p", "AST", 0.0, 1.0)], ["AST"]), "lab", out)
+    assert [r.lab for r in sinks.read_trajectories(spark, "lab", out).meta.collect()] == ["ALT"]
+
+
+def test_a_failed_run_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [("p", "ALT", float(t), x) for t, x in enumerate(FALL)]
+    built = built_of(spark, rows, ["ALT"])
+    sinks.replace_trajectories(built, "lab", out)
+    fails = F.udf(lambda x: 1 // 0, "double")
+    bad = built._replace(points=built.points.withColumn("x", F.col("x") * 3), meta=built.meta.withColumn("x0", fails("x0")))
+    with pytest.raises(Exception, match="ZeroDivision"):
+        sinks.replace_trajectories(bad, "lab", out)
+    back = sinks.read_trajectories(spark, "lab", out)
+    assert [r.x0 for r in back.meta.collect()] == [900.0] and back.points.agg(F.max("x")).first()[0] == 900.0
