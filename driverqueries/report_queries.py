@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driverqueries.common import DIALOGUES_SQL, REPORTS_SQL, dialogues, nested_replace_sql, reports
+from driverqueries.common import DIALOGUES_SQL, REPORTS_SQL, dialogues, nested_replace_sql, r6, reports
 from medloom.operators import findings as found
 from medloom.operators import mentions as op
+from medloom.operators import terms
 from medloom.rules import colon, liver, negation
 
 _COUNTED = [*liver.PROXIMITY, "one_inflammation", "more_inflammations"]
@@ -93,6 +94,28 @@ def score_max(spark, sf_dir):
     return op.scores(reports(spark, sf_dir), "report_id", "Report_Text", colon)
 
 
+LEAST_TERM = 20
+TERMS_KEPT = 300
+
+
+def _term_values(spark, sf_dir):
+    rows = op.sentences(reports(spark, sf_dir), "report_id", "Report_Text", liver)
+    return terms.c_values(rows, least=LEAST_TERM)
+
+
+def learned_terms(spark, sf_dir):
+    """C-values of the frequent phrases of all sentences."""
+    return _term_values(spark, sf_dir).select(
+        "phrase", "n", "longer", "within", r6(F.col("c_value"), 4).alias("c_value"))
+
+
+def term_mentions(spark, sf_dir):
+    """Mentions of the best phrases that end in a head word, in place of the fixed vocabulary."""
+    learned = terms.lexicon(_term_values(spark, sf_dir), liver.HEADS, TERMS_KEPT)
+    rows = op.sentences(reports(spark, sf_dir), "report_id", "Report_Text", liver)
+    return op.flip_leading(op.spans(rows, liver, terms=learned)).select(*PLACE, "text", "negated")
+
+
 # SQL forms: sentences are unnested first, every context rule is a step of its own, and a mention's scope is the text
 # before and after it. Patterns are put together here from the rule tables alone.
 
@@ -279,6 +302,8 @@ QUERIES = {
     "stage_first": stage_first,
     "colon_findings": colon_findings,
     "score_max": score_max,
+    "learned_terms": learned_terms,
+    "term_mentions": term_mentions,
 }
 
 ORACLES = {
@@ -313,5 +338,17 @@ ORACLES = {
         SELECT r.report_id, f.* EXCLUDE (report_id, dl), CASE WHEN score > 3 THEN 3.0 ELSE score END AS mayo_score, coalesce(dl, '') AS disease_list
         FROM reports r LEFT JOIN f ON f.report_id = r.report_id AND r.site <> 'OTHER'
         LEFT JOIN sc ON sc.report_id = r.report_id AND r.site <> 'OTHER'""",
+    "learned_terms": _sentences_sql(liver) + f""",
+        parts AS (SELECT unnest(regexp_split_to_array(sentence, '{terms.PART}')) AS part FROM sents),
+        w AS (SELECT list_filter(string_split(part, ' '), lambda x: x <> '') AS w FROM parts),
+        g AS (SELECT array_to_string(w[i + 1 : i + k], ' ') AS phrase, k, count(*) AS n
+          FROM (SELECT w, k, unnest(range(len(w) - k + 1)) AS i FROM w, range(1, 5) r(k) WHERE len(w) >= k) GROUP BY ALL
+          HAVING count(*) >= {LEAST_TERM}),
+        inside AS (SELECT DISTINCT phrase AS holder, n AS held_n, array_to_string(string_split(phrase, ' ')[i + 1 : i + j], ' ') AS part
+          FROM g, range(1, 4) r(j), range(0, 4) q(i) WHERE j < k AND i + j <= k),
+        h AS (SELECT part, count(*) AS longer, sum(held_n) AS within FROM inside GROUP BY part)
+        SELECT phrase, n, coalesce(longer, 0) AS longer, CAST(coalesce(within, 0) AS BIGINT) AS within,
+          round(log2(k + 1) * (n - coalesce(within / longer, 0)), 4) + 0.0 AS c_value
+        FROM g LEFT JOIN h ON h.part = g.phrase""",
     "score_max": _sentences_sql(colon) + _SCORES + " SELECT report_id, score FROM sc",
 }
