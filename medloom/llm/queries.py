@@ -168,4 +168,16 @@ ORACLES: dict[str, str] = {
         lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
         SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM (
           SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000""",
+    # All pairs. The search is exact on tables of up to its beam; sums run in the order of the components.
+    "op13_nearest_neighbours": """
+        WITH v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        n AS MATERIALIZED (
+          SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda s, x: s + x, 0.0::DOUBLE)) AS norm FROM v),
+        p AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(c.e, q.e), lambda z: z[1] * z[2]),
+            lambda s, x: s + x, 0.0::DOUBLE) / (c.norm * q.norm) AS score
+          FROM n q JOIN n c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
