@@ -32,6 +32,8 @@ from medloom.llm.base import settle, slices, text_list
 from medloom.llm.shingles import set_id, shingle_sets
 
 SHINGLE_WORDS = 5
+# Bytes of text whose shingles are made at a time, at about 40 bytes of arrays each.
+TEXT_SLICE = 1 << 19
 BLOCK_SHINGLES = 1 << 20
 REPEATS = 4
 FREQUENT_KEPT = 1 << 18
@@ -39,6 +41,7 @@ SETS_SEEN = 1 << 20
 SKETCH = 256
 LIST_BLOCK = 4096
 STAR_ROUNDS = 1
+SUFFIX_FROM = 1 << 13
 
 
 class Threshold(NamedTuple):
@@ -62,18 +65,30 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _repeats(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Shingles that at least REPEATS different sets of a block hold, with their number."""
+FIRST_PASS = "doc_id long, n_shingles long, sid long, s long, n long"
+
+
+def _first_pass(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Names of all sets (doc_id, n_shingles, sid), and (s, n): shingles that REPEATS different sets of a block hold."""
+    schema = pa.schema([(c.split(" ")[0], pa.int64()) for c in FIRST_PASS.split(", ")])
+
+    def rows(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        empty = pa.nulls(len(next(iter(columns.values()))), pa.int64())
+        return pa.RecordBatch.from_arrays([columns.get(f.name, empty) for f in schema], schema=schema)
 
     def counted(sets):
         found, count = np.unique(np.concatenate(sets), return_counts=True)
         keep = count >= REPEATS
-        return pa.RecordBatch.from_pydict({"s": pa.array(found[keep].view(np.int64)), "n": pa.array(count[keep])})
+        return rows({"s": pa.array(found[keep].view(np.int64)), "n": pa.array(count[keep])})
 
     block, size, seen = [], 0, set()
-    for batch in slices(batches):
-        for found in shingle_sets(text_list(batch.column("text")), words):
-            name = set_id(found)
+    for batch in slices(batches, limit=TEXT_SLICE):
+        sets = shingle_sets(text_list(batch.column("text")), words)
+        names = [set_id(found) if len(found) else None for found in sets]
+        yield rows({
+            "doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(found) for found in sets], pa.int64()),
+            "sid": pa.array(names, pa.int64())})
+        for name, found in zip(names, sets):
             if name in seen:
                 continue
             seen.add(name)
@@ -86,14 +101,14 @@ def _repeats(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         yield counted(block)
 
 
-def frequent_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts; a table of at most FREQUENT_KEPT rows."""
-    counts = _narrow(docs).select("text").mapInArrow(lambda b: _repeats(b, words), "s long, n long")
-    counts = counts.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT_KEPT)
+def first_pass(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """Names of all sets, and the most frequent shingles (sorted) with their counts, at most FREQUENT_KEPT, in one pass."""
+    rows = settle(_narrow(docs).mapInArrow(lambda b: _first_pass(b, words), FIRST_PASS))
+    counts = rows.filter("s is not null").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT_KEPT)
     got = counts.toArrow()
     shingle = got.column("s").to_numpy().view(np.uint64)
     order = np.argsort(shingle)
-    return shingle[order], got.column("n").to_numpy()[order]
+    return rows.filter("s is null").select("doc_id", "n_shingles", "sid"), (shingle[order], got.column("n").to_numpy()[order])
 
 
 def _rare_first(found: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -108,7 +123,7 @@ def _prefixes(batches, words: int, limit: Threshold, frequent) -> Iterator[pa.Re
     """Prefix rows (s, sid, n, pos); a set that this task has met is left out."""
     shingle, count = frequent
     seen: set[int] = set()
-    for batch in slices(batches):
+    for batch in slices(batches, limit=TEXT_SLICE):
         rows, names, sizes = [], [], []
         for found in shingle_sets(text_list(batch.column("text")), words):
             if not len(found):
@@ -130,17 +145,8 @@ def _prefixes(batches, words: int, limit: Threshold, frequent) -> Iterator[pa.Re
             })
 
 
-def _names(batches, words: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sets = shingle_sets(text_list(batch.column("text")), words)
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "sid": pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-        })
-
-
 def _texts_of(batches, words: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, limit=TEXT_SLICE):
         texts = text_list(batch.column("text"))
         sets = shingle_sets(texts, words)
         yield pa.RecordBatch.from_pydict({
@@ -169,13 +175,18 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
 
 def similar(a: np.ndarray, b: np.ndarray, limit: Threshold) -> bool:
     need = limit.overlap(len(a), len(b))
-    if suffix_bound(a, b) < need:
+    if len(a) > len(b):
+        a, b = b, a
+    # Looking all elements up costs less than the bound, unless the sets are large.
+    if not len(a) or len(b) > SUFFIX_FROM and suffix_bound(a, b) < need:
         return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a)) >= need
 
 
 def _verify(batches, words: int, limit: Threshold) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text_a", 1 << 20):
+    for batch in slices(batches, "text_a", TEXT_SLICE):
         a = shingle_sets(text_list(batch.column("text_a")), words)
         b_texts = text_list(batch.column("text_b"))
         different = list(dict.fromkeys(b_texts))  # one partner may stand in many rows
@@ -215,11 +226,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold = Threshold()) -> DataFrame:
+def similar_links(docs: DataFrame, frequent, words: int = SHINGLE_WORDS, limit: Threshold = Threshold()) -> DataFrame:
     """Links (a, b) between names of different similar sets, enough of them to connect every component."""
     spark = docs.sparkSession
     docs = _narrow(docs)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
+    frequent = spark.sparkContext.broadcast(frequent)
     rows = docs.select("text").mapInArrow(
         lambda b: _prefixes(b, words, limit, frequent.value), "s long, sid long, place long")
     shared = rows.groupBy("s").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most")
@@ -355,9 +366,8 @@ def _partners(lists: DataFrame, limit: Threshold) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold = Threshold()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that links reach)."""
-    labels = components(similar_links(docs, words, limit))
-    rows = _narrow(docs).mapInArrow(lambda b: _names(b, words), "doc_id long, n_shingles long, sid long")
-    rows = settle(rows)
+    rows, frequent = first_pass(docs, words)
+    labels = components(similar_links(docs, frequent, words, limit))
     rows = rows.join(labels, F.col("sid") == F.col("v"), "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("label", "sid").alias("class"))
     # The least id of a class, with partial minima before the shuffle; classes may be large, so the join back is
@@ -372,15 +382,15 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, limit: Threshold = Thr
 
     Documents without words stay as they are. Whole rows are shuffled once.
     """
-    labels = components(similar_links(docs, words, limit))
-    rows = settle(_narrow(docs).mapInArrow(lambda b: _names(b, words), "doc_id long, n_shingles long, sid long"))
+    rows, frequent = first_pass(docs, words)
+    labels = components(similar_links(docs, frequent, words, limit))
     rows = rows.filter("sid is not null").join(labels, F.col("sid") == F.col("v"), "left")
     first = rows.groupBy(F.coalesce("label", "sid").alias("class")).agg(F.min(F.struct("doc_id", "sid")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.sid").alias("_first_sid"))
     names, schema = docs.columns, docs.schema
 
     def named(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_SLICE):
             sets = shingle_sets(text_list(batch.column("text")), words)
             sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sid], names=[*names, "_first_sid"])
