@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from medloom.operators import series
+from medloom.operators import fits, separable, series
 from medloom.plans import fitting
 from medloom.plans.trajectories import build_trajectories
 
@@ -82,3 +83,35 @@ def test_counts_come_from_what_is_there(spark, tmp_path):
     assert "FileScan" not in plan
     row = built.run_meta.first()
     assert (row.num_input_ids, row.num_traj_meeting_criteria) == (2, 1)
+
+
+def test_trajectories_searched_side_by_side_end_where_each_ends_alone():
+    rng = np.random.default_rng(7)
+    tracks = []
+    for n in (3, 8, 40, 200):
+        t = np.concatenate([[0.0], np.cumsum(rng.uniform(0.05, 0.4, n - 1))])
+        x = 5 + 80 * np.exp(-0.7 * t) + rng.normal(0, 0.5, n)
+        tracks.append((fits._times(t, x), t, x))
+    for model in fits.MODELS.values():
+        sizes = []
+
+        def basis(t, rates, of=model.shape.basis):
+            sizes.append(len(rates))
+            return of(t, rates)
+
+        shape = model.shape._replace(basis=basis)
+        together = separable.search_all(shape, model.size, tracks)
+        alone = [separable.search(model.shape, model.size, *track) for track in tracks]
+        for a, b, (times, t, x) in zip(together, alone, tracks):
+            assert abs(a.error - b.error) <= 1e-9 * (1 + b.error)
+            part = model.shape.basis(t, a.rates[None])[0]
+            assert abs(np.sum((part @ a.coefficients - x) ** 2) - a.error) <= 1e-9 * (1 + a.error)
+            # No point of the first grid, solved by itself and without any shortcut, is better.
+            grid = separable.propose(model.shape, times, separable.begin(model.shape, model.size))
+            grid = grid[model.shape.valid(grid, times)]
+            sums = separable.sums_of(model.shape.basis(t, grid), x)
+            _, errors = separable.solve(*sums, float(x @ x), *model.shape.constraints(times))
+            assert a.error <= errors.min() + 1e-6 * (1 + x @ x)
+        if model.shape.mix is not None:
+            # The basis of a whole grid is never made.
+            assert max(sizes[:4]) < len(grid)
