@@ -115,3 +115,22 @@ def test_trajectories_searched_side_by_side_end_where_each_ends_alone():
         if model.shape.mix is not None:
             # The basis of a whole grid is never made.
             assert max(sizes[:4]) < len(grid)
+
+
+def test_three_point_track_gives_the_best_rate_also_where_points_are_unknown(spark):
+    rows = [("a", i, 0.5 * i, 3 + 40 * math.exp(-0.9 * 0.5 * i)) for i in range(6)]
+    rows += [("b", 0, 0.0, 5.0), ("b", 1, 1.0, None), ("b", 2, 2.0, 3.0), ("b", 3, 3.0, 2.0), ("b", 4, 4.0, 1.5), (None, 0, 0.0, 1.0)]
+    rows += [("c", i, 1.0, 7.0) for i in range(3)]
+    points = spark.createDataFrame(rows, "id string, pos bigint, t double, x double")
+    track = series.three_point_track(points, ["id"], "pos")
+    # No rate is tried by expressions in the row, of which each repeats the ones before it.
+    assert "MapInArrow" in track._jdf.queryExecution().toString()
+    assert track.dtypes == [("id", "string"), ("pos", "bigint"), ("C", "double"), ("d", "double"), ("sse", "double")]
+    found = {(r["id"], r["pos"]): r for r in track.collect()}
+    assert sorted(found) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1), ("b", 2), ("c", 0)]
+    for pos in range(4):
+        r = found["a", pos]
+        assert r["sse"] < 1e-9 and abs(r["d"] - 0.9) < 1e-3 and abs(r["C"] - 2.7) < 1e-2
+    assert found["b", 0]["sse"] is None and found["b", 0]["C"] == 0
+    assert found["b", 2]["sse"] >= 0
+    assert found["c", 0]["sse"] == 0
