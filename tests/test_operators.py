@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medloom.functions import results
-from medloom.operators import asof, findings, fits, mentions, peaks, sections, series, stats, tables
+from medloom.operators import asof, findings, fits, mentions, ordered, peaks, sections, series, stats, tables
 from medloom.plans import fitting
 from medloom.rules import colon, liver
 
@@ -327,3 +327,24 @@ def test_dates_without_tolerance(spark):
     events = spark.createDataFrame([("a", 1.0), ("a", 1.5), ("b", 1.0)], "k string, d double")
     dates = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, day double")
     assert [tuple(r) for r in asof.near_any_date(events, dates, ["k"], "d", "day", 0).collect()] == [("a", 1.0)]
+
+
+def test_short_chunks_share_tasks_and_large_keys_are_not_joined_by_key(spark):
+    rows = [("a", i // 3, i) for i in range(3000)] + [("b", i, i) for i in range(5)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "id string, t int, n int").repartition(4)
+    seen = []
+
+    def number(part):
+        seen.append(part)
+        return ordered.scan(part, running={"_n": F.lit(1)}).df.select("id", "t", "n", "_n")
+
+    out = ordered.run_by_size(df, ["id"], ["t", "n"], number, rows_per_task=7)
+    found = {r["n"]: r["_n"] for r in out.filter("id = 'a'").collect()}
+    assert found == {i: i + 1 for i in range(3000)}
+    assert {r["n"]: r["_n"] for r in out.filter("id = 'b'").collect()} == {i: i + 1 for i in range(5)}
+    chunked = next(part for part in seen if part.chunked)
+    assert chunked.df.rdd.getNumPartitions() == 1
+    sizes = chunked.df.groupBy(ordered.CHUNK).count().collect()
+    assert len(sizes) == 429 and max(r["count"] for r in sizes) == 7
+    plan = next(part for part in seen if not part.chunked).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
