@@ -1,11 +1,11 @@
 """Collocations: frequent phrases that stand out against their parts, by partitioned mining (SON).
 
-Each shard, a block of texts that fits a task, is mined completely: all phrases of one to five words that reach the
-local support there, which is the global support times the shard's share of the bytes of that language. A phrase that
-is frequent as a whole is frequent in one shard at least, so the union of the shards' phrases holds all of them. A
-second scan counts these candidates exactly in all texts. Candidates travel as a bit table of their hashes: a phrase
-that falls on a set bit by chance is counted too, exactly, and drops out below the support, so any size of the table
-gives the same rows.
+Each shard, a block of texts that fits a task, is mined by itself: all its phrases of one to five words, with their local
+counts. The local counts are added up by hash, and only phrases that can reach the support in all shards together are
+candidates; a share of the support per shard would fall to one with many shards and let every phrase pass. Hashes are
+packed in sorted blobs, a few bytes per phrase and shard, so the shuffle is in proportion to the texts. A second scan
+counts the candidates exactly in all texts. They travel as a bit table of their hashes: a phrase that falls on a set bit
+by chance is counted too, exactly, and drops out below the support, so any size of the table gives the same rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ SHARD_BYTES = 20 << 20
 BITS_PER_CANDIDATE = 16
 MOST_BITS = 1 << 28
 CHUNK_BITS = 1 << 15
+BUCKETS = 1 << 10
+BUCKET_BYTES = 32 << 20
+BLOBS_AT_ONCE = 128
 LANGUAGES_SENT = 4096
 NO_LANGUAGE = "und"
 SPACE = byte_set([*b" \t.,;:!?", *range(10, 14)])
@@ -77,8 +80,8 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return dense, order[first], counts
 
 
-def locally_frequent(block: Block, support: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes of all phrases that reach the support of their language (by its number) in the block, length by length.
+def locally_frequent(block: Block, support: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and counts of all phrases that reach the support of their language (by its number) in the block, by length.
 
     A phrase is looked at only where its beginning and its end, of one word less, reach the support.
     """
@@ -95,7 +98,7 @@ def locally_frequent(block: Block, support: np.ndarray) -> Iterator[np.ndarray]:
         hashes = block.longer(hashes, places, length)
         dense, at, counts = _counted(number.astype(np.int64) * size + block.word[places + (length - 1)])
         enough = counts >= support[block.lang[places[at]]]
-        yield hashes[at[enough]]
+        yield hashes[at[enough]], counts[enough]
         wanted = enough[dense]
         places, hashes, number = places[wanted], hashes[wanted], dense[wanted]
         shorter = np.zeros(len(block.word) + 1, bool)
@@ -168,23 +171,68 @@ def _cut(text: str, limit: int) -> Iterator[str]:
         start = stop
 
 
-def candidates(texts: DataFrame, support: int, shard_bytes: int) -> DataFrame:
-    """Hashes of the phrases that reach the local support in some shard."""
+def _blobs(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys and counts by bucket, which is what stands above the low 32 bits; the bytes of sorted numbers lie in planes."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    bucket, low = (keys >> np.uint64(32)).astype(np.int32), keys.astype("<u4")
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(keys))
+    for k in range(0, len(starts), BLOBS_AT_ONCE):
+        some = list(zip(starts[k : k + BLOBS_AT_ONCE].tolist(), ends[k : k + BLOBS_AT_ONCE].tolist()))
+        planes = [low[a:z].view(np.uint8).reshape(-1, 4).T.tobytes() for a, z in some]
+        columns = [pa.array(bucket[starts[k : k + BLOBS_AT_ONCE]]), pa.array(planes, pa.binary()), pa.array([counts[a:z].tobytes() for a, z in some], pa.binary())]
+        yield pa.record_batch(columns, names=["bucket", "low", "counts"])
+
+
+def _frequent(batches, support: int, kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """The keys whose counts add up to the support, from blobs in the order of their buckets."""
+
+    def keys_of(bucket: int, lows: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        low = np.concatenate(lows)
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        starts = np.flatnonzero(np.diff(low, prepend=~low[:1]))
+        sums = np.add.reduceat(np.concatenate(counts)[order], starts, dtype=np.int64)
+        keys = low[starts[sums >= support]].astype(np.int64) + (bucket << 32)
+        return pa.record_batch([pa.array(keys)], names=["h"])
+
+    last, lows, counts = None, [], []
+    for batch in batches:
+        for bucket, low, count in zip(*[c.to_pylist() for c in batch.columns]):
+            if lows and bucket != last:
+                yield keys_of(last, lows, counts)
+                lows, counts = [], []
+            last = bucket
+            lows.append(np.ascontiguousarray(np.frombuffer(low, np.uint8).reshape(4, -1).T).view("<u4")[:, 0])
+            counts.append(np.frombuffer(count, kind))
+    if lows:
+        yield keys_of(last, lows, counts)
+
+
+def candidates(texts: DataFrame, support: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Beginnings of the hashes of all phrases that reach the support, and how many bits of a hash are left out of them.
+
+    Phrases that share a beginning count together, so some more are candidates by chance; none is lost.
+    """
     sizes = texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    # Of other languages every phrase is a candidate, so that the list sent along is bounded.
+    # Languages without room for a frequent phrase are left out, as far as the list sent along reaches.
     largest = {r["lang"]: r["bytes"] for r in sizes.orderBy(F.desc("bytes"), "lang").limit(LANGUAGES_SENT).collect()}
+    whole = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = (max(BUCKETS, whole // BUCKET_BYTES) - 1).bit_length()
+    shift, kind = 32 - width, np.min_scalar_type(support)
 
     def run(batches):
         for block in _blocks(batches, shard_bytes):
-            # Bytes of the words stand for bytes of the texts; there are no more, so the shares add up to 1 at most.
-            lengths = pc.binary_length(block.spelled).to_numpy(zero_copy_only=False)
-            own = np.bincount(block.lang, lengths[block.word], len(block.langs))
-            local = [support * n / largest[name] if largest.get(name) else 0 for n, name in zip(own, block.langs.to_pylist())]
-            for found in locally_frequent(block, np.maximum(1, np.ceil(np.array(local) - 1e-6))):
-                for a in range(0, len(found), 1 << 17):
-                    yield pa.record_batch([pa.array(found[a : a + (1 << 17)].view(np.int64))], names=["h"])
+            room = [largest.get(name, support) >= support for name in block.langs.to_pylist()]
+            for found, counts in locally_frequent(block, np.where(room, 1, np.iinfo(np.int64).max)):
+                # A count beyond the support says no more than the support itself.
+                yield from _blobs(found >> np.uint64(shift), np.minimum(counts, support).astype(kind))
 
-    return texts.mapInArrow(run, "h long").distinct()
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = texts.mapInArrow(run, "bucket int, low binary, counts binary").repartition(parts, "bucket")
+    found = packed.sortWithinPartitions("bucket").mapInArrow(lambda batches: _frequent(batches, support, kind), "h long")
+    return found, shift
 
 
 def _bit_table(hashes: DataFrame) -> tuple[np.ndarray, int]:
@@ -230,7 +278,8 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SH
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE))
     texts = docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hashes = settle(candidates(texts, support, shard_bytes))
+    found, shift = candidates(texts, support, shard_bytes)
+    hashes = settle(found)
     table, bits = _bit_table(hashes)
     sent = texts.sparkSession.sparkContext.broadcast(table)  # at most MOST_BITS
 
@@ -238,7 +287,7 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SH
         table = sent.value
 
         def known(hashes):
-            at = hashes & np.uint64(bits - 1)
+            at = (hashes >> np.uint64(shift)) & np.uint64(bits - 1)
             return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
         for block in _blocks(batches, shard_bytes):

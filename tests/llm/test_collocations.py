@@ -66,6 +66,15 @@ def test_any_bit_table_gives_the_same(spark, monkeypatch):
     assert sorted(tuple(r) for r in op.collocations(docs, support=10, shard_bytes=2000).collect()) == want and want
 
 
+def test_candidates_do_not_grow_with_the_shards(spark):
+    """Phrases that can't reach the support in all shards together are no candidates, however small the shards are."""
+    docs = table(spark, texts(5), 4).select("lang", "text")
+    few, _ = op.candidates(docs, 12, 1 << 24)
+    many, _ = op.candidates(docs, 12, 200)
+    want = {r[0] for r in few.collect()}
+    assert {r[0] for r in many.collect()} == want and 0 < len(want) < 300
+
+
 def test_equal_hashes_are_told_apart():
     block = op.Block(op.pa.array(["a b a c a b", "b a. b"]), op.pa.array(["en", "de"]))
     block.hash[:] = 7
