@@ -11,6 +11,7 @@ by chance is counted too, exactly, and drops out below the support, so any size
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,28 @@ BUCKET_BYTES = 32 << 20
 BLOBS_AT_ONCE = 128
 LANGUAGES_SENT = 4096
 NO_LANGUAGE = "und"
-SPACE = byte_set([*b" \t.,;:!?", *range(10, 14)])
-BREAK = byte_set([*b".,;:!?", *range(10, 14)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Pieces(NamedTuple):
+    """How texts are taken apart: breaks between pieces, spaces between words (ASCII), and words of the longest phrase."""
+
+    breaks: str
+    spaces: str
+    lower: bool
+    longest: int
+
+
+PIECES = Pieces(".,;:!?\n\v\f\r", " \t", True, LONGEST)
+
+
 class Block:
     """The words of a block of texts: number, hash, language, and how many words are left in their piece."""
 
-    def __init__(self, texts: pa.Array, langs: pa.Array):
-        words = split_words(texts, SPACE, BREAK, lower=True)
+    def __init__(self, texts: pa.Array, langs: pa.Array, pieces: Pieces = PIECES):
+        self.longest = pieces.longest
+        breaks = pieces.breaks.encode()
+        words = split_words(texts, byte_set([*pieces.spaces.encode(), *breaks]), byte_set(breaks), pieces.lower)
         coded = words.values.dictionary_encode()
         spelled = [w[:-1] for w in coded.dictionary.to_pylist()]
         self.spelled = pa.array(spelled, pa.large_binary())
@@ -88,7 +101,7 @@ def locally_frequent(block: Block, support: np.ndarray) -> Iterator[tuple[np.nda
     size = len(block.spelled)
     places = np.arange(len(block.word))
     hashes, number, shorter = block.salt[block.lang], block.lang, None
-    for length in range(1, LONGEST + 1):
+    for length in range(1, block.longest + 1):
         wanted = block.left[places] >= length
         if shorter is not None:
             wanted &= shorter[places + 1]
@@ -112,7 +125,7 @@ def counts_of(block: Block, known) -> Iterator[tuple[int, np.ndarray, np.ndarray
     """
     places = np.arange(len(block.word))
     hashes, shorter = block.salt[block.lang], None
-    for length in range(1, LONGEST + 1):
+    for length in range(1, block.longest + 1):
         wanted = block.left[places] >= length
         if shorter is not None:
             wanted &= shorter[places + 1]
@@ -133,7 +146,7 @@ def counts_of(block: Block, known) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield length, places[at], counts
 
 
-def _blocks(batches, limit: int) -> Iterator[Block]:
+def _blocks(batches, limit: int, pieces: Pieces) -> Iterator[Block]:
     """Blocks of about ``limit`` bytes of text. A longer text is cut at breaks between pieces, where it has any."""
     texts, langs, size = [], [], 0
     for batch in slices(batches, limit=limit // 4):
@@ -141,31 +154,31 @@ def _blocks(batches, limit: int) -> Iterator[Block]:
         lang = batch.column("lang")
         bytes_of = pc.sum(pc.binary_length(text)).as_py() or 0
         if size and size + bytes_of > limit:
-            yield Block(_joined(texts), _joined(langs))
+            yield Block(_joined(texts), _joined(langs), pieces)
             texts, langs, size = [], [], 0
         if bytes_of > limit and len(text) == 1:
-            for part in _cut(text[0].as_py(), limit):
-                yield Block(pa.array([part]), lang)
+            for part in _cut(text[0].as_py(), limit, pieces.breaks):
+                yield Block(pa.array([part]), lang, pieces)
             continue
         texts.append(text)
         langs.append(lang)
         size += bytes_of
     if texts:
-        yield Block(_joined(texts), _joined(langs))
+        yield Block(_joined(texts), _joined(langs), pieces)
 
 
 def _joined(parts: list[pa.Array]) -> pa.Array:
     return pa.concat_arrays([p.cast(pa.large_string()) for p in parts])
 
 
-def _cut(text: str, limit: int) -> Iterator[str]:
+def _cut(text: str, limit: int, breaks: str) -> Iterator[str]:
     """Parts of a text that end at a break between pieces, where there is one within ``limit`` characters."""
     start = 0
     while start < len(text):
         stop = start + limit
         if stop < len(text):
-            last = max(text.rfind(c, start, stop) for c in ".,;:!?\n\v\f\r")
-            following = [text.find(c, stop) for c in ".,;:!?\n\v\f\r"] if last < start else [last]
+            last = max(text.rfind(c, start, stop) for c in breaks)
+            following = [text.find(c, stop) for c in breaks] if last < start else [last]
             stop = min((k for k in following if k >= 0), default=len(text)) + 1
         yield text[start:stop]
         start = stop
@@ -210,7 +223,7 @@ def _frequent(batches, support: int, kind: np.dtype) -> Iterator[pa.RecordBatch]
         yield keys_of(last, lows, counts)
 
 
-def candidates(texts: DataFrame, support: int, shard_bytes: int) -> tuple[DataFrame, int]:
+def candidates(texts: DataFrame, support: int, shard_bytes: int, pieces: Pieces = PIECES) -> tuple[DataFrame, int]:
     """Beginnings of the hashes of all phrases that reach the support, and how many bits of a hash are left out of them.
 
     Phrases that share a beginning count together, so some more are candidates by chance; none is lost.
@@ -223,7 +236,7 @@ def candidates(texts: DataFrame, support: int, shard_bytes: int) -> tuple[DataFr
     shift, kind = 32 - width, np.min_scalar_type(support)
 
     def run(batches):
-        for block in _blocks(batches, shard_bytes):
+        for block in _blocks(batches, shard_bytes, pieces):
             room = [largest.get(name, support) >= support for name in block.langs.to_pylist()]
             for found, counts in locally_frequent(block, np.where(room, 1, np.iinfo(np.int64).max)):
                 # A count beyond the support says no more than the support itself.
@@ -271,14 +284,16 @@ def _bit_table(hashes: DataFrame) -> tuple[np.ndarray, int]:
     return table, bits
 
 
-def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Phrases of one to five words with at least ``support`` occurrences in a language, and the words of each language.
+def phrase_counts(
+    docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES, pieces: Pieces = PIECES
+) -> tuple[DataFrame, DataFrame]:
+    """Phrases of one to ``pieces.longest`` words with at least ``support`` occurrences in a language, and the words of each language.
 
     (lang, phrase, words, n) and (lang, words). A null language is ``und``; a null text has no words.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE))
     texts = docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found, shift = candidates(texts, support, shard_bytes)
+    found, shift = candidates(texts, support, shard_bytes, pieces)
     hashes = settle(found)
     table, bits = _bit_table(hashes)
     sent = texts.sparkSession.sparkContext.broadcast(table)  # at most MOST_BITS
@@ -290,7 +305,7 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SH
             at = (hashes >> np.uint64(shift)) & np.uint64(bits - 1)
             return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
-        for block in _blocks(batches, shard_bytes):
+        for block in _blocks(batches, shard_bytes, pieces):
             totals = np.bincount(block.lang, minlength=len(block.langs))
             yield _rows(block.langs, pa.nulls(len(totals), pa.string()), 0, totals)
             for length, places, counts in counts_of(block, known):

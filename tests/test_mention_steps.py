@@ -11,8 +11,8 @@ from math import log2
 import pytest
 from pyspark.sql import functions as F
 
-from medloom.functions.rewriting import Rewriter
-from medloom.functions.text import _plain_parts, ascii_bounds
+from medloom.functions.rewriting import Rewriter, rewritten
+from medloom.functions.text import _plain_parts, ascii_bounds, rewrite
 from medloom.operators import findings, mentions, terms
 from medloom.rules import colon, liver, negation
 
@@ -169,3 +169,33 @@ def test_mentions_of_learned_terms_find_the_vocabulary(spark):
     held = Counter((r.report_id, r.segment_no) for r in by_terms)
     hit = sum(held[(r.report_id, r.segment_no)] > 0 for r in by_words)
     assert hit >= 0.8 * len(by_words) and {r.affirmed for r in by_terms} == {True, False}
+
+
+def test_phrases_are_counted_as_by_hand(spark):
+    """Counted in two scans, the first by hash: words end at plain spaces, parts at breaks, and case is kept."""
+    rows = ["a b  a b, A b", None, "", "x\ty a b;a b", "ü a b (ü a) b!", " , "] * 3
+    counts = Counter()
+    for part in (p for r in rows if r for p in re.split(r"[,;:()!?]+", r)):
+        w = [x for x in part.split(" ") if x]
+        counts.update((" ".join(w[i : i + k]), k) for k in range(1, 4) for i in range(len(w) - k + 1))
+    df = spark.createDataFrame([(r,) for r in rows], "sentence string").repartition(3)
+    for least in (1, 4, 7):
+        got = terms._phrase_counts(df, "sentence", 3, least).collect()
+        assert sorted(map(tuple, got)) == sorted((p, k, n) for (p, k), n in counts.items() if n >= least)
+
+
+def test_rewritten_is_the_chain_of_replacements(spark):
+    rules = [("a ", "b ä "), ("", "z"), ("ä", "."), ("b . b", ""), ("\n", "日")]
+    rows = [None, "", "a a a \n", "ä" * 5, "x" * 50, "日 a\na "]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = df.select(rewritten(df.t, rules).alias("a"), rewrite(df.t, rules).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] is None
+
+
+def test_letters_are_tried_by_halves():
+    """The pattern matches what the plain list of alternatives does and tries no list of terms beyond one letter's."""
+    words = [w for w in liver.HEADS if re.fullmatch(r"[\w &-]+", w)]
+    plain, halved = re.compile("|".join(words)), re.compile(mentions._any(words))
+    line = " ".join(words[::-1]) + " fibrosi steato x inflammationinflammation"
+    assert [m.span() for m in halved.finditer(line)] == [m.span() for m in plain.finditer(line)]
+    assert mentions._any(words).count("(?=") >= 2 * len({w[0] for w in words}) - 1
