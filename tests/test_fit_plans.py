@@ -134,3 +134,30 @@ def test_three_point_track_gives_the_best_rate_also_where_points_are_unknown(spa
     assert found["b", 0]["sse"] is None and found["b", 0]["C"] == 0
     assert found["b", 2]["sse"] >= 0
     assert found["c", 0]["sse"] == 0
+
+
+@pytest.mark.parametrize("model", fits.MODELS.values(), ids=list(fits.MODELS))
+def test_short_sums_and_early_ends_give_the_best_of_all_cases(model):
+    """Against the whole basis, and the least feasible solution over every set of active bounds, for fast rates too."""
+    random = np.random.default_rng(5)
+    t = np.cumsum(random.uniform(0.01, 0.3, 60)) - 0.01
+    for x in (random.uniform(0, 50, 60), 30 - t, 5 + 40 * np.exp(-0.3 * t)):
+        times = fits._times(t, x)
+        rates = separable.propose(model.shape, times, separable.begin(model.shape, model.size))
+        rates = rates[model.shape.valid(rates, times)]
+        plain, short = separable.plain_sums(model.shape, t, x, rates), separable.grid_sums(model.shape, t, x, rates)
+        for wanted, got in zip(plain[:2], short[:2]):
+            np.testing.assert_allclose(got, wanted, rtol=1e-9, atol=1e-9 * np.abs(wanted).max())
+        a, b = model.shape.constraints(times)
+        found, errors = separable.solve(short.gram, short.rhs, float(x @ x), a, b)
+        some = np.arange(0, len(rates), 3)
+        np.testing.assert_allclose(short.fitted(some, found[some]), plain.fitted(some, found[some]), rtol=1e-9, atol=1e-8)
+        least = np.full(len(rates), np.inf)
+        for rows, inverse, null in separable._subsets(a):
+            start = inverse @ b[rows]
+            for k, (gram, rhs) in enumerate(zip(plain.gram, plain.rhs)):
+                step = null @ np.linalg.lstsq(null.T @ gram @ null, null.T @ (rhs - gram @ start), rcond=None)[0] if null.size else 0
+                c = start + step
+                if (a @ c >= b - 1e-9 * np.maximum(np.abs(a) @ np.abs(c), np.maximum(np.abs(b), 1))).all():
+                    least[k] = min(least[k], x @ x + c @ gram @ c - 2 * c @ rhs)
+        assert np.isfinite(errors).all() and (errors <= least + 1e-7 * (x @ x)).all() and (errors >= least - 1e-7 * (x @ x)).all()
