@@ -82,7 +82,7 @@ FH = Form(
 
 
 def _round(form: Form, name: str, candidates: str) -> str:
-    """The best rates, coefficients c0 to c2 and error among the candidates, per trajectory."""
+    """The best rates, coefficients c0 to c2 and error among the candidates (traj_id, cid, r1, r2), per trajectory and cid."""
     both = [(i, j) for i in range(3) for j in range(i, 3)]
     g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
     sums = ", ".join([f"sum(b{i} * b{j}) AS g{i}{j}" for i, j in both] + [f"sum(b{i} * x) AS h{i}" for i in range(3)])
@@ -106,30 +106,86 @@ def _round(form: Form, name: str, candidates: str) -> str:
     limits = ", ".join(f"({w})::DOUBLE AS w{k}" for k, w in enumerate(form.limits))
     return f"""
     {name}s AS (
-      SELECT traj_id, x0, xz, r1, r2, sum(x * x) AS xx, {sums} FROM (
-        SELECT tp.traj_id, x0, xz, r1, r2, x, {basis} FROM tz tp JOIN {candidates} c ON c.traj_id = tp.traj_id) GROUP BY ALL),
+      SELECT traj_id, cid, x0, xz, r1, r2, sum(x * x) AS xx, {sums} FROM (
+        SELECT tp.traj_id, cid, x0, xz, r1, r2, x, {basis} FROM tz tp JOIN {candidates} c ON c.traj_id = tp.traj_id) GROUP BY ALL),
     {name}v AS (SELECT *, {fixed} FROM (SELECT *, {limits} FROM {name}s), (VALUES {values}) cases({named})),
     {name}r AS (SELECT *, {reduced} FROM {name}v),
     {name}d AS (SELECT *, {whole} AS det FROM {name}r),
     {name}y AS (SELECT *, {solved} FROM {name}d WHERE det > 1e-12 * a00 * a11 * a22),
-    {name}c AS (SELECT traj_id, x0, xz, r1, r2, xx, {", ".join(f"g{i}{j}" for i, j in both)}, h0, h1, h2, {back} FROM {name}y),
+    {name}c AS (SELECT traj_id, cid, x0, xz, r1, r2, xx, {", ".join(f"g{i}{j}" for i, j in both)}, h0, h1, h2, {back} FROM {name}y),
     {name}e AS (
-      SELECT traj_id, r1, r2, c0, c1, c2, greatest(xx - 2 * (c0 * h0 + c1 * h1 + c2 * h2) + {square}, 0) AS sse
+      SELECT traj_id, cid, r1, r2, c0, c1, c2, greatest(xx - 2 * (c0 * h0 + c1 * h1 + c2 * h2) + {square}, 0) AS sse
       FROM (SELECT *, 1e-9 * greatest(abs(c0), abs(c1), abs(c2), 1) AS e FROM {name}c) WHERE {form.inside}),
     {name} AS MATERIALIZED (
-      SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY sse, r1, r2) AS rn FROM {name}e) WHERE rn = 1)"""
+      SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, cid ORDER BY sse, r1, r2) AS rn FROM {name}e) WHERE rn = 1)"""
+
+
+_WHOLE = "(PARTITION BY traj_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+_ENDS = f"tz AS MATERIALIZED (SELECT *, last(x) OVER {_WHOLE} AS xz, last(t) OVER {_WHOLE} AS tz FROM tp)"
+
+SQ = Form(
+    ("1 - exp(-r1 * t)", "CASE WHEN t >= r2 THEN exp(-r1 * (t - r2)) ELSE 1 END - exp(-r1 * t)", "exp(-r1 * t)"),
+    ("0.2 * x0", "10 * x0", "0", "0"),
+    list(_cases(_either(0, zero=True), _either(1, zero=True), _either(2, 0, 1))),
+    "c0 >= -e AND c1 >= -e AND c2 >= 0.2 * x0 - e AND c2 <= 10 * x0 + e", "", ("", ""))
+
+
+def switched() -> str:
+    """As ``fitted`` for the impulse, r2 being its end.
+
+    The error has a dent between each two times, so the ends around the best one are tried at quarters between the times,
+    each for itself, and the deepest dent is followed.
+    """
+
+    def finer(k: int, before: str, ratio: float, step: str) -> list[str]:
+        factors = [ratio ** (j / 2) for j in range(-2, 3)]
+        return [
+            f"n{k} AS (SELECT DISTINCT c.traj_id, c.cid, c.r1 * f AS r1, greatest(least(c.r2 + a * {step}, tz), 0) AS r2"
+            f" FROM {before} c JOIN ends USING (traj_id), (SELECT unnest({factors}::DOUBLE[]) AS f), (SELECT unnest([-1, -0.5, 0, 0.5, 1]::DOUBLE[]) AS a))",
+            _round(SQ, f"z{k}", f"n{k}")]
+
+    out = [
+        _ENDS, "ends AS (SELECT traj_id, max(tz) AS tz, max(tz) / count(*) AS gap FROM tz GROUP BY traj_id)",
+        f"start AS (SELECT traj_id, i AS cid, r1, tz * i / 20 AS r2 FROM ends, (SELECT unnest({_RATES[::2]}::DOUBLE[]) AS r1), range(21) e(i))",
+        _round(SQ, "y0", "start"), "z0 AS (SELECT * FROM y0 QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY sse, r1, r2) = 1)"]
+    for k in range(1, 9):
+        # Each step twice: rate and end move together.
+        out += finer(2 * k - 1, f"z{2 * k - 2}", RATIO ** (4 / 2**k), f"tz / 20 / {2 ** (k - 1)}")
+        out += finer(2 * k, f"z{2 * k - 1}", RATIO ** (4 / 2**k), f"tz / 20 / {2 ** (k - 1)}")
+    # All around once more, so that a wide dent isn't kept for the deepest.
+    out += [
+        f"wide AS (SELECT traj_id, cid, r1 * f AS r1, r2 + tz * j / 250 AS r2 FROM z16 JOIN ends USING (traj_id), (SELECT unnest({[1.015**j for j in range(-8, 9)]}::DOUBLE[]) AS f),"
+        " range(-20, 21) w(j) WHERE r2 + tz * j / 250 BETWEEN 0 AND tz)",
+        _round(SQ, "v0", "wide")]
+    for k in range(40, 44):
+        out += finer(k, f"z{k - 1}" if k > 40 else "v0", 1.015 ** (1 / 2 ** (k - 40)), f"tz / 250 / {2 ** (k - 40)}")
+    out += [
+        "mid AS (SELECT * FROM z43)",
+        "times AS (SELECT traj_id, t, lead(t) OVER (PARTITION BY traj_id ORDER BY pos) AS following, row_number() OVER (PARTITION BY traj_id ORDER BY abs(t - r2), pos) AS near"
+        " FROM tz JOIN mid USING (traj_id))",
+        "around AS (SELECT traj_id, t + (following - t) * q / 4 AS r2, row_number() OVER (PARTITION BY traj_id ORDER BY t, q) AS cid"
+        " FROM times, range(4) s(q) WHERE near <= 24 AND following > t)",
+        f"scan AS (SELECT a.traj_id, a.cid, mid.r1 * f AS r1, a.r2 FROM around a JOIN mid USING (traj_id), (SELECT unnest({[1.01**j for j in range(-4, 5)]}::DOUBLE[]) AS f))",
+        _round(SQ, "w0", "scan"),
+        "z17 AS (SELECT * EXCLUDE (least) FROM (SELECT *, min(sse) OVER (PARTITION BY traj_id) AS least FROM w0) WHERE sse <= least * 1.003 + 1e-9)"]
+    for k in range(18, 36):
+        out += finer(k, f"z{k - 1}" if k != 23 else "deep", 1.01 ** (1 / 2 ** (k - 18)), f"gap / 4 / {2 ** (k - 18)}")
+        if k == 22:
+            out.append("deep AS (SELECT * EXCLUDE (least) FROM (SELECT *, min(sse) OVER (PARTITION BY traj_id) AS least FROM z22) WHERE sse <= least * (1 + 2e-6) + 1e-9)")
+    out.append("best AS (SELECT * FROM z35 QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY sse, r1, r2) = 1)")
+    return ", ".join(out)
 
 
 def fitted(form: Form, rounds: int = 22) -> str:
     """CTEs after one named tp (traj_id, pos, t, x, x0); the last one, ``best``, has r1, r2, c0, c1, c2 and sse."""
     out = [
-        "tz AS MATERIALIZED (SELECT *, last(x) OVER (PARTITION BY traj_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS xz FROM tp)",
-        f"start AS (SELECT traj_id, r1, r2 FROM (SELECT DISTINCT traj_id FROM tp), ({form.first}))", _round(form, "z0", "start")]
+        _ENDS,
+        f"start AS (SELECT traj_id, 0 AS cid, r1, r2 FROM (SELECT DISTINCT traj_id FROM tp), ({form.first}))", _round(form, "z0", "start")]
     for k in range(1, rounds + 1):
         steps = [RATIO ** (j / 2**k) for j in range(-2, 3)]
         moved = [clip.format(r=f"r{i} * f{i}") for i, clip in enumerate(form.clip, 1)]
         out.append(
-            f"n{k} AS (SELECT DISTINCT traj_id, {moved[0]} AS r1, {moved[1]} AS r2 FROM z{k - 1}, (SELECT unnest({steps}::DOUBLE[]) AS f1),"
+            f"n{k} AS (SELECT DISTINCT traj_id, cid, {moved[0]} AS r1, {moved[1]} AS r2 FROM z{k - 1}, (SELECT unnest({steps}::DOUBLE[]) AS f1),"
             f" (SELECT unnest({steps}::DOUBLE[]) AS f2))")
         out.append(_round(form, f"z{k}", f"n{k}"))
     return ", ".join([*out, f"best AS (SELECT * FROM z{rounds})"])

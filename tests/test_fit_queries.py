@@ -29,6 +29,12 @@ def cellloss(t, s):
     return baseline - baseline * 0.4 * lost + (60 - baseline) * math.exp(-d * t)
 
 
+def impulse(t, s):
+    d, tau = 0.5, 7.03 + s
+    pulse = 1 - math.exp(-d * t) + (math.exp(-d * (t - tau)) - 1 if t >= tau else 0)
+    return 20 + (100 - 20) * math.exp(-d * t) + 90 * pulse
+
+
 def remaining(tmp_path, value, step):
     """Line items of three suppliers, whose prices from each day on add up to the value in millions."""
     first, rows = datetime.datetime(1992, 1, 1), []
@@ -62,6 +68,12 @@ def test_one_decay_has_no_second_rate(spark, tmp_path):
         assert (row["source_c"], row["a"], row["d2"]) == (0.0, 1.0, None) and row["d1"] > 0 and row["no_better"]
 
 
+def test_an_impulse_comes_back(spark, tmp_path):
+    for key, row in both(spark, remaining(tmp_path, impulse, 20), "fit_square").items():
+        assert (row["l0"], row["source_c"], row["d"], row["k"], row["tau"]) == (100.0, 10.0, 0.5, 45.0, round(7.03 + int(key[1:]), 2))
+        assert row["n"] == 120 and row["chisqr"] == 0 and row["own_error"] and row["no_better"] and row["not_worse"]
+
+
 def test_loss_of_cells_comes_back(spark, tmp_path):
     for key, row in both(spark, remaining(tmp_path, cellloss, 50), "fit_cellloss").items():
         assert row["d"] == round(0.5 + 0.1 * int(key[1:]), 4) and row["l0"] == 60.0 and row["own_error"] and row["no_better"]
