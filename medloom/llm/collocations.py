@@ -5,7 +5,8 @@ counts. The local counts are added up by hash, and only phrases that can reach t
 candidates; a share of the support per shard would fall to one with many shards and let every phrase pass. Hashes are
 packed in sorted blobs, a few bytes per phrase and shard, so the shuffle is in proportion to the texts. A second scan
 counts the candidates exactly in all texts. They travel as a bit table of their hashes: a phrase that falls on a set bit
-by chance is counted too, exactly, and drops out below the support, so any size of the table gives the same rows.
+by chance is counted too, exactly, and drops out below the support, so any size of the table gives the same rows. The
+counts of a shard are packed too, a row for each language and share of the hashes, and added up phrase by phrase.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ CHUNK_BITS = 1 << 15
 BUCKETS = 1 << 10
 BUCKET_BYTES = 32 << 20
 BLOBS_AT_ONCE = 128
+# Of the second scan: shares of the phrases, how many phrases are packed at a time, and counts kept before they are added up.
+SHARES = 256
+PACKED_AT_ONCE = 1 << 18
+COUNTS_AT_ONCE = 1 << 20
 LANGUAGES_SENT = 4096
 NO_LANGUAGE = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -76,6 +81,19 @@ class Block:
         """Hashes of the phrases of ``length`` words at ``places``, from those of one word less (of the language, for 1)."""
         return mix(hashes * _STEP + self.hash[self.word[places + (length - 1)]])
 
+    def shares(self, places: np.ndarray, length: int) -> np.ndarray:
+        """Which share of all phrases those at ``places`` belong to, by their hashes."""
+        hashes = self.salt[self.lang[places]]
+        for k in range(1, length + 1):
+            hashes = self.longer(hashes, places, k)
+        return (hashes >> np.uint64(32)).astype(np.int64) % SHARES
+
+    def phrases(self, places: np.ndarray, length: int) -> pa.Array:
+        """The phrases of ``length`` words at ``places``."""
+        parts = [self.spelled.take(pa.array(self.word[places + k])) for k in range(length)]
+        joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+        return joined.cast(pa.large_string()).cast(pa.string())
+
     def same(self, places: np.ndarray, others: np.ndarray, length: int) -> bool:
         """Are the phrases at both places the same everywhere?"""
         words = all((self.word[places + k] == self.word[others + k]).all() for k in range(length))
@@ -298,32 +316,98 @@ def phrase_counts(
     table, bits = _bit_table(hashes)
     sent = texts.sparkSession.sparkContext.broadcast(table)  # at most MOST_BITS
 
-    def run(batches):
-        table = sent.value
+    def known(hashes):
+        at = (hashes >> np.uint64(shift)) & np.uint64(bits - 1)
+        return (sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+    sums = settle(added_up(local_counts(texts, known, shard_bytes, pieces), support))
+    return sums.filter("phrase is not null"), sums.filter("phrase is null and n > 0").select("lang", F.col("n").alias("words"))
+
 
-        def known(hashes):
-            at = (hashes >> np.uint64(shift)) & np.uint64(bits - 1)
-            return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+def local_counts(texts: DataFrame, known, shard_bytes: int, pieces: Pieces = PIECES) -> DataFrame:
+    """(lang, share, phrases, n): the counts of the phrases with ``known(hashes)`` in each shard, packed by share.
 
+    A shard has a few rows per share, however many phrases it has. Share -1 has a null phrase with all words.
+    """
+
+    def run(batches):
         for block in _blocks(batches, shard_bytes, pieces):
             totals = np.bincount(block.lang, minlength=len(block.langs))
-            yield _rows(block.langs, pa.nulls(len(totals), pa.string()), 0, totals)
+            yield _packed(block.langs, np.arange(len(totals)), np.full(len(totals), -1), pa.nulls(len(totals), pa.string()), totals)
+            held, size = [], 0
             for length, places, counts in counts_of(block, known):
-                for a in range(0, len(places), 1 << 16):
-                    at = places[a : a + (1 << 16)]
-                    parts = [block.spelled.take(pa.array(block.word[at + k])) for k in range(length)]
-                    joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-                    yield _rows(block.langs.take(pa.array(block.lang[at])), joined, length, counts[a : a + (1 << 16)])
-
-    counted = texts.mapInArrow(run, "lang string, phrase string, words int, n long")
-    sums = settle(counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("phrase").isNull() | (F.col("n") >= support)))
-    return sums.filter("phrase is not null"), sums.filter("phrase is null and n > 0").select("lang", F.col("n").alias("words"))
+                for a in range(0, len(places), PACKED_AT_ONCE):
+                    at = places[a : a + PACKED_AT_ONCE]
+                    if size and size + len(at) > PACKED_AT_ONCE:
+                        yield _packed(block.langs, *_joined_columns(held))
+                        held, size = [], 0
+                    held.append((block.lang[at], block.shares(at, length), block.phrases(at, length), counts[a : a + PACKED_AT_ONCE]))
+                    size += len(at)
+            if held:
+                yield _packed(block.langs, *_joined_columns(held))
+
+    return texts.mapInArrow(run, "lang string, share int, phrases array<string>, n array<long>")
+
 
+def _joined_columns(held: list[tuple]) -> tuple:
+    langs, shares, phrases, counts = zip(*held)
+    return np.concatenate(langs), np.concatenate(shares), pa.concat_arrays(phrases), np.concatenate(counts)
+
+
+def _packed(langs: pa.Array, lang: np.ndarray, share: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Phrases and counts as one row per share and language (by its number)."""
+    order = np.lexsort((lang, share))
+    lang, share = lang[order], share[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(lang) != 0) | (np.diff(share) != 0)
+    starts = np.flatnonzero(new)
+    offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, c) for c in (phrases.take(pa.array(order)), pa.array(counts[order].astype(np.int64)))]
+    return pa.record_batch(
+        [langs.take(pa.array(lang[starts])).cast(pa.string()), pa.array(share[starts].astype(np.int32)), *lists], names=["lang", "share", "phrases", "n"])
+
+
+def added_up(packed: DataFrame, support: int) -> DataFrame:
+    """(lang, phrase, words, n) of the phrases that reach the support, and a null phrase with all words of each language.
+
+    A task holds the different phrases of one share and language, and some counts more.
+    """
+
+    def total(parts: list[tuple[pa.Array, pa.Array]]) -> pa.Table:
+        phrases, counts = (pa.chunked_array(list(c)) for c in zip(*parts))
+        sums = pa.table([phrases, counts], names=["phrase", "n"]).group_by("phrase").aggregate([("n", "sum")]).combine_chunks()
+        return sums.select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
+
+    def rows_of(lang: str, parts: list[tuple[pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        sums = total(parts)
+        sums = sums.filter(pc.or_(pc.is_null(sums["phrase"]), pc.greater_equal(sums["n"], support)))
+        for batch in sums.to_batches(max_chunksize=1 << 16):
+            phrase, n = batch.columns
+            words = pc.fill_null(pc.add(pc.count_substring(phrase, " "), pa.scalar(1, pa.int32())), 0)
+            yield pa.record_batch([pa.array([lang] * len(n), pa.string()), phrase, words, n], names=["lang", "phrase", "words", "n"])
+
+    def run(batches):
+        last, held, size, summed = None, [], 0, 0
+        for batch in batches:
+            langs, shares = (batch.column(c).to_pylist() for c in ("lang", "share"))
+            phrases, counts = batch.column("phrases"), batch.column("n")
+            for i, key in enumerate(zip(langs, shares)):
+                if held and key != last:
+                    yield from rows_of(last[0], held)
+                    held, size, summed = [], 0, 0
+                last = key
+                held.append((phrases.slice(i, 1).flatten(), counts.slice(i, 1).flatten()))
+                size += len(held[-1][0])
+                if size - summed > max(COUNTS_AT_ONCE, summed):
+                    sums = total(held)
+                    held, size = [tuple(sums[c].chunk(0) for c in ("phrase", "n"))], len(sums)
+                    summed = size
+        if held:
+            yield from rows_of(last[0], held)
 
-def _rows(langs: pa.Array, phrases: pa.Array, length: int, counts: np.ndarray) -> pa.RecordBatch:
-    phrases = phrases.cast(pa.large_string()).cast(pa.string()) if length else phrases
-    columns = [langs.cast(pa.string()), phrases, pa.array(np.full(len(counts), length, np.int32)), pa.array(counts.astype(np.int64))]
-    return pa.record_batch(columns, names=["lang", "phrase", "words", "n"])
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = packed.repartition(parts, "lang", "share").sortWithinPartitions("lang", "share")
+    return ordered.mapInArrow(run, "lang string, phrase string, words int, n long")
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, shard_bytes: int = SHARD_BYTES) -> DataFrame:

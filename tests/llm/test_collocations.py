@@ -75,6 +75,17 @@ def test_candidates_do_not_grow_with_the_shards(spark):
     assert {r[0] for r in many.collect()} == want and 0 < len(want) < 300
 
 
+def test_rows_of_the_second_scan_do_not_grow_with_the_phrases(spark):
+    """A shard gives at most a row per share, and its counts add up to the same whatever the shards are."""
+    texts_of = table(spark, texts(6), 1).selectExpr("'en' as lang", "text").coalesce(1)
+    packed = op.local_counts(texts_of, lambda h: h == h, 1 << 24)
+    sizes = [len(r["n"]) for r in packed.collect()]
+    assert len(sizes) <= 1 + op.SHARES and sum(sizes) > 1000
+    shards = op.local_counts(texts_of, lambda h: h == h, 400)
+    once, parts = ({(r["phrase"], r["words"], r["n"]) for r in op.added_up(df, 3).collect()} for df in (packed, shards))
+    assert once == parts and len(once) > 100 and shards.count() > 20
+
+
 def test_equal_hashes_are_told_apart():
     block = op.Block(op.pa.array(["a b a c a b", "b a. b"]), op.pa.array(["en", "de"]))
     block.hash[:] = 7
