@@ -161,3 +161,34 @@ def test_short_sums_and_early_ends_give_the_best_of_all_cases(model):
                 if (a @ c >= b - 1e-9 * np.maximum(np.abs(a) @ np.abs(c), np.maximum(np.abs(b), 1))).all():
                     least[k] = min(least[k], x @ x + c @ gram @ c - 2 * c @ rhs)
         assert np.isfinite(errors).all() and (errors <= least + 1e-7 * (x @ x)).all() and (errors >= least - 1e-7 * (x @ x)).all()
+
+
+def test_simple_model_is_searched_side_by_side():
+    """Trajectories of any lengths in one line are fitted as each by itself, and in few steps of numpy."""
+    rnd = np.random.default_rng(3)
+    group = []
+    for n in [2, 3, 5, 40, 700, 4, 2, 9] * 5:
+        t = np.cumsum(rnd.integers(1, 5, n)) / 10.0
+        x = rnd.uniform(20, 200) * np.exp(-rnd.uniform(0.01, 2) * (t - t[0])) + rnd.uniform(0, 30) + rnd.normal(0, 1, n)
+        group.append((fits._times(t - t[0], x), t - t[0], x))
+    group[7] = (group[7][0]._replace(x0=math.nan), *group[7][1:])
+    shape = fits.EX.shape
+    found = separable.search_all(shape, 2, group)
+    limits = [shape.constraints(times) for times, _, _ in group]
+    for state, limit, one in zip(found, limits, group):
+        [alone] = separable._descend(shape, [one], [limit], [separable.begin(shape, 2)])
+        assert np.isfinite(state.error) == np.isfinite(alone.error)
+        if np.isfinite(alone.error):
+            assert state.error == pytest.approx(alone.error, rel=1e-9, abs=1e-9)
+    calls = []
+    counted = shape._replace(columns=lambda steps: calls.append(1) or shape.columns(steps))
+    separable.search_all(counted, 2, group)
+    assert len(calls) < 50 * len(group)
+
+
+def test_searches_are_dealt_over_all_partitions(spark):
+    """Few bytes of points are long work, so adaptive planning doesn't put them into one task."""
+    rows = [(f"t{k}", p, float(p), 100.0 * 0.9**p + k) for k in range(40) for p in range(4)]
+    points = spark.createDataFrame(rows, "traj_id string, pos long, t double, x double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fits.fit(points, fits.EX).rdd.getNumPartitions() == parts > 1
